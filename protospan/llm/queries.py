@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.llm import bpe, fingerprint, langid, linededup, packing, quality, urlfilter
+from protospan.llm import bpe, fingerprint, langid, lattice, linededup, packing, quality, urlfilter
 from protospan.llm.sample import remainder
 
 
@@ -55,6 +55,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -63,6 +67,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL = {
