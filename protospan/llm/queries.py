@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.llm import bpe, fingerprint, langid, lattice, linededup, neardup, packing, quality, urlfilter
+from protospan.llm import bpe, fingerprint, langid, lattice, linededup, neardup, ngramjoin, packing, quality, urlfilter
 from protospan.llm.sample import remainder
 
 
@@ -42,6 +42,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_classes(_table(spark, sf_dir, "documents"), words=4, least=85, parts=100)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_embedding_neardup": op4_embedding_neardup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_language_id": op7_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
