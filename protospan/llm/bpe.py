@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from protospan.functions.ship import ship
+from protospan.llm.store import python_ready
 
 #: Entries that a worker remembers, in two halves: the first words it met, and recent ones.
 REMEMBERED = 800_000
@@ -169,7 +169,7 @@ def _schema(df: DataFrame, name: str, kind: T.DataType, drop: tuple[str, ...] =
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` in place of it. The rank file is read here and sent to the tasks (some 1 MB)."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``rows`` with the bytes that their ids stand for; null ids give no bytes."""
-    ship(rows.sparkSession)
+    python_ready(rows.sparkSession)
     with open(ranks_path, "rb") as f:
         raw = rows.sparkSession.sparkContext.broadcast(f.read())
 

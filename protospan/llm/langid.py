@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protospan.functions.ship import ship
 from protospan.llm import textops
 from protospan.llm.sample import bounded, remainder
+from protospan.llm.store import python_ready
 
 BITS = 16
 DIM = 16
@@ -165,7 +165,7 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rat
 
 def learn(docs: DataFrame, most: int = MOST_ROWS) -> Model:
     """Fit on rows with a language whose crc32(doc_id) modulo 4 is not 2, at most ``most`` of them."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, most: int = MOST_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = ("lang_pred", "score", "rejected")
     kept = [f for f in docs.schema if f.name not in added]

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protospan.functions.ship import ship
 from protospan.llm.components import components
-from protospan.llm.store import materialize
+from protospan.llm.store import materialize, python_ready
 from protospan.llm.textops import mix
 
 TABLES, HASHES, WIDTH = 28, 14, 2.0
@@ -173,7 +172,7 @@ def _compared(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
-    ship(spark)
+    python_ready(spark)
     e = F.col("embedding").cast("array<double>")
     # F.exists is three-valued: a null component makes the vector unusable first.
     rows = vectors.select("vec_id", F.when(F.coalesce(_usable(e), F.lit(False)) & F.col("vec_id").isNotNull(), e).alias("e"))

@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from protospan.functions.ship import ship
 from protospan.llm import textops
 from protospan.llm.components import components
-from protospan.llm.store import materialize
+from protospan.llm.store import materialize, python_ready
 
 #: Frequent n-grams that every task gets, at most (8 bytes each).
 MOST_SENT = 1 << 18
@@ -184,7 +183,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: int, parts:
 
 def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(_described(docs, words, least, parts))
     sig = ["s1", "s2", "n"]

@@ -24,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from protospan.functions.ship import ship
 from protospan.llm.bpe import Encoder, made
-from protospan.llm.store import materialize
+from protospan.llm.store import materialize, python_ready
 
 CAPACITY = 1024
 END = 2
@@ -62,7 +61,7 @@ def text_encoder(raw: bytes) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length and ids (BINARY); chunk and place number a partition's pieces of a length."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     last = np.array([end], "<u4").tobytes()

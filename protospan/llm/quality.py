@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from protospan.functions.ship import ship
 from protospan.llm import textops
 from protospan.llm.sample import bounded, remainder
+from protospan.llm.store import python_ready
 
 BITS = 15
 RANK = 8
@@ -137,7 +137,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     """Fit on labelled rows whose crc32(doc_id) modulo 5 is not 0, at most ``most`` labels."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
     known = bounded(known.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != 0)), "doc_id", most)
 
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema if f.name not in ("score", "predicted")]
 

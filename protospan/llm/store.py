@@ -1,4 +1,4 @@
-"""Tables kept between steps, in the folder that driver and executors share."""
+"""Tables kept between steps, in the folder that driver and executors share, and settings for Python tasks."""
 
 from __future__ import annotations
 
@@ -6,15 +6,27 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from protospan.functions.ship import ship
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+
+def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder: later reads do not repeat its work, and lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Sources sent to the workers, and Arrow batches of few rows, as a row may hold a whole long text."""
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 25)):
+        held = spark.conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
