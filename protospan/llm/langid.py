@@ -178,7 +178,7 @@ def learn(docs: DataFrame, most: int = MOST_ROWS) -> Model:
 
     sample = bounded(rows.select(F.col("doc_id").cast("long"), "lang", "text"), "doc_id", most)
     found = sample.mapInArrow(run, "doc_id long, lang string, at binary, share binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.lang, r.at, r.share))
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.at, r.share))
     return train([(np.frombuffer(r.at, "<u4"), np.frombuffer(r.share), r.lang) for r in found])
 
 

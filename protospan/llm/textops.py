@@ -88,6 +88,9 @@ def _cut(texts: list[bytes], limit: int) -> Iterator[list[tuple[int, bytes]]]:
     size = 0
     for i, t in enumerate(texts):
         at = 0
+        if len(t) > limit and held:  # texts stay in order
+            yield held
+            held, size = [], 0
         while len(t) - at > limit:
             m = _BLANK.search(t, at + limit)
             stop = m.start() if m else len(t)
