@@ -80,7 +80,43 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
+#: Least node reachable by links e(a, b) in either direction.
+_REACH = """
+        reach AS (
+            SELECT id AS node, id AS c FROM ids
+            UNION
+            SELECT x.b AS node, r.c FROM reach r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) x ON x.a = r.node WHERE r.c < x.b),
+        least AS (SELECT node, min(c) AS component_id FROM reach GROUP BY node)
+"""
+
 ORACLE_SQL = {
+    "op4_embedding_neardup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+        ok AS (
+            SELECT id, x, sqrt(list_dot_product(x, x)) AS n FROM v
+            WHERE x IS NOT NULL AND len(list_filter(x, lambda t: t IS NULL OR NOT isfinite(t))) = 0 AND list_dot_product(x, x) > 0),
+        e AS MATERIALIZED (
+            SELECT p.id AS a, q.id AS b FROM ok p JOIN ok q ON p.id < q.id WHERE list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.95),
+        ids AS (SELECT id FROM v), {_REACH},
+        links AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id)
+        SELECT v.id AS vec_id, coalesce(links.n, 0) AS n_links, least.component_id, v.id = least.component_id AS kept
+        FROM v JOIN least ON node = v.id LEFT JOIN links ON links.id = v.id
+    """,
+    "op6_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' '] ELSE [] END) AS s FROM w),
+        g AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+        e AS MATERIALIZED (
+            SELECT p.id AS a, q.id AS b FROM g p JOIN g q ON p.g = q.g AND p.id < q.id
+            GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+        ids AS (SELECT id FROM s), {_REACH}
+        SELECT s.id AS doc_id, len(s.s) AS n_shingles, component_id FROM s JOIN least ON node = s.id
+    """,
     "op2_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
