@@ -10,7 +10,8 @@ documents link when ``parts`` * |A and B| >= ``least`` * |A or B|.
    that two documents of a stretch of input share, and the MOST_SENT most reported go to every task.
    The order only decides how many candidates there are, never which pairs link.
 3. Classes with equal prefixes and sizes make one group; candidates are pairs of groups that share an
-   n-gram of their prefixes and whose sizes allow the similarity.
+   n-gram of their prefixes. By the first one they share, what follows it in both must allow the overlap
+   that their sizes call for; as rare n-grams come first, this leaves few pairs that do not link.
 4. First, every group is tried against the least group of each n-gram it shares, and its members against
    its least member: a number of pairs that grows with the input. Verified pairs make components.
 5. Then all other candidates are tried: pairs of groups that do not lie in one component already,
@@ -196,15 +197,19 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     heads = materialize(heads)
     members = materialize(classes.select("rep", *groups_by).join(heads.select(*groups_by, "gid"), groups_by).select("rep", "gid"))
 
-    fits = F.col("n") * parts >= F.col("m") * least  # the smaller size against the larger
-    tokens = heads.select("gid", "n", F.explode("prefix").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("p"), F.max("gid").alias("z")).filter("p.gid != z").select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"))
-    posted = materialize(tokens.join(shared, "token").select("token", "gid", "n", "pivot", "pn"))
+    # From the first shared n-gram on, both sets need as many n-grams as the least overlap that links them.
+    def fits(n, at, m, other_at):
+        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(other_at)) * (parts + least) >= (F.col(n) + F.col(m)) * least
+
+    tokens = heads.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("z")).filter("p.gid != z")
+    shared = shared.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    posted = materialize(tokens.join(shared, "token").select("token", "gid", "n", "pos", "pivot", "pn", "ppos"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
-    near = posted.withColumns({"m": F.greatest("n", "pn"), "n": F.least("n", "pn")}).filter(fits)
+    near = posted.filter(fits("n", "pos", "pn", "ppos"))
     stars = near.select(F.col("pivot").alias("a"), F.col("gid").alias("b")).union(members.select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     tried = materialize(ordered(stars))
     links = materialize(_verified(docs, tried, words, least, parts))
@@ -213,15 +218,15 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     at = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("c"))
     at = materialize(at)
     span = materialize(at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
-    posted = posted.join(span, "gid").drop("pn")
+    posted = posted.join(span, "gid").drop("pivot", "pn", "ppos")
     mixed = posted.groupBy("token").agg(F.min("lo").alias("t0"), F.max("hi").alias("t1"), F.min(F.struct("gid", "lo")).alias("first")).filter("t0 != t1")
     posted = posted.join(mixed.select("token", F.col("first.lo").alias("main")), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
-    off = posted.filter("lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), (F.col("lo").eqNullSafe(F.col("main")) & (F.col("hi") == F.col("main"))).alias("in_main"))
+    off = posted.filter("lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), (F.col("lo").eqNullSafe(F.col("main")) & (F.col("hi") == F.col("main"))).alias("in_main"))
     cross = off.join(other, "token").filter(
         (F.col("in_main") | (F.col("a") < F.col("b"))) & ((F.col("lo_a") != F.col("lo_b")) | (F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("hi_a")))
-        & (F.least("na", "nb") * parts >= F.greatest("na", "nb") * least))
+        & fits("na", "pa", "nb", "pb"))
     group_pairs = ordered(cross.select("a", "b"))
     inner = span.filter("lo != hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     left = at.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("c").alias("cx"))
