@@ -41,7 +41,7 @@ from protospan.llm.store import materialize, python_ready
 MOST_SENT = 1 << 18
 #: N-grams of a stretch of input in which shared ones are looked for.
 STRETCH = 1 << 20
-#: Documents to verify whose ids go to every task, at most; more are joined by a shuffle.
+#: Ids of documents to verify, or pairs of them, that go to every task, at most; more are joined by a shuffle.
 MOST_IDS = 1 << 20
 
 
@@ -148,9 +148,10 @@ def _described(docs: DataFrame, words: int, least: int, parts: int) -> DataFrame
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: int, parts: int) -> DataFrame:
     """Those of the (distinct) pairs a, b that link."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.count() <= MOST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs.doc_id == F.col("id"), "left_semi")
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    few = pairs.count() <= MOST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +161,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: int, parts:
                 cut = np.searchsorted(d, np.arange(b.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "set"])
 
-    # One row of an id: rows that repeat it are told apart by their sets before this.
-    made = wanted.select("doc_id", "text").mapInArrow(sets, "id long, set binary")
+    def made(side: str) -> DataFrame:
+        wanted = docs.join(sent(pairs.select(F.col(side).alias("id")).distinct()), docs.doc_id == F.col("id"), "left_semi")
+        return wanted.select("doc_id", "text").mapInArrow(sets, "id long, set binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +177,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: int, parts:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
+    # The set of b meets its pairs where it was made, if these are few; then it goes to the set of a.
     both = (
-        pairs.join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        .join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+        made("b").select(F.col("id").alias("b"), F.col("set").alias("y")).join(sent(pairs), "b")
+        .join(made("a").select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     )
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
