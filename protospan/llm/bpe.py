@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from protospan.llm.store import python_ready
 
-#: Entries that a worker remembers, in two halves: the first words it met, and recent ones.
-REMEMBERED = 800_000
+#: Entries that a worker remembers, in two halves: the first words it met, and recent ones. A task that
+#: encodes and decodes has two workers, and each may come to hold the entries.
+REMEMBERED = 300_000
 NEVER = 1 << 62
 _ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n ")
 _LINES = re.compile("(\n+)")
@@ -114,10 +115,10 @@ class Remembering(dict):
 class Encoder:
     """Texts to packed little-endian 32-bit ids. ``plain``: ids of a string that is encoded on its own."""
 
-    def __init__(self, plain: Callable[[str], list[int]]):
+    def __init__(self, plain: Callable[[str], list[int]], size: int = REMEMBERED):
         pack = lambda s: np.array(plain(s), "<u4").tobytes()
-        self.first = Remembering(pack, REMEMBERED // 8)
-        self.after = Remembering(lambda s: pack(" " + s))
+        self.first = Remembering(pack, size // 8)
+        self.after = Remembering(lambda s: pack(" " + s), size)
 
     def __call__(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
