@@ -53,8 +53,8 @@ def stats(texts: list[bytes], stated: list, doc: np.ndarray, hashes: np.ndarray)
             chars[i] += np.count_nonzero((b & 0xC0) != 0x80)
         lines[i] = t.count(b"\n") + 1
     words = np.bincount(doc, minlength=len(texts)).astype(float)
-    pairs = np.unique(np.stack([doc.astype(np.uint64), hashes], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.uint64)
-    distinct = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(texts))
+    first = np.unique(textops.mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    distinct = np.bincount(doc[first], minlength=len(texts))
     doubled = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (hashes[1:] == hashes[:-1])], minlength=len(texts)) if len(doc) else np.zeros(len(texts))
     off = np.array([np.log1p(abs(s - c)) if s is not None else 0.0 for s, c in zip(stated, chars, strict=True)])
     size, count = np.maximum(n, 1), np.maximum(words, 1)
