@@ -1,4 +1,4 @@
-"""Spectral embedding of the nearest-neighbour graph, by subspace iteration on edge tables."""
+"""Spectral embedding of the nearest-neighbour graph, by block Krylov iteration on edge tables."""
 
 from __future__ import annotations
 
@@ -6,17 +6,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from protospan.functions.blocks import add_columns, partials
+from protospan.functions.tables import kept
 from protospan.functions.vectors import gauss
 from protospan.operators.pairs import knn_join
 
+#: Vectors beyond the wanted ones in a block, as gaps between eigenvalues are small, and blocks that a row holds.
+GUARD, BLOCKS = 12, 8
+#: Steps after which an iteration that has not converged is given up with an error.
+MOST_STEPS = 1000
 
-def spectral_embedding(pts: DataFrame, k_nn: int = 30, k: int = 15, rounds: int = 30, seed: int = 42) -> DataFrame:
+
+def _gram(df: DataFrame, vec: str, n: int) -> np.ndarray:
+    """Sums of v v' over all rows, from one n x n matrix a partition."""
+    rows = partials(
+        df.select(F.col(vec).alias("features")), lambda: np.zeros((n, n)), lambda held, x, _: held + x.T @ x,
+        "i int, row array<double>", lambda held: {"i": np.arange(n, dtype=np.int32), "row": held})
+    sums = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((n, n))
+    for r in sums:
+        out[r.i, r.j] = r.x
+    return (out + out.T) / 2
+
+
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """Columns of coefficients that make orthonormal vectors; directions that are only rounding are left out."""
+    size = np.sqrt(np.diag(gram))
+    size[size == 0] = 1.0
+    values, vectors = np.linalg.eigh(gram / np.outer(size, size))
+    ok = values > 1e-12 * max(values[-1], 1.0)
+    return vectors[:, ok] / np.sqrt(values[ok]) / size[:, None]
+
+
+def spectral_embedding(pts: DataFrame, k_nn: int = 30, k: int = 15, tol: float = 1e-9, seed: int = 42) -> DataFrame:
     """id and features: k - 1 coordinates, the leading eigenvectors of the normalised graph without the first.
 
     Edges join neighbours either way, with weight exp(-d^2 / (2 m^2)), m the mean neighbour distance; the
-    matrix is (I + D^-1/2 W D^-1/2) / 2. A round multiplies by joining edges with the block of vectors and
-    summing by source, then makes the k columns orthonormal by a k x k matrix. Signs: the coordinate of
-    largest size of each vector is positive. Rows without a neighbour have no edge and get zeros.
+    matrix is A = (I + D^-1/2 W D^-1/2) / 2. Rows hold their components of a basis V and of A V. A step finds the
+    best eigenvectors in the basis (Rayleigh-Ritz), and adds their residuals to it, made orthonormal, and A times these
+    by joining edges with the block and summing by source; a full basis shrinks to the best two blocks. It
+    ends when the residuals of the k wanted vectors are below ``tol``. Signs: the coordinate of
+    largest size of each vector is positive. Rows without a neighbour have no edge: their eigenvalue is 1/2. Coordinates
+    beyond the number of rows are 0.
     """
     near = knn_join(pts, k_nn).select(F.col("id").alias("a"), F.col("neighbor").alias("b"), F.col("distance").alias("d"))
     mean = near.agg(F.avg("d")).first()[0] or 1.0
@@ -24,38 +55,45 @@ def spectral_embedding(pts: DataFrame, k_nn: int = 30, k: int = 15, rounds: int
     degree = edges.groupBy("a").agg(F.sum("w").alias("g"))
     scaled = edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("g").alias("h")), "b")
     scaled = scaled.select("a", "b", (F.col("w") / F.sqrt(F.col("g") * F.col("h"))).alias("w")).persist()
-    block = pts.select("id", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: gauss(seed, j, "id")).alias("v"))
+    width = k + GUARD
+
+    def grown(df: DataFrame, n: int) -> DataFrame:
+        """id, v, u and a block w of n columns: w goes to v, and A w to u."""
+        sums = scaled.join(df.select(F.col("id").alias("b"), F.col("w").alias("x")), "b").groupBy("a").agg(
+            F.array(*[F.sum(F.col("w") * F.element_at("x", j + 1)) for j in range(n)]).alias("s"))
+        both = df.join(sums, df.id == sums.a, "left")
+        moved = F.when(F.col("s").isNull(), F.transform("w", lambda x: x / 2)).otherwise(F.zip_with("w", "s", lambda x, y: (x + y) / 2))
+        return kept(both.select("id", F.concat("v", "w").alias("v"), F.concat("u", moved).alias("u")))
 
-    def gram(df: DataFrame) -> np.ndarray:
-        cells = [F.sum(F.element_at("v", i + 1) * F.element_at("v", j + 1)) for i in range(k) for j in range(i, k)]
-        got, out = df.agg(*cells).first(), np.zeros((k, k))
-        out[np.triu_indices(k)] = got
-        return np.triu(out) + np.triu(out, 1).T
+    none = F.array().cast("array<double>")
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: gauss(seed, j, "id"))
+    block, m = grown(pts.select("id", none.alias("v"), none.alias("u"), start.alias("w")), width), width
+    for _ in range(MOST_STEPS):
+        both = block.select("id", F.concat("v", "u").alias("features"))
+        gram = _gram(both, "features", 2 * m)
+        white = _whitening(gram[:m, :m])
+        cross = white.T @ (gram[:m, m:] + gram[m:, :m]) @ white / 2
+        values, vectors = np.linalg.eigh(cross)
+        order = np.argsort(-values)
+        values, best = values[order], white @ vectors[:, order]
+        lead = best[:, :width]
+        left = add_columns(both, lambda x: {"left": x[:, m:] @ lead - x[:, :m] @ (lead * values[:width])}, "left array<double>")  # noqa: B023
+        rest = _gram(left, "left", lead.shape[1])
+        if np.sqrt(np.diag(rest)[:k].max(initial=0.0)) <= tol:
+            break
+        keep = best[:, : 2 * width] if m + width > BLOCKS * width else np.eye(m)
+        new = _whitening(rest)
 
-    def times(df: DataFrame, m: np.ndarray) -> DataFrame:
-        rows = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in m[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for j in range(m.shape[1])]
-        return df.select("id", F.array(*rows).alias("v"))
+        def stepped(x: np.ndarray) -> dict[str, np.ndarray]:
+            left = x[:, m:] @ lead - x[:, :m] @ (lead * values[:width])  # noqa: B023
+            return {"v": x[:, :m] @ keep, "u": x[:, m:] @ keep, "w": left @ new}  # noqa: B023
 
-    def moved(df: DataFrame) -> DataFrame:
-        sums = scaled.join(df.select(F.col("id").alias("b"), "v"), "b").groupBy("a").agg(
-            F.array(*[F.sum(F.col("w") * F.element_at("v", j + 1)) for j in range(k)]).alias("s"))
-        both = df.join(sums, df.id == sums.a, "left")
-        return both.select("id", F.when(F.col("s").isNull(), F.transform("v", lambda x: x / 2)).otherwise(F.zip_with("v", "s", lambda x, y: (x + y) / 2)).alias("v"))
-
-    def orthonormal(df: DataFrame) -> DataFrame:
-        lower = np.linalg.cholesky(gram(df) + 1e-14 * np.eye(k))
-        return times(df, np.linalg.inv(lower).T)
-
-    from protospan.functions.tables import kept
-
-    block = kept(orthonormal(block))
-    for _ in range(rounds):
-        block = kept(orthonormal(kept(moved(block))))
-    after = moved(block).select("id", F.col("v").alias("u"))
-    cells = [F.sum(F.element_at("v", i + 1) * F.element_at("u", j + 1)) for i in range(k) for j in range(k)]
-    small = np.array(block.join(after, "id").agg(*cells).first(), float).reshape(k, k)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    out = times(block, vectors[:, np.argsort(-values)])
-    signs = out.agg(*[F.max_by(F.element_at("v", j + 1), F.struct(F.abs(F.element_at("v", j + 1)), -F.col("id"))) for j in range(k)]).first()
-    flip = np.diag([-1.0 if s is not None and s < 0 else 1.0 for s in signs])[:, 1:]
-    return times(out, flip).select("id", F.col("v").alias("features"))
+        rows = add_columns(both, stepped, "v array<double>, u array<double>, w array<double>").select("id", "v", "u", "w")
+        block, m = grown(rows, new.shape[1]), keep.shape[1] + new.shape[1]
+    else:
+        raise RuntimeError(f"the spectral embedding has not converged in {MOST_STEPS} steps")
+    out = add_columns(both, lambda x: {"v": x[:, :m] @ lead[:, :k]}, "v array<double>").select("id", "v")
+    found = min(k, lead.shape[1])
+    signs = out.agg(*[F.max_by(F.element_at("v", j + 1), F.struct(F.abs(F.element_at("v", j + 1)), -F.col("id"))) for j in range(1, found)]).first() if found > 1 else []
+    turned = [F.element_at("v", j + 2) * (-1.0 if s is not None and s < 0 else 1.0) for j, s in enumerate(signs)]
+    return out.select("id", F.array(*turned, *[F.lit(0.0)] * (k - max(found, 1))).alias("features"))

@@ -485,7 +485,7 @@ def run_grid(spark, d):
 
 @query()
 def spectral_embedding(spark, d):
-    return cells(spectral.spectral_embedding(embeddings(spark, d), 10, 4, rounds=4))
+    return cells(spectral.spectral_embedding(embeddings(spark, d), 10, 4))
 
 
 # Comparison of methods, on step tables made from events
