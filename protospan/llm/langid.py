@@ -4,7 +4,10 @@ A text's subwords are its byte 3- and 4-grams (A-Z lowered, white space as blank
 of embeddings; their average over the whole text goes through a linear softmax. Both are trained by
 stochastic gradient descent in numpy on a bounded sample. One fifth of the sample is held back to fit the
 softmax's temperature, so that scores are probabilities, and the least score at which a prediction is
-kept: the lowest one that leaves at most ``error`` wrong among those kept.
+kept: the lowest one that leaves at most ``error`` wrong among those kept, but no lower than the OUTLYING
+quantile of the scores of held-back rows that are right. So text unlike all learned languages (another
+language, encoded bytes, tables of numbers) is rejected even if no held-back row is wrong. With one
+language all scores are 1, and fewer than five labelled rows leave none to calibrate on: neither rejects.
 
 Because softmax inputs are linear in the average, tasks only carry each bucket's contribution to each
 language, and a prediction is a mean of table rows over all byte positions.
@@ -33,6 +36,8 @@ BITS = 16
 DIM = 16
 #: Labelled rows that the model is fitted on, at most.
 MOST_ROWS = 2000
+#: Share of right held-back rows whose scores lie below the cut, at most.
+OUTLYING = 0.005
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _BLANKS = textops.LOWER.copy()
@@ -158,8 +163,12 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rat
     down = np.argsort(-best)
     wrong = np.cumsum(~right[down]) / np.arange(1, len(down) + 1)
     kept = np.flatnonzero(wrong <= error)
-    # All held rows may stay: then nothing above an even guess is rejected.
-    model.least = 1 / len(langs) if len(kept) and kept[-1] == len(down) - 1 else float(best[down[kept[-1]]]) if len(kept) else 1.0
+    if not len(kept):
+        model.least = 1.0
+        return model
+    # All held rows may stay by their errors alone: then only the scores of right ones set the cut.
+    fair = 0.0 if kept[-1] == len(down) - 1 else float(best[down[kept[-1]]])
+    model.least = max(fair, float(np.quantile(best[right], OUTLYING, method="lower")))
     return model
 
 
