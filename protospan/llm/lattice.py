@@ -7,7 +7,7 @@ recursion in log space; bytes without a piece take byte arcs, so that nothing ha
 
 Weights. The vocabulary's own scores give every piece a first weight: they order the pieces, and the
 weight falls as 1 / (10 + place). A few rounds of expectation-maximisation over all distinct words of the
-training rows (up to LONG bytes) turn these into expected counts, smoothed a little. A whole-word arc
+training rows turn these into expected counts, smoothed a little. A whole-word arc
 has its count in the training rows less a discount; the discounts' sum is what pieces share. Thus all
 words' probabilities and that of the end sum to one at most.
 
@@ -40,12 +40,15 @@ from protospan.llm.store import materialize, python_ready
 MARK = "▁"
 #: Words whose counts every task gets, at most (16 bytes each).
 MOST_SENT = 1 << 20
+#: Bytes of words that a task holds before it counts them, about.
+MOST_BYTES = 1 << 24
 DISCOUNT = 0.5
 #: Probability that a word ends after a piece, and that a token made of pieces is the text's end.
 STOP, END = 0.4, 0.01
-#: Longer words go one by one, and not into the expected counts.
+#: Longer words go together with words of about their length, WINDOW places at a time.
 LONG = 48
-ROUNDS = 2
+WINDOW = 64
+ROUNDS = 3
 END_KEY = 0x7FFFFFFFFFFFFFFF
 _NONE = -np.inf
 
@@ -140,18 +143,86 @@ def _long_word(word: bytes, p: Pieces) -> float:
     return alpha[-1]
 
 
+def _alike(length: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Long words in groups of about one length, so few that a group's arrays stay small."""
+    order = np.argsort(length, kind="stable")
+    most, at = max(1, (1 << 21) // (WINDOW * max(1, longest))), 0
+    while at < len(order):
+        n = int(length[order[at]])
+        fits = min(most, max(1, (1 << 20) // n))
+        stop = int(np.searchsorted(length[order], n + n // 4, "right"))
+        yield order[at : min(stop, at + fits)]
+        at = min(stop, at + fits)
+
+
+def _forward_long(w: textops.Words, start: np.ndarray, length: np.ndarray, p: Pieces, expected: np.ndarray | None) -> np.ndarray:
+    """``forward`` for a group of words of any lengths, in windows of places that share the sums before (or after) them."""
+    m, n, reach = len(start), int(length.max()), max(1, p.longest)
+    weight, sizes = np.append(p.weight, _NONE), np.arange(1, reach + 1)
+
+    def arcs(a: int, b: int, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces, and bytes, by word and place a..b-1 where they start (or end); pieces by size too. -1: none."""
+        place = np.arange(a, b)[None, :, None]
+        j, e = (place - sizes, place) if ends else (place, place + sizes)
+        j, e = np.broadcast_arrays(j, e)
+        ok = (j >= 0) & (e <= length[:, None, None])
+        s = start[:, None, None]
+        inner = np.where(ok, p.find(w.span(s + np.where(ok, j, 0), s + np.where(ok, e, 0)), 0), -1)
+        return inner, np.where(ok[:, :, 0], p.byte[w.bytes[start[:, None] + np.where(ok, j, 0)[:, :, 0]]], -1)
+
+    e = np.broadcast_to(sizes, (m, reach))
+    ok = e <= length[:, None]
+    s = np.broadcast_to(start[:, None], (m, reach))
+    head = np.where(ok, p.find(w.span(s, s + np.where(ok, e, 0)), 1), -1)
+    alpha = np.full((reach + n + 1, m), _NONE)  # sums at place x stand in row reach + x
+    alpha[reach] = p.weight[p.mark]
+    for a in range(1, n + 1, WINDOW):
+        inner, byte = arcs(a, min(n + 1, a + WINDOW), True)
+        logs, single = weight[inner], weight[byte]
+        for k in range(inner.shape[1]):
+            x = a + k
+            sums = np.logaddexp.reduce(alpha[x : x + reach][::-1] + logs[:, k].T, axis=0)
+            sums = np.logaddexp(sums, alpha[reach + x - 1] + single[:, k])
+            alpha[reach + x] = np.logaddexp(sums, weight[head[:, x - 1]]) if x <= reach else sums
+    whole = alpha[reach + length, np.arange(m)]
+    if expected is None:
+        return whole
+    alpha = alpha[reach:]
+    beta = np.full((n + 1 + reach, m), _NONE)
+    beta[length, np.arange(m)] = 0
+
+    def count(piece: np.ndarray, logs: np.ndarray) -> None:
+        ok = piece >= 0
+        expected[:] += np.bincount(piece[ok], np.exp(logs[ok]), len(expected))
+
+    for a in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+        b = min(n, a + WINDOW)
+        inner, byte = arcs(a, b, False)
+        logs, single = weight[inner], weight[byte]
+        for x in range(b - 1, a - 1, -1):
+            sums = np.logaddexp.reduce(beta[x + 1 : x + 1 + reach] + logs[:, x - a].T, axis=0)
+            beta[x] = np.logaddexp(beta[x], np.logaddexp(sums, beta[x + 1] + single[:, x - a]))
+        before = (alpha[a:b] - whole).T
+        after = beta[np.arange(a, b)[:, None] + sizes].transpose(2, 0, 1)
+        count(inner, before[:, :, None] + logs + after)
+        count(byte, before + single + beta[a + 1 : b + 1].T)
+    count(head, weight[head] + beta[sizes].T - whole[:, None])
+    expected[p.mark] += np.exp(alpha[0] + beta[0] - whole).sum()
+    return whole
+
+
 def forward(w: textops.Words, pick: np.ndarray, p: Pieces, expected: np.ndarray | None = None) -> np.ndarray:
     """log10 of the probability of each picked word as pieces; adds their expected counts to ``expected``."""
     out = np.zeros(len(pick))
     start, length = w.start[pick], w.end[pick] - w.start[pick]
     weight = np.append(p.weight, _NONE)  # -1: no piece
     stop = math.log(STOP / (1 - STOP))
-    for n in np.unique(length):
+    long = np.flatnonzero(length > LONG)
+    for group in _alike(length[long], p.longest):
+        who = long[group]
+        out[who] = _forward_long(w, start[who], length[who], p, expected)
+    for n in np.unique(length[length <= LONG]):
         who = np.flatnonzero(length == n)
-        if n > LONG:
-            for k in who:
-                out[k] = _long_word(w.bytes[start[k] : start[k] + n].tobytes(), p)
-            continue
         s = start[who][:, None]
         pairs = [(j, e) for e in range(1, n + 1) for j in range(max(0, e - p.longest), e)]
         j, e = np.array(pairs).T
@@ -257,7 +328,7 @@ def _expected(words: DataFrame, pieces: Pieces) -> np.ndarray:
     sent = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expected, held = np.zeros(sent.value.size), []
+        expected, held, size = np.zeros(sent.value.size), [], 0
 
         def counted() -> None:
             for w in textops.segments(held):
@@ -266,8 +337,10 @@ def _expected(words: DataFrame, pieces: Pieces) -> np.ndarray:
 
         for batch in batches:
             held.extend(batch.column(0).to_pylist())
-            if len(held) >= 50_000:  # the more words, the fewer steps for each
+            size += batch.nbytes
+            if len(held) >= 50_000 or size >= MOST_BYTES:  # the more words, the fewer steps for each
                 counted()
+                size = 0
         counted()
         seen = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(expected[seen])], names=["piece", "n"])
@@ -285,7 +358,7 @@ def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
     rows = docs.filter(remainder("doc_id", 10) != 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, size = 0, 0
+        ends, size, weight = 0, 0, 0
         held: list[tuple[np.ndarray, ...]] = []  # keys, counts, lengths and bytes of words
 
         def merged() -> pa.RecordBatch:
@@ -302,12 +375,11 @@ def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
                 for w in textops.segments(textops.encoded(batch.column(0).slice(part, 512))):
                     keys, pick, count = np.unique(w.hash, return_index=True, return_counts=True)
                     length = w.end[pick] - w.start[pick]
-                    length[length > LONG] = 0
                     held.append((keys, count, length, _gather(w.bytes, w.start[pick], length)[0]))
-                    size += len(keys)
-                    if size > 1_000_000:
+                    size, weight = size + len(keys), weight + int(length.sum())
+                    if size > 1_000_000 or weight > MOST_BYTES:
                         yield merged()
-                        held, size = [], 0
+                        held, size, weight = [], 0, 0
         if held:
             yield merged()
         if ends:
