@@ -455,13 +455,13 @@ def _swapped(spark: SparkSession, got: swap.Swap) -> DataFrame:
 @query()
 def swap_search(spark, d):
     pts = embeddings(spark, d)
-    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", 2, max_swaps=4))
+    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", 2))
 
 
 @query()
 def swap_search_lowrank(spark, d):
     pts = embeddings(spark, d)
-    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "lowrank", 2, max_swaps=4))
+    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "lowrank", 2))
 
 
 @query()
