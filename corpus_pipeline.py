@@ -51,7 +51,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens and their places in sequences of 1024 tokens."""
-    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

@@ -8,13 +8,14 @@ joining on length and rank. Ranks come from counts a partition and length, so th
 meet in one task. The plan has at most a few entries for each pair of lengths, whatever the data's size.
 
 Null text counts as empty: one token, the end. Ids stand in a piece as packed little-endian 32-bit
-numbers. Documents with one doc_id are packed each on its own. A special token's string in a text is
-ordinary text.
+numbers. Documents with one doc_id are packed each on its own. With ``added`` the string of an added token in
+a text is that token, as tokenizers has it unless encode_special_tokens is set; without, it is ordinary text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,7 +47,29 @@ def vocabulary(raw: bytes) -> dict[bytes, int]:
     return {bytes(letters[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
 
 
-def text_encoder(raw: bytes) -> Encoder:
+def added_ids(raw: bytes) -> dict[str, int]:
+    """Strings and ids of a tokenizers file's added tokens."""
+    tokens = json.loads(raw)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on what stands around them are not known here")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+class AddedEncoder:
+    """Texts to packed ids: the ids of added tokens, the longest first, and of what lies between them."""
+
+    def __init__(self, plain: Encoder, added: dict[str, int]):
+        self.plain = plain
+        self.ids = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def __call__(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self.plain(text)
+        return b"".join(self.ids[part] if k % 2 else self.plain(part) for k, part in enumerate(self.cut.split(text)) if part)
+
+
+def text_encoder(raw: bytes, added: bool = False) -> AddedEncoder:
     """The tokenizers library's ids; words are looked up with tiktoken, which merges by the same ranks."""
     import public_tokenizers
     import tiktoken
@@ -56,10 +79,10 @@ def text_encoder(raw: bytes) -> Encoder:
     if order != list(range(len(order))):
         raise ValueError("ids of byte-level BPE should follow the order of merges")
     plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Encoder(plain.encode_ordinary)
+    return AddedEncoder(Encoder(plain.encode_ordinary), added_ids(raw) if added else {})
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids (BINARY); chunk and place number a partition's pieces of a length."""
     python_ready(docs.sparkSession)
     with open(tokenizer_path, "rb") as f:
@@ -67,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = made("packing", len(raw.value), lambda: text_encoder(raw.value))
+        encode = made("packing", (len(raw.value), added), lambda: text_encoder(raw.value, added))
         chunk, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
@@ -151,7 +174,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def packed_digests(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_digests(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """The packing with a digest instead of the ids of each piece."""
-    rows = pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    rows = pieces(docs, tokenizer_path, capacity, added=added).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(rows), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
