@@ -26,7 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Larger neighbours of a node are those of the links in which it is the lesser end.
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
+        large = larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -12,21 +12,24 @@ documents link when ``parts`` * |A and B| >= ``least`` * |A or B|.
 3. Classes with equal prefixes and sizes make one group; candidates are pairs of groups that share an
    n-gram of their prefixes. By the first one they share, what follows it in both must allow the overlap
    that their sizes call for; as rare n-grams come first, this leaves few pairs that do not link.
+   Postings of the most reported n-grams stay where they are, others meet by n-gram.
 4. First, every group is tried against the least group of each n-gram it shares, and its members against
    its least member: a number of pairs that grows with the input. Verified pairs make components.
 5. Then all other candidates are tried: pairs of groups that do not lie in one component already,
    expanded to members of different components. What step 4 has joined needs no further pair, so
    that a group of n copies costs some n pairs, not n^2; all other candidates are tried, so that no link
-   between components is lost.
+   between components is lost. Most of these do not link, so the parity of how many n-grams fall on each
+   of some 2n places is compared first: two sets differ in no fewer n-grams than their parities do in places.
 
 Verification compares whole sets. Defined results: null, empty and blank texts have size 0 and link with
-nothing; rows with a null doc_id have no component. Rows that repeat a doc_id are one document for
-their component if their texts link; the class id of a row is the least doc_id reachable.
+nothing; rows with a null doc_id have no component. Texts of any length count whole. Equal rows share a
+component; rows that repeat a doc_id with other texts are documents of their own, whose component_id is the
+least doc_id that their own links reach. An empty table gives no rows. Other columns of ``docs`` are not used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,9 @@ MOST_SENT = 1 << 18
 #: N-grams of a stretch of input in which shared ones are looked for.
 STRETCH = 1 << 20
 #: Ids of documents to verify, or pairs of them, that go to every task, at most; more are joined by a shuffle.
-MOST_IDS = 1 << 20
+MOST_IDS = 1 << 18
+#: N-grams reported so often have postings that do not meet in one task; the MOST_HOT most reported of them.
+HOT, MOST_HOT = 5_000, 4_096
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +77,8 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], h[new]
 
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """N-grams reported as shared, the least frequent first."""
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams reported as shared, the least frequent first, and how often they were reported."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -106,15 +111,19 @@ def _frequent(texts: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(k).to_numpy().tobytes()], pa.binary()) for k in (0, 1)], names=["h", "n"])
 
     top = found.filter(step >= least).mapInArrow(packed, "h binary, n binary").collect() if least is not None else []
-    h = np.frombuffer(b"".join(r.h for r in top), np.int64).view(np.uint64)
-    return h[np.lexsort((h, np.frombuffer(b"".join(r.n for r in top), np.int64)))]
+    h, n = (np.frombuffer(b"".join(x), np.int64) for x in ([r.h for r in top], [r.n for r in top]))
+    order = np.lexsort((h.view(np.uint64), n))
+    return h.view(np.uint64)[order], n[order]
 
 
-def _described(docs: DataFrame, words: int, least: int, parts: int) -> DataFrame:
-    """doc_id, n, two hashes of the set (s1, s2) and the prefix of every row."""
-    frequent = _frequent(docs.select("text"), words)
+def _described(docs: DataFrame, words: int, least: int, parts: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, t, n, two hashes of the set (s1, s2), the prefix and two hashes of it (p1, p2) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent) + 1))
 
+    def total(h: np.ndarray, salt: int, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+        sums = np.append(np.uint64(0), np.cumsum(textops.mix(h + np.uint64(salt)), dtype=np.uint64))
+        return pa.array((sums[stop] - sums[start]).view(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = sent.value
         for batch in batches:
@@ -131,118 +140,146 @@ def _described(docs: DataFrame, words: int, least: int, parts: int) -> DataFrame
                     ordered = h[moved]
                 else:
                     ordered = h
-                s = []
-                for salt in (1, 2):
-                    total = np.append(np.uint64(0), np.cumsum(textops.mix(h + np.uint64(salt)), dtype=np.uint64))
-                    s.append(pa.array((total[start + n] - total[start]).view(np.int64)))
                 take = np.where(n > 0, n - -(-least * n // parts) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(take)])
-                pick = np.repeat(start - ends[:-1], take) + np.arange(ends[-1])
+                prefix = ordered[np.repeat(start - ends[:-1], take) + np.arange(ends[-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), *s, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ordered[pick].view(np.int64)))],
-                    names=["doc_id", "n", "s1", "s2", "prefix"],
-                )
+                    [b.column("doc_id"), b.column("t"), pa.array(n), *[total(h, k, start, start + n) for k in (1, 2)],
+                     *[total(prefix, k, ends[:-1], ends[1:]) for k in (3, 4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64)))],
+                    names=["doc_id", "t", "n", "s1", "s2", "p1", "p2", "prefix"],
+                )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: int, parts: int) -> DataFrame:
-    """Those of the (distinct) pairs a, b that link."""
-    def sent(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
+def _parity(h: np.ndarray) -> bytes:
+    """The set's size, and for each of 2n places or more whether an odd number of n-grams falls there."""
+    places = max(256, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.array([len(h)], "<i8").tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(x: bytes, y: bytes, least: int, parts: int) -> bool:
+    n = sum(int(np.frombuffer(v, "<i8", 1)[0]) for v in (x, y))
+    p, q = (np.frombuffer(v, np.uint8, offset=8) for v in sorted((x, y), key=len))
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    differ = int(np.bitwise_count(p ^ q).sum())
+    return (n - differ) * (parts + least) >= 2 * least * n
+
+
+def _links(x: bytes, y: bytes, least: int, parts: int) -> bool:
+    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and parts * shared >= least * (len(both) - shared)
+
 
+NODE = "struct<d: long, t: long>"
+
+
+def _that(docs: DataFrame, pairs: DataFrame, words: int, made: Callable[[np.ndarray], bytes], holds: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Those of the (distinct) pairs a, b of documents for which ``holds`` is true of what is ``made`` of their sets."""
     few = pairs.count() <= MOST_IDS
 
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 b = batch.slice(part, 512)
                 d, h = shingles(textops.encoded(b.column("text")), words)
                 cut = np.searchsorted(d, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("t"), pa.array([made(h[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["d", "t", "set"])
 
-    def made(side: str) -> DataFrame:
-        wanted = docs.join(sent(pairs.select(F.col(side).alias("id")).distinct()), docs.doc_id == F.col("id"), "left_semi")
-        return wanted.select("doc_id", "text").mapInArrow(sets, "id long, set binary")
+    def side(name: str, as_: str) -> DataFrame:
+        ids = sent(pairs.select(F.col(f"{name}.d").alias("d"), F.col(f"{name}.t").alias("w")).distinct())
+        wanted = docs.join(ids, (docs.doc_id == F.col("d")) & (docs.t == F.col("w")), "left_semi")
+        # Equal rows are one document.
+        return wanted.select("doc_id", "t", "text").mapInArrow(sets, "d long, t long, set binary").select(F.struct("d", "t").alias(name), F.col("set").alias(as_))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(parts * shared >= least * (len(both) - shared) and shared > 0)
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([holds(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    # The set of b meets its pairs where it was made, if these are few; then it goes to the set of a.
-    both = (
-        made("b").select(F.col("id").alias("b"), F.col("set").alias("y")).join(sent(pairs), "b")
-        .join(made("a").select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    )
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    # What is made of b meets its pairs where it was made, if these are few; then it goes to that of a.
+    both = side("b", "y").join(sent(pairs), "b").join(side("a", "x"), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {NODE}, b {NODE}")
 
 
 def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    python_ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(_described(docs, words, least, parts))
-    sig = ["s1", "s2", "n"]
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text), its text's hash t, and
+    whether it is the first document of its component (first; so are equal rows)."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    frequent, reported = _frequent(docs.select("text"), words)
+    rows = materialize(_described(docs, words, least, parts, frequent))
+    sig, by = ["s1", "s2", "n"], ["n", "p1", "p2"]
     full = rows.filter("n > 0 and doc_id is not null")
-    # A class is known by its least id; its set is read from one row with that id.
-    classes = full.groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    groups_by = ["n", "p1", "p2"]
-    classes = classes.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
-    heads = classes.groupBy(*groups_by).agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"))
-    heads = materialize(heads)
-    members = materialize(classes.select("rep", *groups_by).join(heads.select(*groups_by, "gid"), groups_by).select("rep", "gid"))
+    gid = F.xxhash64(*by).alias("gid")
+    # A class is known by its least document.
+    members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), F.first("p1").alias("p1"), F.first("p2").alias("p2")).select(*sig, "node", gid))
+    lead = members.groupBy("gid").agg(F.min("node").alias("lead"))
+    heads = full.groupBy(*by).agg(F.first("prefix").alias("prefix")).select(gid, "n", "prefix")
 
     # From the first shared n-gram on, both sets need as many n-grams as the least overlap that links them.
     def fits(n, at, m, other_at):
         return F.least(F.col(n) - F.col(at), F.col(m) - F.col(other_at)) * (parts + least) >= (F.col(n) + F.col(m)) * least
 
-    tokens = heads.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("z")).filter("p.gid != z")
-    shared = shared.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
-    posted = materialize(tokens.join(shared, "token").select("token", "gid", "n", "pos", "pivot", "pn", "ppos"))
+    def pivoted(tokens: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("z")).filter("p.gid != z")
+        return tokens.join(send(shared.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))), "token")
+
+    tokens = heads.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    hot = frequent[reported >= HOT][-MOST_HOT:].view(np.int64).tolist()
+    posted = pivoted((tokens.filter(~F.col("token").isin(hot)) if hot else tokens).repartition("token"), lambda df: df)
+    if hot:
+        posted = posted.unionByName(pivoted(tokens.filter(F.col("token").isin(hot)), F.broadcast))
+    posted = materialize(posted)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
-    near = posted.filter(fits("n", "pos", "pn", "ppos"))
-    stars = near.select(F.col("pivot").alias("a"), F.col("gid").alias("b")).union(members.select(F.col("gid").alias("a"), F.col("rep").alias("b")))
-    tried = materialize(ordered(stars))
-    links = materialize(_verified(docs, tried, words, least, parts))
-    found = materialize(components(links))
+    def led(pairs: DataFrame) -> DataFrame:
+        of = [lead.select(F.col("gid").alias(g), F.col("lead").alias(c)) for g, c in (("pivot", "a"), ("gid", "b"))]
+        return pairs.join(of[0], "pivot").join(of[1], "gid").select("a", "b")
+
+    stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct())
+    inside = members.join(lead, "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    tried = materialize(ordered(stars.union(inside)))
+    links = _that(docs, tried, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
+    found = components(links)
 
-    at = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("c"))
-    at = materialize(at)
-    span = materialize(at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
-    posted = posted.join(span, "gid").drop("pivot", "pn", "ppos")
+    at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
+    span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    posted = materialize(posted.drop("pivot", "pn", "ppos").join(span, "gid"))
     mixed = posted.groupBy("token").agg(F.min("lo").alias("t0"), F.max("hi").alias("t1"), F.min(F.struct("gid", "lo")).alias("first")).filter("t0 != t1")
     posted = posted.join(mixed.select("token", F.col("first.lo").alias("main")), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
     off = posted.filter("lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), (F.col("lo").eqNullSafe(F.col("main")) & (F.col("hi") == F.col("main"))).alias("in_main"))
+    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), ((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main"))).alias("in_main"))
     cross = off.join(other, "token").filter(
         (F.col("in_main") | (F.col("a") < F.col("b"))) & ((F.col("lo_a") != F.col("lo_b")) | (F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("hi_a")))
         & fits("na", "pa", "nb", "pb"))
     group_pairs = ordered(cross.select("a", "b"))
-    inner = span.filter("lo != hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    left = at.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("c").alias("cx"))
-    right = at.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("c").alias("cy"))
+    left = at.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("c").alias("cx"))
+    right = at.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("c").alias("cy"))
     # Inside a group only members off its least component are tried against the others.
-    split = span.filter("lo != hi").select(F.col("gid").alias("a"), F.col("lo").alias("low"))
-    within = inner.join(left, "a").join(split, "a").filter("cx != low").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    split = span.filter("lo != hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("lo").alias("low"))
+    within = split.join(left, "a").filter("cx != low").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     between = group_pairs.join(left, "a").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rest = ordered(between.union(within)).join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(docs, materialize(rest), words, least, parts))
+    rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"))
+    rest = materialize(_that(docs, rest, words, _parity, lambda x, y: _may_link(x, y, least, parts)))
+    more = _that(docs, rest, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    reps = classes.select(*sig, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("component"))
-    linked = full.select("doc_id", *sig).join(reps, sig).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    reps = members.select(*sig, "node").join(final, "node", "left").select(*sig, "node", F.coalesce("component", "node").alias("c"))
+    linked = full.select("doc_id", "t", *sig).join(reps, sig).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("c.d").alias("component_id"), "t",
+        ((F.col("node") == F.col("c")) & (F.col("doc_id") == F.col("c.d")) & (F.col("t") == F.col("c.t"))).alias("first"))
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "t", F.lit(True).alias("first"))
     return linked.union(alone)

@@ -43,7 +43,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.ngram_classes(_table(spark, sf_dir, "documents"), words=4, least=85, parts=100)
+    rows = ngramjoin.ngram_classes(_table(spark, sf_dir, "documents"), words=4, least=85, parts=100)
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
