@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from protospan.llm import textops
 from protospan.llm.components import components
-from protospan.llm.store import materialize, python_ready
+from protospan.llm.store import materialize, python_ready, release
 
 #: Frequent n-grams that every task gets, at most (8 bytes each).
 MOST_SENT = 1 << 18
@@ -111,6 +111,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(k).to_numpy().tobytes()], pa.binary()) for k in (0, 1)], names=["h", "n"])
 
     top = found.filter(step >= least).mapInArrow(packed, "h binary, n binary").collect() if least is not None else []
+    release(found)
     h, n = (np.frombuffer(b"".join(x), np.int64) for x in ([r.h for r in top], [r.n for r in top]))
     order = np.lexsort((h.view(np.uint64), n))
     return h.view(np.uint64)[order], n[order]
@@ -256,7 +257,9 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
 
     at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
     span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    posted = materialize(posted.drop("pivot", "pn", "ppos").join(span, "gid"))
+    near, posted = posted, materialize(posted.drop("pivot", "pn", "ppos").join(span, "gid"))
+    release(near)
+    every = posted
     mixed = posted.groupBy("token").agg(F.min("lo").alias("t0"), F.max("hi").alias("t1"), F.min(F.struct("gid", "lo")).alias("first")).filter("t0 != t1")
     posted = posted.join(mixed.select("token", F.col("first.lo").alias("main")), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
@@ -273,10 +276,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     within = split.join(left, "a").filter("cx != low").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     between = group_pairs.join(left, "a").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"))
-    rest = materialize(_that(docs, rest, words, _parity, lambda x, y: _may_link(x, y, least, parts)))
-    more = _that(docs, rest, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
+    release(every)
+    likely = materialize(_that(docs, rest, words, _parity, lambda x, y: _may_link(x, y, least, parts)))
+    release(rest)
+    more = _that(docs, likely, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
+    release(tried, likely)
     reps = members.select(*sig, "node").join(final, "node", "left").select(*sig, "node", F.coalesce("component", "node").alias("c"))
     linked = full.select("doc_id", "t", *sig).join(reps, sig).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("c.d").alias("component_id"), "t",

@@ -2,25 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from protospan.functions.ship import ship
 
+_written: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir; where none is set, a folder of this machine if Spark runs on it alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def delete(path: str) -> None:
+    """Remove a folder that Spark has written, wherever it lies, as far as Spark still runs."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder: later reads do not repeat its work, and lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once as a table in the shared folder and read again.
+
+    Later reads do not repeat its work, take only the columns they need, get partitions by size however
+    many tasks wrote it, and cost nothing when executors are lost. The table goes with ``release``, or
+    when the driver's Python ends.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(release)
+    _written.add(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later step reads; without arguments, all there are."""
+    for path in [t._written_to for t in tables] or list(_written):
+        try:
+            delete(path)
+        except Exception:  # noqa: BLE001, S110  the session may be gone, and with it what it kept
+            pass
+        _written.discard(path)
 
 
 def python_ready(spark: SparkSession) -> None:
