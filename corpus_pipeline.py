@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from protospan.llm import langid, linededup, ngramjoin, packing, quality
@@ -40,13 +40,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join (five words, 0.8), the one with the least id stays."""
-    classes = ngramjoin.ngram_classes(docs, words=5, least=80, parts=100)
-    keep = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    known = docs.select(COLUMNS).filter("doc_id is not null").join(keep, "doc_id", "left_semi")
-    known = known.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(COLUMNS)
-    return known.union(docs.select(COLUMNS).filter("doc_id is null"))
+    """Of documents that near-duplicate links join (five words, 0.8), the one with the least id stays.
+
+    Null and blank texts and rows without an id link with nothing and stay. Of equal rows one stays; rows that
+    repeat an id with another text are documents of their own.
+    """
+    docs = docs.select(COLUMNS)
+    first = ngramjoin.ngram_classes(docs, words=5, least=80, parts=100).filter("first and doc_id is not null")
+    keep = first.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+    known = docs.filter("doc_id is not null").withColumn("_t", F.xxhash64("text"))
+    known = known.join(keep.withColumnRenamed("_t", "_u"), (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_u")), "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = known.groupBy("doc_id", "_t").agg(F.first("text").alias("text"), F.min(F.struct(*rest)).alias("_rest"))
+    known = once.select("doc_id", "text", *[F.col(f"_rest.{c}").alias(c) for c in rest]).select(COLUMNS)
+    return known.union(docs.filter("doc_id is null"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
