@@ -113,12 +113,32 @@ def multi():
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t'sreé12,.\x1c\x85\u3000abc")), st.characters(codec="utf-8")), max_size=80))
 def test_bpe_is_tiktoken(multi, text):
-    assert np.frombuffer(multi[1](text), "<u4").tolist() == multi[0].encode_ordinary(text)
+    assert np.frombuffer(multi[1].many([text])[0], "<u4").tolist() == multi[0].encode_ordinary(text)
+
+
+@pytest.mark.parametrize("pattern", [r"[\s\S]{1,8}", r"\S+|\s+", public_tokenizers.PATTERN])
+def test_bpe_by_any_pattern(pattern, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 50)
+    raw, rng = open(MULTI, "rb").read(), random.Random(3)
+    texts = ["".join(rng.choice(["the ", "of", " ", "\n", "é", "xyz", "12", "ing ", "’s "]) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
+    ours = bpe.tree_encoder(pattern, raw, 40)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.many(texts)] == [lib.encode_ordinary(t) for t in texts]
+    assert len(ours.known) <= 40 and ours.many([None, ""]) == [b"", b""]
+
+
+def test_trees_of_many_pieces(multi):
+    rng, ranks = random.Random(4), bpe.read_ranks(MULTI)
+    for most in (2, 3, 9, 40, 200):
+        pieces = ["".join(rng.choice("theriané ") for _ in range(rng.randint(1, most))).encode() for _ in range(50)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in multi[1].merged(pieces)]
+        assert got == [bpe.merge(p, ranks, max(map(len, ranks))) for p in pieces]
 
 
 def test_bpe_of_long_pieces(multi):
     for text in ("a" * 20_000, "ab" * 5000 + " " * 400 + "x", "\n" * 900, "é" * 3000):
-        assert np.frombuffer(multi[1](text), "<u4").tolist() == multi[0].encode_ordinary(text)
+        assert np.frombuffer(multi[1].many([text])[0], "<u4").tolist() == multi[0].encode_ordinary(text)
 
 
 def test_bpe_tables(odd, none, multi):
@@ -159,10 +179,9 @@ def test_plan_is_best_fit(histogram):
 def test_packing(spark, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     hf = Tokenizer.from_file(path)
-    hf.encode_special_tokens = True
     long = spark.createDataFrame([(200, "word and " * 3000, None, None, None, None)], odd.schema)
     docs = odd.union(long)
-    got = packing.packed_digests(docs, path).toPandas()
+    got = packing.packed_digests(docs, path, added=True).toPandas()
     texts = {r.doc_id: r.text for r in docs.collect()}
     for i, g in got[got.doc_id.notna() & (got.doc_id != 101)].groupby("doc_id"):
         ids, at = hf.encode(texts[i] or "", add_special_tokens=False).ids + [2], 0
