@@ -1,22 +1,23 @@
 """Language-model scores of documents by the marginal likelihood of subword lattices.
 
 A text is a sequence of tokens: words (A-Z lowered), then one end. A word is the blank mark and a path
-of pieces of an existing vocabulary through its bytes, or, as one more arc of the lattice, the whole
-word if the training rows have it. The probability of a word is the sum over all paths, by forward
-recursion in log space; bytes without a piece take byte arcs, so that nothing has probability zero.
-
-Weights. The vocabulary's own scores give every piece a first weight: they order the pieces, and the
-weight falls as 1 / (10 + place). A few rounds of expectation-maximisation over all distinct words of the
-training rows turn these into expected counts, smoothed a little. A whole-word arc
-has its count in the training rows less a discount; the discounts' sum is what pieces share. Thus all
-words' probabilities and that of the end sum to one at most.
-
-Counts cover all training rows and are joined by the word's hash. The most frequent words, at most
-MOST_SENT of them, are sent to every task; for all other words documents send (word, occurrences) to a
-join with the counts, so that nothing depends on the vocabulary fitting in memory.
-
-Defined results: null and empty texts have the end alone. Without training rows there is no whole-word
-arc, counts are 0 and pieces share all. Rows that repeat a doc_id are scored each.
+of pieces of an existing vocabulary through its bytes. The probability of a word is the sum over all
+paths, by forward recursion in log space; bytes without a piece take byte arcs, so that nothing has
+probability zero.
+
+Weights. The vocabulary's own scores order its pieces; a piece's own weight falls as 1 / (10 + place).
+OWN of every weight stays that; the rest is the piece's share of the expected counts over the words of the
+training rows, each as often as it occurs, from ROUNDS rounds of expectation-maximisation. How often a word
+goes on after a piece, and a text after a token, is what the training rows have on average.
+
+The base counts whole words and has no part in the model's score. Counts cover all training rows and are
+joined by the word's hash. The most frequent words, at most MOST_SENT of them, are sent to every task; for
+all other words documents send (word, occurrences) to a join with the counts, so that nothing depends on
+the vocabulary fitting in memory.
+
+Defined results: null and empty texts have the end alone. Texts and words of any length count whole. Without
+training rows counts are 0 and all weights are the vocabulary's own. Rows that repeat a doc_id, and equal
+rows, are scored each. An empty table gives no rows. Other columns of ``docs`` are not used.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ MARK = "▁"
 MOST_SENT = 1 << 20
 #: Bytes of words that a task holds before it counts them, about.
 MOST_BYTES = 1 << 24
-DISCOUNT = 0.5
-#: Probability that a word ends after a piece, and that a token made of pieces is the text's end.
+#: Share of a piece's weight that is the vocabulary's own.
+OWN = 0.5
+#: Probability that a word ends after a piece, and that a token is the text's end, before anything is learned.
 STOP, END = 0.4, 0.01
 #: Longer words go together with words of about their length, WINDOW places at a time.
 LONG = 48
@@ -62,7 +64,9 @@ class Pieces:
     mark: int
     byte: np.ndarray
     size: int
-    weight: np.ndarray  # natural logarithms, less the chance to go on
+    own: np.ndarray  # weights by the vocabulary's scores, 1 together
+    weight: np.ndarray  # natural logarithms of the present ones, less the chance to go on
+    stop: float = STOP
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, [b"", *self.inner, *self.first]))
@@ -88,12 +92,15 @@ class Pieces:
             out[hit] = np.where(keys[at] == h, ids[at], -1)
         return out
 
-    def with_counts(self, expected: np.ndarray) -> Pieces:
-        """Weights from expected counts, smoothed by the present ones as if they had been seen 10 times."""
-        old = np.exp(self.weight) / (1 - STOP)
-        new = (expected + 10 * old) / (expected.sum() + 10)
+    def with_counts(self, expected: np.ndarray, words: float) -> Pieces:
+        """Weights from expected counts over so many words, and the vocabulary's own."""
+        total = expected.sum()
+        if total <= 0:
+            return self
+        stop = float(np.clip(words / total, 0.01, 0.99))
         with np.errstate(divide="ignore"):  # control pieces have no weight
-            return Pieces(self.inner, self.first, self.mark, self.byte, self.size, np.log(new) + math.log(1 - STOP))
+            weight = np.log(OWN * self.own + (1 - OWN) * expected / total) + math.log(1 - stop)
+        return Pieces(self.inner, self.first, self.mark, self.byte, self.size, self.own, weight, stop)
 
 
 def read_pieces(model_path: str) -> Pieces:
@@ -122,9 +129,10 @@ def read_pieces(model_path: str) -> Pieces:
                 inner[s.encode()] = i
     if mark < 0 or (byte < 0).any():
         raise ValueError("the vocabulary needs the blank mark alone and all bytes")
+    own = share / share.sum()
     with np.errstate(divide="ignore"):
-        weight = np.log(share / share.sum()) + math.log(1 - STOP)
-    return Pieces(inner, first, mark, byte, size, weight)
+        weight = np.log(own) + math.log(1 - STOP)
+    return Pieces(inner, first, mark, byte, size, own, weight)
 
 
 def _long_word(word: bytes, p: Pieces) -> float:
@@ -155,7 +163,7 @@ def _alike(length: np.ndarray, longest: int) -> Iterator[np.ndarray]:
         at = min(stop, at + fits)
 
 
-def _forward_long(w: textops.Words, start: np.ndarray, length: np.ndarray, p: Pieces, expected: np.ndarray | None) -> np.ndarray:
+def _forward_long(w: textops.Words, start: np.ndarray, length: np.ndarray, p: Pieces, expected: np.ndarray | None, times: np.ndarray) -> np.ndarray:
     """``forward`` for a group of words of any lengths, in windows of places that share the sums before (or after) them."""
     m, n, reach = len(start), int(length.max()), max(1, p.longest)
     weight, sizes = np.append(p.weight, _NONE), np.arange(1, reach + 1)
@@ -202,25 +210,27 @@ def _forward_long(w: textops.Words, start: np.ndarray, length: np.ndarray, p: Pi
         for x in range(b - 1, a - 1, -1):
             sums = np.logaddexp.reduce(beta[x + 1 : x + 1 + reach] + logs[:, x - a].T, axis=0)
             beta[x] = np.logaddexp(beta[x], np.logaddexp(sums, beta[x + 1] + single[:, x - a]))
-        before = (alpha[a:b] - whole).T
+        before = (alpha[a:b] - whole + times).T
         after = beta[np.arange(a, b)[:, None] + sizes].transpose(2, 0, 1)
         count(inner, before[:, :, None] + logs + after)
         count(byte, before + single + beta[a + 1 : b + 1].T)
-    count(head, weight[head] + beta[sizes].T - whole[:, None])
-    expected[p.mark] += np.exp(alpha[0] + beta[0] - whole).sum()
+    count(head, weight[head] + beta[sizes].T - (whole - times)[:, None])
+    expected[p.mark] += np.exp(alpha[0] + beta[0] - whole + times).sum()
     return whole
 
 
-def forward(w: textops.Words, pick: np.ndarray, p: Pieces, expected: np.ndarray | None = None) -> np.ndarray:
-    """log10 of the probability of each picked word as pieces; adds their expected counts to ``expected``."""
+def forward(w: textops.Words, pick: np.ndarray, p: Pieces, expected: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of each picked word as pieces; adds pieces' expected counts, over so many occurrences
+    of each word (``times``, else one), to ``expected``."""
     out = np.zeros(len(pick))
+    often = np.zeros(len(pick)) if times is None else np.log(times)
     start, length = w.start[pick], w.end[pick] - w.start[pick]
     weight = np.append(p.weight, _NONE)  # -1: no piece
-    stop = math.log(STOP / (1 - STOP))
+    stop = math.log(p.stop / (1 - p.stop))
     long = np.flatnonzero(length > LONG)
     for group in _alike(length[long], p.longest):
         who = long[group]
-        out[who] = _forward_long(w, start[who], length[who], p, expected)
+        out[who] = _forward_long(w, start[who], length[who], p, expected, often[who])
     for n in np.unique(length[length <= LONG]):
         who = np.flatnonzero(length == n)
         s = start[who][:, None]
@@ -256,10 +266,11 @@ def forward(w: textops.Words, pick: np.ndarray, p: Pieces, expected: np.ndarray
             ok = piece >= 0
             expected[:] += np.bincount(piece[ok], np.exp(logs[ok]), len(expected))  # noqa: B023
 
-        count(inner, (alpha[j] + beta[e] - alpha[n]).T + arc)
-        count(head, (beta[1:] - alpha[n]).T + first)
-        count(byte, (alpha[:-1] + beta[1:] - alpha[n]).T + single)
-        expected[p.mark] += np.exp(alpha[0] + beta[0] - alpha[n]).sum()
+        whole = alpha[n] - often[who]
+        count(inner, (alpha[j] + beta[e] - whole).T + arc)
+        count(head, (beta[1:] - whole).T + first)
+        count(byte, (alpha[:-1] + beta[1:] - whole).T + single)
+        expected[p.mark] += np.exp(alpha[0] + beta[0] - whole).sum()
     return (out + stop) / math.log(10)
 
 
@@ -290,14 +301,7 @@ class Model:
     keys: np.ndarray  # of the most frequent words, ascending, and their counts
     counts: np.ndarray
 
-    @property
-    def whole(self) -> float:
-        return float(max(self.tokens, 1))
-
-    @property
-    def shared(self) -> float:
-        """What the discounts leave to pieces."""
-        return DISCOUNT * self.distinct / self.tokens if self.tokens else 1.0
+    ends: int
 
     @property
     def below(self) -> float:
@@ -306,15 +310,10 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / self.below)
 
-    def score(self, c: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            known = np.log10(np.maximum(c - DISCOUNT, 0) / self.whole)
-        spelt = math.log10(self.shared * (1 - END)) + logs
-        top = np.maximum(known, spelt)
-        return top + np.log10(10 ** (known - top) + 10 ** (spelt - top))
-
-    def end(self, c: int) -> tuple[float, float]:
-        return math.log10((c + 0.1) / self.below), math.log10(max(c - DISCOUNT, 0) / self.whole + self.shared * END)
+    @property
+    def last(self) -> float:
+        """Probability that a token is the end."""
+        return min(0.99, self.ends / self.tokens) if self.ends else END
 
 
 def _gather(b: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,32 +322,37 @@ def _gather(b: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return b[np.repeat(start - at[:-1], length) + np.arange(at[-1])], at
 
 
-def _expected(words: DataFrame, pieces: Pieces) -> np.ndarray:
-    """Expected counts of pieces over distinct words: a row for each piece and task, summed by piece."""
+def _expected(words: DataFrame, pieces: Pieces) -> tuple[np.ndarray, int]:
+    """Expected counts of pieces over all words: a row for each piece and task, summed by piece; and how many words."""
     sent = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expected, held, size = np.zeros(sent.value.size), [], 0
+        expected, held, size, total = np.zeros(sent.value.size), [], 0, 0
 
         def counted() -> None:
-            for w in textops.segments(held):
-                forward(w, np.arange(len(w.start)), sent.value, expected)
+            times = np.concatenate([b.column(1).to_numpy() for b in held]) if held else np.zeros(0)
+            for w in textops.segments([x for b in held for x in b.column(0).to_pylist()]):
+                forward(w, np.arange(len(w.start)), sent.value, expected, times[w.doc])
             held.clear()
 
         for batch in batches:
-            held.extend(batch.column(0).to_pylist())
+            held.append(batch)
             size += batch.nbytes
-            if len(held) >= 50_000 or size >= MOST_BYTES:  # the more words, the fewer steps for each
+            total += int(batch.column(1).to_numpy().sum())
+            if sum(b.num_rows for b in held) >= 50_000 or size >= MOST_BYTES:  # the more words, the fewer steps for each
                 counted()
                 size = 0
         counted()
         seen = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(expected[seen])], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(expected[seen], total))], names=["piece", "n"])
 
-    out = np.zeros(pieces.size)
-    for r in words.filter("length(word) > 0").select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        out[r.piece] = r.n  # as many rows as the vocabulary has pieces, at most
-    return out
+    out, total = np.zeros(pieces.size), 0
+    for r in words.filter("length(word) > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        if r.piece < 0:
+            total = round(r.n)
+        else:
+            out[r.piece] = r.n  # as many rows as the vocabulary has pieces, at most
+    return out, total
 
 
 def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
@@ -389,7 +393,7 @@ def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
     words = found.filter("word is not null").select("key", "c")
     pieces = read_pieces(model_path)
     for _ in range(ROUNDS):
-        pieces = pieces.with_counts(_expected(found, pieces))
+        pieces = pieces.with_counts(*_expected(found, pieces))
     ends = int(found.filter("word is null").agg(F.sum("c")).first()[0] or 0)
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     # The least count that is sent: from a histogram of some hundred steps.
@@ -410,7 +414,7 @@ def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
     keys = np.frombuffer(b"".join(r.key for r in top), np.int64).view(np.uint64)
     counts = np.frombuffer(b"".join(r.c for r in top), np.int64)
     order = np.argsort(keys)
-    model = Model(uuid.uuid4().hex, pieces, int(total.n or 0) + ends, int(total.v) + (ends > 0), keys[order], counts[order])
+    model = Model(uuid.uuid4().hex, pieces, int(total.n or 0) + ends, int(total.v) + (ends > 0), keys[order], counts[order], ends)
     return model, words, ends
 
 
@@ -418,7 +422,6 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     model, words, ends = learn(docs, model_path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base_end, score_end = model.end(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -440,31 +443,28 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
                     sums[0] += np.bincount(w.doc, minlength=n)
                     sums[1] += np.bincount(w.doc, there, n)
                     sums[2] += np.bincount(w.doc[there], m.base(c)[inverse[there]], n)
-                    sums[3] += np.bincount(w.doc[there], m.score(c, logs)[inverse[there]], n)
+                    sums[3] += np.bincount(w.doc, logs[inverse], n)
                     pair, times = np.unique(w.doc[~there] * len(keys) + inverse[~there], return_counts=True)
-                    rare.append((pair // len(keys), keys[pair % len(keys)], times, logs[pair % len(keys)]))
-                doc, key, times, logs = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64),) * 4
+                    rare.append((pair // len(keys), keys[pair % len(keys)], times))
+                doc, key, times = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64),) * 3
                 order = np.argsort(doc, kind="stable")
                 cut = pa.array(np.searchsorted(doc[order], np.arange(n + 1)), pa.int32())
-                struct = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(times[order].astype(np.int32)), pa.array(logs[order].astype(float))], names=["key", "times", "logs"])
+                struct = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(times[order].astype(np.int32))], names=["key", "times"])
+                total = sums[3] + sums[0] * math.log10(1 - m.last) + math.log10(m.last)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(nth, nth + n)), b.column("doc_id"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), pa.ListArray.from_arrays(cut, struct)],
+                    [pa.array(np.arange(nth, nth + n)), b.column("doc_id"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(total), pa.ListArray.from_arrays(cut, struct)],
                     names=["nth", "doc_id", "words", "known", "base", "score", "rare"],
                 )
                 nth += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(
-        run, f"nth long, doc_id {kind}, words long, known long, base double, score double, rare array<struct<key: long, times: int, logs: double>>"
+        run, f"nth long, doc_id {kind}, words long, known long, base double, score double, rare array<struct<key: long, times: int>>"
     ))
     each = rows.select("nth", F.explode("rare").alias("r")).select("nth", "r.*").join(words, "key", "left")
-    c, spelt = F.coalesce(F.col("c"), F.lit(0)), F.lit(math.log10(model.shared * (1 - END)))
-    term = F.when(F.col("c").isNull(), spelt + F.col("logs")).otherwise(
-        F.log10((F.col("c") - DISCOUNT) / model.whole + F.pow(F.lit(10.0), spelt + F.col("logs"))))
     sums = each.groupBy("nth").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known2"),
-        F.sum(F.col("times") * F.log10((c + 0.1) / model.below)).alias("base2"),
-        F.sum(F.col("times") * term).alias("score2"),
+        F.sum(F.col("times") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / model.below)).alias("base2"),
     )
     zero = F.lit(0)
     return rows.drop("rare").join(sums, "nth", "left").select(
@@ -473,6 +473,6 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
         (F.col("words") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("known2", zero) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero) + base_end).alias("base_score"),
-        (F.col("score") + F.coalesce("score2", zero) + score_end).alias("score"),
+        (F.col("base") + F.coalesce("base2", zero) + math.log10((ends + 0.1) / model.below)).alias("base_score"),
+        "score",
     )

@@ -33,7 +33,7 @@ def test_long_words_are_counted():
     p = lattice.read_pieces(PIECES)
     words = [CHINESE.encode(), b"understanding" * 5, b"internationalisation" * 100, b"ab" * 5000]
     logs, expected = counted(words, p)
-    stop = math.log10(lattice.STOP / (1 - lattice.STOP))
+    stop = math.log10(p.stop / (1 - p.stop))
     assert np.allclose(logs, [lattice._long_word(x, p) / math.log(10) + stop for x in words])
     size = np.zeros(p.size)
     for found in (p.inner, p.first):

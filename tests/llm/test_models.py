@@ -92,18 +92,20 @@ def plain_word(word, p):
 
     whole = math.exp(p.weight[p.mark]) * paths(0)
     whole += sum(math.exp(p.weight[p.first[word[:e]]]) * paths(e) for e in range(1, len(word) + 1) if word[:e] in p.first)
-    return math.log10(whole * lattice.STOP / (1 - lattice.STOP))
+    return math.log10(whole * p.stop / (1 - p.stop))
 
 
 def test_lattice_sums_all_paths():
     p = lattice.read_pieces(PIECES)
     words = [b"the", b"a", "été".encode(), b"thestran", b"\xff\x00q", b"zzzzzz"]
-    expected = np.zeros(p.size)
+    expected, thrice = np.zeros(p.size), np.zeros(p.size)
     (w,) = textops.segments(words)
+    lattice.forward(w, np.arange(len(words)), p, thrice, np.full(len(words), 3))
     assert np.allclose(lattice.forward(w, np.arange(len(words)), p, expected), [plain_word(x, p) for x in words])
+    assert np.allclose(thrice, 3 * expected)
     # Every byte lies in one piece of each path.
-    assert expected.sum() >= len(words) and lattice._long_word(b"thestran", p) / math.log(10) + math.log10(lattice.STOP / (1 - lattice.STOP)) == pytest.approx(plain_word(b"thestran", p))
-    assert np.exp(p.weight).sum() == pytest.approx(1 - lattice.STOP)
+    assert expected.sum() >= len(words) and lattice._long_word(b"thestran", p) / math.log(10) + math.log10(p.stop / (1 - p.stop)) == pytest.approx(plain_word(b"thestran", p))
+    assert np.exp(p.weight).sum() == pytest.approx(1 - p.stop)
 
 
 @pytest.mark.parametrize("most", [1 << 20, 8, 0])
@@ -120,6 +122,15 @@ def test_lattice_scores(docs, none, most, monkeypatch):
         t = tokens(r.text)
         want[r.doc_id, crc(r) == 0, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 4)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
+    # A document's score is the sum over all paths through each of its words, in turn.
+    pieces, ends = lattice.learn(docs, PIECES)[0].pieces, c[None]
+    last, word = (ends / n if ends else lattice.END), {}
+    want = Counter()
+    for r in rows:
+        if sum(map(len, tokens(r.text)[:-1])) < 200:
+            for x in tokens(r.text)[:-1]:
+                word[x] = word[x] if x in word else plain_word(x.encode(), pieces) + math.log10(1 - last)
+            want[r.doc_id, round(sum(word[x] for x in tokens(r.text)[:-1]) + math.log10(last), 4)] += 1
+    assert len(want) > 20 and not want - Counter((r.doc_id, round(r.score, 4)) for r in got)
     if most:
         assert lattice.score(none, PIECES).count() == 0
