@@ -51,13 +51,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later step reads; without arguments, all there are."""
+    """Delete materialized tables that no later step reads; without arguments, all there are.
+
+    The driver's garbage goes with them: only when it is collected do executors drop the shuffle files of past steps.
+    """
     for path in [t._written_to for t in tables] or list(_written):
         try:
             delete(path)
         except Exception:  # noqa: BLE001, S110  the session may be gone, and with it what it kept
             pass
         _written.discard(path)
+    sc = SparkContext._active_spark_context
+    if tables and sc is not None:
+        sc._jvm.System.gc()
 
 
 def python_ready(spark: SparkSession) -> None:
