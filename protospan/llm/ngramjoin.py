@@ -15,8 +15,11 @@ documents link when ``parts`` * |A and B| >= ``least`` * |A or B|.
    Postings of the most reported n-grams stay where they are, others meet by n-gram.
 4. First, every group is tried against the least group of each n-gram it shares, and its members against
    its least member: a number of pairs that grows with the input. Verified pairs make components.
-5. Then all other candidates are tried: pairs of groups that do not lie in one component already,
-   expanded to members of different components. What step 4 has joined needs no further pair, so
+5. Where many groups of an n-gram still lie in different components, as in a large group of near copies that
+   are not all alike, they are tried against a few more groups of it: the components grow, at a cost in
+   proportion to the postings.
+6. Then all other candidates are tried: pairs of groups that do not lie in one component already,
+   expanded to members of different components. What steps 4 and 5 have joined needs no further pair, so
    that a group of n copies costs some n pairs, not n^2; all other candidates are tried, so that no link
    between components is lost. Most of these do not link, so the parity of how many n-grams fall on each
    of some 2n places is compared first: two sets differ in no fewer n-grams than their parities do in places.
@@ -48,6 +51,9 @@ STRETCH = 1 << 20
 MOST_IDS = 1 << 18
 #: N-grams reported so often have postings that do not meet in one task; the MOST_HOT most reported of them.
 HOT, MOST_HOT = 5_000, 4_096
+#: Where candidates between components would be more than SPREAD times the postings, components first grow by up to
+#: ROUNDS rounds of trying PIVOTS groups of each n-gram.
+SPREAD, ROUNDS, PIVOTS = 8, 3, 6
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +123,11 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.uint64)[order], n[order]
 
 
+PARITY = ["q0", "q1", "q2", "q3"]
+
+
 def _described(docs: DataFrame, words: int, least: int, parts: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, t, n, two hashes of the set (s1, s2), the prefix and two hashes of it (p1, p2) of every row."""
+    """doc_id, t, n, two hashes of the set (s1, s2), its parity at 256 places (q0 to q3), the prefix and two hashes of it (p1, p2) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent) + 1))
 
     def total(h: np.ndarray, salt: int, start: np.ndarray, stop: np.ndarray) -> pa.Array:
@@ -144,13 +153,15 @@ def _described(docs: DataFrame, words: int, least: int, parts: int, frequent: np
                 take = np.where(n > 0, n - -(-least * n // parts) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(take)])
                 prefix = ordered[np.repeat(start - ends[:-1], take) + np.arange(ends[-1])]
+                odd = np.bincount(d * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * b.num_rows).reshape(-1, 256) & 1
+                odd = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("t"), pa.array(n), *[total(h, k, start, start + n) for k in (1, 2)],
+                    [b.column("doc_id"), b.column("t"), pa.array(n), *[total(h, k, start, start + n) for k in (1, 2)], *[pa.array(np.ascontiguousarray(odd[:, k])) for k in range(4)],
                      *[total(prefix, k, ends[:-1], ends[1:]) for k in (3, 4)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64)))],
-                    names=["doc_id", "t", "n", "s1", "s2", "p1", "p2", "prefix"],
+                    names=["doc_id", "t", "n", "s1", "s2", *PARITY, "p1", "p2", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, t long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id long, t long, n long, s1 long, s2 long, {', '.join(f'{q} long' for q in PARITY)}, p1 long, p2 long, prefix array<long>")
 
 
 def _parity(h: np.ndarray) -> bytes:
@@ -223,8 +234,8 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     full = rows.filter("n > 0 and doc_id is not null")
     gid = F.xxhash64(*by).alias("gid")
     # A class is known by its least document.
-    members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), F.first("p1").alias("p1"), F.first("p2").alias("p2")).select(*sig, "node", gid))
-    lead = members.groupBy("gid").agg(F.min("node").alias("lead"))
+    members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), *[F.first(c).alias(c) for c in ("p1", "p2", *PARITY)]).select(*sig, "node", gid, *PARITY))
+    lead = members.groupBy("gid").agg(F.min(F.struct("node", "n", *PARITY)).alias("m"), F.count(F.lit(1)).alias("of")).select("gid", F.col("m.node").alias("lead"), "m.*", "of").drop("node")
     heads = full.groupBy(*by).agg(F.first("prefix").alias("prefix")).select(gid, "n", "prefix")
 
     # From the first shared n-gram on, both sets need as many n-grams as the least overlap that links them.
@@ -245,29 +256,54 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
+    # Sets differ in as many n-grams as their parities do in places, or more.
+    def close(n, m, x, y):
+        differ = sum((F.bit_count(F.col(f"{x}{q}").bitwiseXOR(F.col(f"{y}{q}"))) for q in PARITY), F.lit(0))
+        return (F.col(n) + F.col(m) - differ) * (parts + least) >= (F.col(n) + F.col(m)) * (2 * least)
+
     def led(pairs: DataFrame) -> DataFrame:
-        of = [lead.select(F.col("gid").alias(g), F.col("lead").alias(c)) for g, c in (("pivot", "a"), ("gid", "b"))]
-        return pairs.join(of[0], "pivot").join(of[1], "gid").select("a", "b")
+        of = [lead.select(F.col("gid").alias(g), F.col("lead").alias(c), F.col("n").alias(f"{c}n"), *[F.col(q).alias(c + q) for q in PARITY]) for g, c in (("pivot", "a"), ("gid", "b"))]
+        return pairs.join(of[0], "pivot").join(of[1], "gid").filter(close("an", "bn", "a", "b")).select("a", "b")
 
     stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct())
-    inside = members.join(lead, "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    inside = members.select("node", "gid").join(lead.select("gid", "lead"), "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     tried = materialize(ordered(stars.union(inside)))
     links = _that(docs, tried, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
     found = components(links)
 
-    at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
-    span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    near, posted = posted, materialize(posted.drop("pivot", "pn", "ppos").join(span, "gid"))
-    release(near)
-    every = posted
-    mixed = posted.groupBy("token").agg(F.min("lo").alias("t0"), F.max("hi").alias("t1"), F.min(F.struct("gid", "lo")).alias("first")).filter("t0 != t1")
-    posted = posted.join(mixed.select("token", F.col("first.lo").alias("main")), "token")
+    bare = posted.select("token", "gid", "n", "pos")
+    for turn in range(ROUNDS + 1):
+        at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
+        span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        known = lead.select("gid", *[F.when(F.col("of") == 1, F.col(q)).alias(q) for q in PARITY])  # of groups of one set
+        spread = materialize(bare.join(span.join(known, "gid"), "gid"))
+        # The main component of an n-gram is the one that most of its groups lie in.
+        alone = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")
+        mixed = (
+            spread.groupBy("token", alone).agg(F.count(F.lit(1)).alias("k"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("most"), F.max(F.col("c").isNull()).alias("split"))
+            .filter("parts > 1 or split")
+        )
+        mixed = materialize(mixed.select("token", "all", F.when(F.col("most.c").isNotNull(), F.col("most.k")).otherwise(0).alias("k"), F.col("most.c").alias("main")))
+        many = mixed.agg(F.sum(F.expr("cast((all - k) * all as double)"))).first()[0] or 0
+        if turn == ROUNDS or many <= SPREAD * spread.count():
+            break
+        some = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))) for k in range(PIVOTS)])
+        pivots = spread.join(mixed.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some")).select("token", F.array_distinct("some").alias("some"))
+        near = spread.join(pivots, "token").select("*", F.explode("some").alias("p")).select("gid", "n", "pos", "lo", "hi", "p.*")
+        near = near.filter("gid != pivot and (lo != plo or hi != phi or lo != hi)").filter(fits("n", "pos", "pn", "ppos"))
+        extra = materialize(ordered(led(near.select("pivot", "gid").distinct())).join(tried, ["a", "b"], "left_anti"))
+        grown = _that(docs, extra, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(grown))
+        release(at, spread, mixed)
+        tried = tried.union(extra)
+    posted = spread.join(mixed.select("token", "main"), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
-    off = posted.filter("lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), ((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main"))).alias("in_main"))
+    off = posted.filter("main is null or lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), *[F.col(q).alias(f"a{q}") for q in PARITY])
+    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), *[F.col(q).alias(f"b{q}") for q in PARITY], F.coalesce((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")), F.lit(False)).alias("in_main"))
     cross = off.join(other, "token").filter(
         (F.col("in_main") | (F.col("a") < F.col("b"))) & ((F.col("lo_a") != F.col("lo_b")) | (F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("hi_a")))
-        & fits("na", "pa", "nb", "pb"))
+        & fits("na", "pa", "nb", "pb") & F.coalesce(close("na", "nb", "a", "b"), F.lit(True)))
     group_pairs = ordered(cross.select("a", "b"))
     left = at.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("c").alias("cx"))
     right = at.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("c").alias("cy"))
@@ -276,13 +312,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     within = split.join(left, "a").filter("cx != low").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     between = group_pairs.join(left, "a").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"))
-    release(every)
+    release(spread, mixed)
     likely = materialize(_that(docs, rest, words, _parity, lambda x, y: _may_link(x, y, least, parts)))
     release(rest)
     more = _that(docs, likely, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    release(tried, likely)
+    release(likely)
     reps = members.select(*sig, "node").join(final, "node", "left").select(*sig, "node", F.coalesce("component", "node").alias("c"))
     linked = full.select("doc_id", "t", *sig).join(reps, sig).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("c.d").alias("component_id"), "t",

@@ -99,6 +99,49 @@ def test_ngram_classes_with_shuffled_ids_and_few_frequent_ones(spark, monkeypatc
     compare_classes(spark, 4, 85)
 
 
+def test_ngram_classes_with_hot_ngrams_and_pivots(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "HOT", 2)
+    monkeypatch.setattr(ngramjoin, "SPREAD", -1)
+    monkeypatch.setattr(ngramjoin, "PIVOTS", 2)
+    compare_classes(spark, 4, 85)
+
+
+@pytest.mark.parametrize("least", [70, 85])
+def test_parities_never_hide_a_link(least):
+    rng = np.random.default_rng(least)
+    for n in (1, 2, 5, 40, 700):
+        for _ in range(60):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.unique(np.concatenate([a[rng.random(n) < 0.95], rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 9)).astype(np.uint64)]))
+            a = np.unique(a)
+            if ngramjoin._links(a.tobytes(), b.tobytes(), least, 100):
+                assert ngramjoin._may_link(ngramjoin._parity(a), ngramjoin._parity(b), least, 100)
+    x, y = (rng.integers(0, 1 << 63, 700).astype(np.uint64) for _ in range(2))
+    assert not ngramjoin._may_link(ngramjoin._parity(x), ngramjoin._parity(y), least, 100)
+
+
+def test_ngram_classes_of_near_copies_and_repeated_ids(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    docs = []
+    for i in range(70):  # one group in which not all are alike
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(80)] = f"v{rng.randint(0, 400)}"
+        docs.append((i, " ".join(copy)))
+    others = [(7, "quite another text under an id that is there already once more"), (8, "and a third one of that kind with words of its own in it")]
+    sets = {k: s for k, (_, s) in zip([*docs, *others], [(d[0], sets_of([d], 5)[d[0]]) for d in [*docs, *others]], strict=True)}
+    rows = sorted(sets)
+    links = [(a, b) for a in rows for b in rows if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closure(rows, links)
+    table = spark.createDataFrame([*docs, *others, docs[3]], "doc_id long, text string").repartition(4)
+    got = ngramjoin.ngram_classes(table, 5, 80).join(table.selectExpr("doc_id", "xxhash64(text) t", "text").distinct(), ["doc_id", "t"]).collect()
+    assert len(got) == len(docs) + 3
+    for r in got:
+        root = want[r.doc_id, r.text]
+        assert (r.component_id, r.first) == (root[0], root == (r.doc_id, r.text))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 
@@ -122,3 +165,10 @@ def test_pipeline(spark, tmp_path):
     assert 201 not in left[2] and 202 in left[2] and 202 not in left[3]
     assert left[4] == left[3]
     assert c.run(spark, str(tmp_path)).count() == docs.count()
+    # Empty tables, repeated rows, and one id with two texts.
+    schema, same = spark.read.parquet(f"{tmp_path}/documents.parquet").schema, (5, "one two three four five six seven", None, None, 3)
+    for _, stage in c.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
+    some = spark.createDataFrame([same, same, (5, "another text of its own altogether, it says", None, None, None), (None, same[1], None, None, None), (6, None, None, None, None)], schema)
+    assert sorted((r.doc_id or -1, r.text or "") for r in c.ngram_jaccard(spark, some, str(tmp_path)).collect()) == [(-1, same[1]), (5, "another text of its own altogether, it says"), (5, same[1]), (6, "")]
+    assert c.best_fit_packing(spark, some, str(tmp_path)).count() == 5
