@@ -12,8 +12,10 @@ language all scores are 1, and fewer than five labelled rows leave none to calib
 Because softmax inputs are linear in the average, tasks only carry each bucket's contribution to each
 language, and a prediction is a mean of table rows over all byte positions.
 
-Defined results: null text and text without a letter have ``und`` with score 0 and are rejected; so has
-every text if no labelled row could be learned from. Extra columns are kept.
+Defined results: null and empty text and text without a letter have ``und`` with score 0 and are rejected. If no
+labelled row could be learned from, every text has ``und`` with score 0, but text with a letter is not rejected.
+Texts of any length count whole; equal rows are predicted each; an empty table gives no rows. Other columns are
+kept, but ``lang_pred``, ``score`` and ``rejected`` are replaced.
 """
 
 from __future__ import annotations
@@ -204,7 +206,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part in range(0, batch.num_rows, 512):
                 b = batch.slice(part, 512)
                 plain = b.column("text").to_pylist()
-                known = np.array([bool(t and m.langs and _LETTER.search(t)) for t in plain])
+                letters = np.array([bool(t and _LETTER.search(t)) for t in plain])
+                known = letters & bool(m.langs)
                 if m.langs:
                     p = m.scores(text_sums([t.encode("utf-8", "surrogatepass") if t else b"" for t in plain], m.table))
                     best, score = p.argmax(axis=1), np.where(known, p.max(axis=1), 0.0)
@@ -212,7 +215,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best, score = np.zeros(len(plain), int), np.zeros(len(plain))
                 lang = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~known | (score < m.least))],
+                    [b.column(f.name) for f in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~letters | (known & (score < m.least)))],
                     names=[f.name for f in kept] + list(added),
                 )
 

@@ -7,8 +7,9 @@ sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2) / 2, which takes time linear in the
 Trained by AdaGrad on the logistic loss in numpy, on a bounded sample of labelled rows.
 
 Defined results: null and empty texts are scored by their structure numbers alone. With no labelled
-row, or with labels of one kind, every score is the share of label 1 (0.5 if there is none). Extra
-columns are kept. A document with several labels counts with each.
+row, or with labels of one kind, every score is the share of label 1 (0.5 if there is none). A document with
+several labels counts with each. Texts of any length count whole; equal rows are scored each; an empty table
+gives no rows. Other columns are kept, but ``score`` and ``predicted`` are replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,14 @@ def remainder(doc_id, modulus: int) -> Column:
 
 
 def bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The ``most`` rows whose key has the least hashes; all rows if there are fewer. Only hashes reach the driver."""
-    order = F.xxhash64(F.lit("sample"), F.col(key))
-    least = [r[0] for r in rows.select(order.alias("h")).orderBy("h").limit(most).collect()]
-    return rows.filter(order <= F.lit(least[-1])) if len(least) == most else rows
+    """The ``most`` rows whose key, then whose content, has the least hashes; all rows if there are fewer.
+
+    Only hashes reach the driver. Of equal rows at the bound as many are taken as it leaves room for.
+    """
+    order = F.struct(F.xxhash64(F.lit("sample"), F.col(key)).alias("k"), F.xxhash64(*rows.columns).alias("c"))
+    least = [r[0] for r in rows.select(order.alias("h")).orderBy("h").limit(most + 1).collect()]
+    if len(least) <= most:
+        return rows
+    held = rows.filter(order <= F.struct(F.lit(least[most - 1].k).alias("k"), F.lit(least[most - 1].c).alias("c")))
+    # Rows beyond the bound are equal to the last one.
+    return held if least[most - 1] != least[most] else held.orderBy(order).limit(most)

@@ -60,8 +60,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.sha2(F.concat("host", "path"), 256).alias("_digest"),
     ).withColumn("_short", _short("_digest"))
 
-    # Only Spark's own hash of the URL travels with the expressions; the URL itself stays in place.
-    urls = pages.select(F.col(url).alias("_url")).filter(F.col("_url").contains("://"))
+    # A page is its URL and a struct of its columns, whose names then clash with none of those made here. Pages
+    # without a host stay out of the join, so that they do not meet in one task.
+    pages_ = pages.select(pages[url].alias("_url"), F.struct(*[pages[c] for c in pages.columns]).alias("_row"))
+    hosted = F.coalesce(F.col("_url").contains("://"), F.lit(False))
+    urls = pages_.filter(hosted).select("_url")
     split = urls.select("_url", F.split(host_of("_url"), r"\.").alias("_labels"), F.split(path_of("_url"), "/").alias("_parts"))
     hosts = F.transform(
         F.sequence(F.lit(1), F.least(F.size("_labels"), F.lit(max(1, deep.h)))),
@@ -89,11 +92,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         )).alias("_best"))
     )
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    none = pages_.filter(~hosted).withColumn("_best", F.lit(None).cast(hits.schema["_best"].dataType))
     return (
-        pages.select(*[pages[c] for c in keep], F.col(url).alias("_url"))
-        .join(hits, "_url", "left")
+        pages_.filter(hosted).join(hits, "_url", "left").select("_url", "_row", "_best").union(none.select("_url", "_row", "_best"))
         .select(
-            *keep,
+            *[F.col(f"_row.`{c}`").alias(c) for c in keep],
             host_of("_url").alias("host"),
             path_of("_url").alias("path"),
             F.col("_best.rule").alias("rule"),

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from protospan.llm import langid, lattice, quality, textops
+from protospan.llm.sample import bounded
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = {"en": "the of and with that this from have which".split(), "de": "der die und nicht über mit sich auch wird".split(), "fr": "le la des être avec pour dans été nous".split()}
@@ -44,7 +45,14 @@ def test_language(docs, none):
         assert (by_id[i].lang_pred, by_id[i].score, by_id[i].rejected) == ("und", 0.0, True)
     assert by_id[1003].lang_pred == "en" and all(0 <= r.score <= 1 for r in got)
     assert langid.predict(none, langid.learn(none)).count() == 0
-    assert {r.lang_pred for r in langid.predict(docs, langid.learn(none)).collect()} == {"und"}
+    unlearned = langid.predict(docs, langid.learn(none)).collect()
+    assert {r.lang_pred for r in unlearned} == {"und"} and {r.doc_id for r in unlearned if r.rejected} == {1000, 1001, 1002}
+
+
+def test_samples_keep_to_their_bound(spark):
+    rows = spark.createDataFrame([(7, f"t{i % 40}") for i in range(400)] + [(i, "x") for i in range(5)], "doc_id long, text string")
+    for most in (1, 10, 300, 500):
+        assert bounded(rows, "doc_id", most).count() == min(most, 405)
 
 
 def test_language_sums_are_means_of_whole_texts():
