@@ -19,18 +19,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is too unsure, go."""
+    """Documents without a letter (null and blank ones too), or whose language is too unsure, go.
+
+    Equal rows go or stay together. If no row has a language to learn from, only documents without a letter go.
+    """
     return langid.predict(docs.select(COLUMNS), langid.learn(docs)).filter("not rejected").select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likely to be labelled 0 go."""
+    """Documents that are likely to be labelled 0 go; equal rows together. Without labels of both kinds all scores are
+    the share of label 1 (0.5 without any), and below the threshold all go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.predict(docs.select(COLUMNS), quality.learn(docs, labels)).filter("predicted = 1").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; so do documents that have nothing else, as they are copies."""
+    """Later copies of repeated runs of lines go; so do documents that have nothing else, as they are copies.
+
+    Null and blank texts stay. Equal rows are one document and stay alike; null ids come first.
+    """
     rows = linededup.dedup_lines(docs.select(COLUMNS))
     return (
         rows.filter("n_deleted = 0 or trim(text) != ''")
@@ -57,7 +64,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens and their places in sequences of 1024 tokens."""
+    """Pieces of the documents' tokens and their places in sequences of 1024 tokens; null text is one token, the end."""
     return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
