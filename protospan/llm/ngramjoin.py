@@ -53,7 +53,7 @@ MOST_IDS = 1 << 18
 HOT, MOST_HOT = 5_000, 4_096
 #: Where candidates between components would be more than SPREAD times the postings, components first grow by up to
 #: ROUNDS rounds of trying PIVOTS groups of each n-gram.
-SPREAD, ROUNDS, PIVOTS = 8, 3, 6
+SPREAD, ROUNDS, PIVOTS = 8, 1, 24
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +274,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     bare = posted.select("token", "gid", "n", "pos")
     for turn in range(ROUNDS + 1):
         at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
-        span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        # The component of a group, by its hash, if all members lie in one.
+        span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).withColumn("c", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")))
         known = lead.select("gid", *[F.when(F.col("of") == 1, F.col(q)).alias(q) for q in PARITY])  # of groups of one set
-        spread = materialize(bare.join(span.join(known, "gid"), "gid"))
+        spread = materialize(bare.join(span.select("gid", "c").join(known, "gid"), "gid"))
         # The main component of an n-gram is the one that most of its groups lie in.
-        alone = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")
         mixed = (
-            spread.groupBy("token", alone).agg(F.count(F.lit(1)).alias("k"))
+            spread.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("most"), F.max(F.col("c").isNull()).alias("split"))
             .filter("parts > 1 or split")
         )
@@ -288,10 +288,16 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
         many = mixed.agg(F.sum(F.expr("cast((all - k) * all as double)"))).first()[0] or 0
         if turn == ROUNDS or many <= SPREAD * spread.count():
             break
-        some = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("lo").alias("plo"), F.col("hi").alias("phi"))) for k in range(PIVOTS)])
-        pivots = spread.join(mixed.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some")).select("token", F.array_distinct("some").alias("some"))
-        near = spread.join(pivots, "token").select("*", F.explode("some").alias("p")).select("gid", "n", "pos", "lo", "hi", "p.*")
-        near = near.filter("gid != pivot and (lo != plo or hi != phi or lo != hi)").filter(fits("n", "pos", "pn", "ppos"))
+        some = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("c").alias("pc"), *[F.col(q).alias(f"p{q}") for q in PARITY])) for k in range(PIVOTS)])
+        pivots = spread.join(mixed.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some"))
+
+        def plausible(p):
+            differ = sum((F.bit_count(F.col(q).bitwiseXOR(p[f"p{q}"])) for q in PARITY), F.lit(0))
+            room = F.least(F.col("n") - F.col("pos"), p["pn"] - p["ppos"]) * (parts + least) >= (F.col("n") + p["pn"]) * least
+            alike = (F.col("n") + p["pn"] - differ) * (parts + least) >= (F.col("n") + p["pn"]) * (2 * least)
+            return (F.col("gid") != p["pivot"]) & F.coalesce(F.col("c") != p["pc"], F.lit(True)) & room & F.coalesce(alike, F.lit(True))
+
+        near = spread.join(pivots, "token").select("gid", F.explode(F.filter("some", plausible)).alias("p")).select("gid", "p.pivot")
         extra = materialize(ordered(led(near.select("pivot", "gid").distinct())).join(tried, ["a", "b"], "left_anti"))
         grown = _that(docs, extra, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(grown))
@@ -299,11 +305,11 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
         tried = tried.union(extra)
     posted = spread.join(mixed.select("token", "main"), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
-    off = posted.filter("main is null or lo != main or hi != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), *[F.col(q).alias(f"a{q}") for q in PARITY])
-    other = posted.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), *[F.col(q).alias(f"b{q}") for q in PARITY], F.coalesce((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")), F.lit(False)).alias("in_main"))
-    cross = off.join(other, "token").filter(
-        (F.col("in_main") | (F.col("a") < F.col("b"))) & ((F.col("lo_a") != F.col("lo_b")) | (F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("hi_a")))
-        & fits("na", "pa", "nb", "pb") & F.coalesce(close("na", "nb", "a", "b"), F.lit(True)))
+    in_main = F.coalesce(F.col("c") == F.col("main"), F.lit(False))
+    off, other = (posted.select("token", in_main.alias(f"{x}_main"), *[F.col(v).alias(x + v) for v in ("gid", "n", "pos", "c", *PARITY)]) for x in "ab")
+    cross = off.filter("not a_main").join(other, "token").filter(
+        (F.col("b_main") | (F.col("agid") < F.col("bgid"))) & F.coalesce(F.col("ac") != F.col("bc"), F.lit(True))
+        & fits("an", "apos", "bn", "bpos") & F.coalesce(close("an", "bn", "a", "b"), F.lit(True))).select(F.col("agid").alias("a"), F.col("bgid").alias("b"))
     group_pairs = ordered(cross.select("a", "b"))
     left = at.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("c").alias("cx"))
     right = at.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("c").alias("cy"))
