@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from protospan.llm.store import materialize, release
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """node and component (the least node that links reach) of every node in a link between two different nodes.
 
+    ``rows``, if known, is about how many links there are.
+
     Each round turns every node's larger neighbours, then its smaller ones, to the least node around;
     it ends when the links are stars around the components' least nodes. Nodes may be of any type that
     has an order. Rows that share a node meet only in sums, whose parts tasks add up first, and in joins
@@ -18,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     execution (spark.sql.adaptive.skewJoin) splits them.
     """
     edges = materialize(
-        links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows
     )
     before = None
     while True:
@@ -30,10 +32,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Larger neighbours of a node are those of the links in which it is the lesser end.
         larger = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
-        large = materialize(larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
+        large = materialize(larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), now[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), now[0])
         release(last, large)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -21,10 +21,10 @@ documents link when ``parts`` * |A and B| >= ``least`` * |A or B|.
 6. Then all other candidates are tried: pairs of groups that do not lie in one component already,
    expanded to members of different components. What steps 4 and 5 have joined needs no further pair, so
    that a group of n copies costs some n pairs, not n^2; all other candidates are tried, so that no link
-   between components is lost. Most of these do not link, so the parity of how many n-grams fall on each
-   of some 2n places is compared first: two sets differ in no fewer n-grams than their parities do in places.
+   between components is lost.
 
-Verification compares whole sets. Defined results: null, empty and blank texts have size 0 and link with
+Verification compares whole sets. Many candidates do not link, so the parity of how many n-grams fall on each
+of some 2n places is compared first: two sets differ in no fewer n-grams than their parities do in places. Defined results: null, empty and blank texts have size 0 and link with
 nothing; rows with a null doc_id have no component. Texts of any length count whole. Equal rows share a
 component; rows that repeat a doc_id with other texts are documents of their own, whose component_id is the
 least doc_id that their own links reach. An empty table gives no rows. Other columns of ``docs`` are not used.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from protospan.llm import textops
 from protospan.llm.components import components
-from protospan.llm.store import materialize, python_ready, release
+from protospan.llm.store import by_tasks, materialize, python_ready, release
 
 #: Frequent n-grams that every task gets, at most (8 bytes each).
 MOST_SENT = 1 << 18
@@ -54,6 +54,8 @@ HOT, MOST_HOT = 5_000, 4_096
 #: Where candidates between components would be more than SPREAD times the postings, components first grow by up to
 #: ROUNDS rounds of trying PIVOTS groups of each n-gram.
 SPREAD, ROUNDS, PIVOTS = 8, 1, 24
+#: Pairs that a task verifies, at least where there are fewer partitions than that calls for.
+PAIRS_A_TASK = 1_000
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +194,8 @@ NODE = "struct<d: long, t: long>"
 
 def _that(docs: DataFrame, pairs: DataFrame, words: int, made: Callable[[np.ndarray], bytes], holds: Callable[[bytes, bytes], bool]) -> DataFrame:
     """Those of the (distinct) pairs a, b of documents for which ``holds`` is true of what is ``made`` of their sets."""
-    few = pairs.count() <= MOST_IDS
+    n = pairs.count()
+    few = n <= MOST_IDS
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
@@ -219,7 +222,7 @@ def _that(docs: DataFrame, pairs: DataFrame, words: int, made: Callable[[np.ndar
 
     # What is made of b meets its pairs where it was made, if these are few; then it goes to that of a.
     both = side("b", "y").join(sent(pairs), "b").join(side("a", "x"), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, f"a {NODE}, b {NODE}")
+    return by_tasks(both.select("a", "b", "x", "y"), n, PAIRS_A_TASK).mapInArrow(compare, f"a {NODE}, b {NODE}")
 
 
 def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int = 100) -> DataFrame:
@@ -233,8 +236,9 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     sig, by = ["s1", "s2", "n"], ["n", "p1", "p2"]
     full = rows.filter("n > 0 and doc_id is not null")
     gid = F.xxhash64(*by).alias("gid")
+    size = rows.count()
     # A class is known by its least document.
-    members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), *[F.first(c).alias(c) for c in ("p1", "p2", *PARITY)]).select(*sig, "node", gid, *PARITY))
+    members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), *[F.first(c).alias(c) for c in ("p1", "p2", *PARITY)]).select(*sig, "node", gid, *PARITY), size)
     lead = members.groupBy("gid").agg(F.min(F.struct("node", "n", *PARITY)).alias("m"), F.count(F.lit(1)).alias("of")).select("gid", F.col("m.node").alias("lead"), "m.*", "of").drop("node")
     heads = full.groupBy(*by).agg(F.first("prefix").alias("prefix")).select(gid, "n", "prefix")
 
@@ -252,6 +256,7 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     if hot:
         posted = posted.unionByName(pivoted(tokens.filter(F.col("token").isin(hot)), F.broadcast))
     posted = materialize(posted)
+    postings = posted.count()
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
@@ -267,26 +272,31 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
 
     stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct())
     inside = members.select("node", "gid").join(lead.select("gid", "lead"), "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    tried = materialize(ordered(stars.union(inside)))
-    links = _that(docs, tried, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
-    found = components(links)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs. Parities, 32 times shorter, settle most pairs that are none before whole sets meet."""
+        likely = materialize(_that(docs, pairs, words, _parity, lambda x, y: _may_link(x, y, least, parts)), pairs.count())
+        return _that(docs, likely, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
+
+    tried = materialize(ordered(stars.union(inside)), size)
+    found = components(verified(tried), rows=size)
 
     bare = posted.select("token", "gid", "n", "pos")
     for turn in range(ROUNDS + 1):
-        at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")))
+        at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")), size)
         # The component of a group, by its hash, if all members lie in one.
         span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).withColumn("c", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")))
         known = lead.select("gid", *[F.when(F.col("of") == 1, F.col(q)).alias(q) for q in PARITY])  # of groups of one set
-        spread = materialize(bare.join(span.select("gid", "c").join(known, "gid"), "gid"))
+        spread = materialize(bare.join(span.select("gid", "c").join(known, "gid"), "gid"), postings)
         # The main component of an n-gram is the one that most of its groups lie in.
         mixed = (
             spread.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("most"), F.max(F.col("c").isNull()).alias("split"))
             .filter("parts > 1 or split")
         )
-        mixed = materialize(mixed.select("token", "all", F.when(F.col("most.c").isNotNull(), F.col("most.k")).otherwise(0).alias("k"), F.col("most.c").alias("main")))
+        mixed = materialize(mixed.select("token", "all", F.when(F.col("most.c").isNotNull(), F.col("most.k")).otherwise(0).alias("k"), F.col("most.c").alias("main")), postings)
         many = mixed.agg(F.sum(F.expr("cast((all - k) * all as double)"))).first()[0] or 0
-        if turn == ROUNDS or many <= SPREAD * spread.count():
+        if turn == ROUNDS or many <= SPREAD * postings:
             break
         some = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("c").alias("pc"), *[F.col(q).alias(f"p{q}") for q in PARITY])) for k in range(PIVOTS)])
         pivots = spread.join(mixed.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some"))
@@ -298,9 +308,8 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
             return (F.col("gid") != p["pivot"]) & F.coalesce(F.col("c") != p["pc"], F.lit(True)) & room & F.coalesce(alike, F.lit(True))
 
         near = spread.join(pivots, "token").select("gid", F.explode(F.filter("some", plausible)).alias("p")).select("gid", "p.pivot")
-        extra = materialize(ordered(led(near.select("pivot", "gid").distinct())).join(tried, ["a", "b"], "left_anti"))
-        grown = _that(docs, extra, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(grown))
+        extra = materialize(ordered(led(near.select("pivot", "gid").distinct())).join(tried, ["a", "b"], "left_anti"), size)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(extra)), rows=size)
         release(at, spread, mixed)
         tried = tried.union(extra)
     posted = spread.join(mixed.select("token", "main"), "token")
@@ -317,14 +326,11 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     split = span.filter("lo != hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.col("lo").alias("low"))
     within = split.join(left, "a").filter("cx != low").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     between = group_pairs.join(left, "a").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"))
+    rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"), size)
     release(spread, mixed)
-    likely = materialize(_that(docs, rest, words, _parity, lambda x, y: _may_link(x, y, least, parts)))
-    release(rest)
-    more = _that(docs, likely, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest)), rows=size)
 
-    release(likely)
+    release(rest)
     reps = members.select(*sig, "node").join(final, "node", "left").select(*sig, "node", F.coalesce("component", "node").alias("c"))
     linked = full.select("doc_id", "t", *sig).join(reps, sig).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("c.d").alias("component_id"), "t",

@@ -13,6 +13,14 @@ from protospan.functions.ship import ship
 
 _written: set[str] = set()
 
+#: Rows that a task writes, where a table's size is known, and tasks at least.
+ROWS_A_TASK, LEAST_TASKS = 20_000, 12
+
+
+def by_tasks(df: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df``, of about so many rows, in no more partitions than they call for: a task costs more than a few rows do."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // a_task)))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where none is set, a folder of this machine if Spark runs on it alone."""
@@ -33,15 +41,15 @@ def delete(path: str) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again.
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (of about so many ``rows``, if known) written once as a table in the shared folder and read again.
 
     Later reads do not repeat its work, take only the columns they need, get partitions by size however
     many tasks wrote it, and cost nothing when executors are lost. The table goes with ``release``, or
     when the driver's Python ends.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else by_tasks(df, rows)).write.parquet(path)
     if not _written:
         atexit.register(release)
     _written.add(path)
