@@ -40,7 +40,7 @@ def rounded(c, digits: int = 12):
 
 
 def draw(rows: DataFrame, dist: str, p: float | None, seed: int, step, own: int | None = None):
-    """One weighted draw, as an exponential race in log space: total weight, own weight, winner, and winner other than ``own``.
+    """One weighted draw, as an exponential race in log space: total weight, largest distance, own weight, winner, and winner other than ``own``.
 
     Rows of distance 0 are never drawn. With p = None all rows at the largest distance are alike.
     """
@@ -57,6 +57,7 @@ def draw(rows: DataFrame, dist: str, p: float | None, seed: int, step, own: int
     other = live if own is None else live & (F.col("id") != own)
     return rows.agg(
         F.coalesce(F.sum(weight), F.lit(0.0)).alias("total"),
+        F.max(d).alias("top"),
         F.max(F.when(F.col("id") == (own if own is not None else -1), weight)).alias("own"),
         F.min_by(F.when(live, row), F.when(live, key)).alias("winner"),
         F.min_by(F.when(other, row), F.when(other, key)).alias("other"),
@@ -97,16 +98,27 @@ def _empty(pts: DataFrame) -> Prototypes:
 
 
 def build_sampling(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42) -> Build:
-    """Add rows with probability in proportion to distance^p. Ends early when all distances are 0."""
-    e, out = of(energy), Build(_empty(pts))
+    """Add rows with probability in proportion to distance^p. Ends early when all distances are 0.
+
+    A draw weighs all rows, and so finds the energy of the step before: a step is one pass, the last one two.
+    """
+    e, out, began = of(energy), Build(_empty(pts)), time.perf_counter()
+
+    def close(value: float) -> None:
+        nonlocal began
+        now = time.perf_counter()
+        out.log.append((len(out.log), out.chosen.ids[-1], now - began, value))
+        began = now
+
     for step in range(k):
-        began = time.perf_counter()
         got = draw(with_distance(pts, out.chosen, e), "dist", p, seed, step)
+        if step:
+            close(got.top if p is None else got.total ** (1 / p))
         if got.winner is None:
             break
         out.chosen = out.chosen.added(got.winner.id, row_vector(got.winner))
-        value = with_distance(pts, out.chosen, e).agg(cost("dist", p)).first()[0]
-        out.log.append((step, got.winner.id, time.perf_counter() - began, value))
+    if len(out.log) < len(out.chosen):
+        close(with_distance(pts, out.chosen, e).agg(cost("dist", p)).first()[0])
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from protospan.functions.tables import kept
 from protospan.functions.vectors import norm, uniform
 
 
@@ -94,19 +95,15 @@ def sort_by_label(pts: DataFrame) -> DataFrame:
     return pts.orderBy("label", "id")
 
 
-def with_position(pts: DataFrame, block: int = 4096) -> DataFrame:
-    """A dense ``position`` from 0 by id: ranks in blocks of neighbouring ids plus what lies in earlier blocks."""
-    lo, hi, n = pts.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    if not n:
-        return pts.withColumn("position", F.lit(0).cast("long"))
-    stride = max(1, (hi - lo + 1) * block // n)
-    rows = pts.withColumn("_b", F.floor((F.col("id") - lo) / stride))
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.floor(F.col("_b") / 1024))
-    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_gn"))
-    groups = groups.select("_g", (F.sum("_gn").over(Window.orderBy("_g")) - F.col("_gn")).alias("_g0"))
-    before = sizes.join(groups, "_g").select("_b", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_n") + F.col("_g0")).alias("_b0"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("id")) - 1
-    return rows.withColumn("_r", rank).join(before, "_b").withColumn("position", (F.col("_r") + F.col("_b0")).cast("long")).drop("_b", "_r", "_b0")
+def with_position(pts: DataFrame) -> DataFrame:
+    """A dense ``position`` from 0 by id: rows are dealt by sampled ranges of ids and sorted there, and a row's place
+    adds to the sizes of earlier ranges. Written once in between, so that ranges and places stay as they are."""
+    rows = kept(pts.repartitionByRange("id").sortWithinPartitions("id").withColumn("_m", F.monotonically_increasing_id()))
+    rows = rows.select("*", F.shiftrightunsigned("_m", 33).alias("_p"))
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return rows.join(F.broadcast(before), "_p").withColumn("position", place).drop("_m", "_p", "_before")
 
 
 def transpose(pts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from protospan.operators.experiment import METHODS
 from protospan.sources.points import points
 
 
@@ -39,33 +40,38 @@ LINE = """line AS MATERIALIZED (
     FROM lineitem)"""
 
 
-def _method():
-    names = F.array(*[F.lit(m) for m in ("search", "sampling", "uniform", "search_search", "sampling_sampling")])
-    return F.element_at(names, (F.col("user_id") % 5 + 1).cast("int"))
+SWAPPED = [m for m in METHODS if "_" in m]
+
+
+def _one_of(names: list[str]):
+    return F.element_at(F.array(*[F.lit(m) for m in names]), (F.col("user_id") % len(names) + 1).cast("int"))
+
+
+def _seed(names: list[str]):
+    return (42 + F.floor(F.col("user_id") / len(names))).cast("int").alias("seed")
 
 
 def build_steps(spark: SparkSession, d: str) -> DataFrame:
-    """Events as the steps of builds: made-up runs over given rows."""
-    df = table(spark, d, "events").filter("event_id % 2 = 0").select(_method().alias("method"), (42 + F.col("user_id") % 3).cast("int").alias("seed"), "event_id", "value")
+    """Events as the steps of builds, a run for each user."""
+    df = table(spark, d, "events").select(_one_of(METHODS).alias("method"), _seed(METHODS), "event_id", "value")
     step = F.row_number().over(Window.partitionBy("method", "seed").orderBy("event_id")) - 1
     return df.select("method", "seed", step.alias("step"), F.col("event_id").alias("id"), ((F.col("event_id") % 7 + 1) / 100).alias("seconds"), (F.col("value") + 1).alias("energy_value"))
 
 
 def swap_steps(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "events").filter("event_id % 2 = 1 and user_id % 5 >= 3").select(
-        _method().alias("method"), (42 + F.col("user_id") % 3).cast("int").alias("seed"), (5 + F.col("user_id") % 2).cast("int").alias("k"), "event_id", "value")
+    """Events as the steps of swaps, a run for each user, from five or six prototypes."""
+    df = table(spark, d, "events").select(_one_of(SWAPPED).alias("method"), _seed(SWAPPED), (5 + F.col("event_id") % 2).cast("int").alias("k"), "event_id", "value")
     no = F.row_number().over(Window.partitionBy("method", "seed", "k").orderBy("event_id"))
     return df.select("method", "seed", "k", no.alias("swap_no"), ((F.col("event_id") % 7 + 1) / 100).alias("seconds"), (F.col("value") + 1).alias("energy_value"), (F.col("event_id") % 13).alias("stagnation"))
 
 
-METHOD = "['search', 'sampling', 'uniform', 'search_search', 'sampling_sampling'][user_id % 5 + 1]"
 STEPS = f"""built AS (
-    SELECT {METHOD} AS method, (42 + user_id % 3)::INTEGER AS seed, event_id AS id,
-           (row_number() OVER (PARTITION BY user_id % 5, user_id % 3 ORDER BY event_id) - 1)::INTEGER AS step,
+    SELECT {METHODS}[user_id % 5 + 1] AS method, (42 + user_id // 5)::INTEGER AS seed, event_id AS id,
+           (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS step,
            (event_id % 7 + 1) / 100 AS seconds, value + 1 AS energy_value
-    FROM events WHERE event_id % 2 = 0),
+    FROM events),
 swapped AS (
-    SELECT {METHOD} AS method, (42 + user_id % 3)::INTEGER AS seed, (5 + user_id % 2)::INTEGER AS k,
-           row_number() OVER (PARTITION BY user_id % 5, user_id % 3, user_id % 2 ORDER BY event_id)::INTEGER AS swap_no,
+    SELECT {SWAPPED}[user_id % 2 + 1] AS method, (42 + user_id // 2)::INTEGER AS seed, (5 + event_id % 2)::INTEGER AS k,
+           row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id)::INTEGER AS swap_no,
            (event_id % 7 + 1) / 100 AS seconds, value + 1 AS energy_value, event_id % 13 AS stagnation
-    FROM events WHERE event_id % 2 = 1 AND user_id % 5 >= 3)"""
+    FROM events)"""

@@ -122,6 +122,10 @@ def test_preparation(spark, pts):
     cube = spark.createDataFrame([([[[1.0], [2.0]], [[3.0], [4.0]]], [[0, 1], [2, 3]])], "features array<array<array<double>>>, labels array<array<int>>")
     assert [(r.id, r.features, r.label) for r in prep.flatten_cube(cube).orderBy("id").collect()] == [(0, [1], 0), (1, [2], 1), (2, [3], 2), (3, [4], 3)]
     assert [r.position for r in prep.with_position(pts.filter("id % 3 = 1")).orderBy("id").collect()] == list(range(20))
+    far = [*range(50), -(2**63), 2**63 - 1]
+    wide = spark.createDataFrame([(i,) for i in far], "id long").repartition(3)
+    assert [r.id for r in prep.with_position(wide).orderBy("position").collect()] == sorted(far)
+    assert prep.with_position(wide.limit(0)).count() == 0
     assert np.allclose(np.array([r.features for r in prep.transpose(pts).orderBy("id").collect()]), x_of(pts).T)
     assert np.allclose(x_of(prep.center(pts)).mean(axis=0), 0)
     assert prep.sample_per_label(pts, 4).groupBy("label").count().filter("count = 4").count() == 3
