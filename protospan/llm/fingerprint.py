@@ -74,19 +74,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * dot(sa, sb) / norm)))
 
 
-def with_next(docs: DataFrame, block: int = 256) -> DataFrame:
+def _literal(values: list[int]) -> Column:
+    return F.expr("array(" + ",".join(f"cast('{v}' as decimal(38,0))" for v in values) + ")")
+
+
+def _blocks(keyed: DataFrame, block: int, ranges: int) -> tuple[Column, Column]:
+    """The range ``_r`` of a row's ``_key`` and, by both, the number of its block: ascending, about ``block`` rows each.
+
+    Some ``ranges`` ranges of keys are cut at every 16th key of a sample, drawn by hash; a range is dealt into
+    equal strides of its own. So keys far off the others widen the strides of their own range alone. The driver
+    holds the sample, of 16 * ``ranges`` keys on average, and each range's ends.
+    """
+    share = min(1.0, 16 * ranges / max(1, keyed.count()))
+    sample = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct()
+    cut = sorted(int(r._key) for r in sample.collect())
+    cut = cut[16::16] or [0]
+    at = F.size(F.filter(_literal(cut), lambda k: k <= F.col("_key")))
+    ends = {r._r: r for r in keyed.groupBy(at.alias("_r")).agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    lows, strides = [0] * (len(cut) + 1), [1] * (len(cut) + 1)
+    for r, e in ends.items():
+        lows[r] = int(e.lo)
+        strides[r] = max(1, (int(e.hi) - int(e.lo) + 1) * block // int(e.n))
+    low, stride = (F.element_at(_literal(v), F.col("_r") + 1) for v in (lows, strides))
+    inside = F.call_function("div", F.col("_key") - low, stride)
+    return at, F.shiftleft(F.col("_r").cast("long"), 48) + inside
+
+
+def with_next(docs: DataFrame, block: int = 256, ranges: int = 512) -> DataFrame:
     """doc_id, text, vec and, of the next document by ascending doc_id (after the last: the first), next_text and next_vec.
 
-    Documents are dealt into blocks of neighbouring ids, about ``block`` rows each, and texts are
-    shuffled once. Inside a block the next row is a window's lead; the last row of a block takes the
-    first row of the next block. Null ids come first; rows of one id are ordered by text.
+    Documents are dealt into blocks of neighbours, about ``block`` rows each (see ``_blocks``), and texts are shuffled
+    once. Inside a block the next row is a window's lead; the last row of a block takes the first row of the next
+    block. Null ids come first; rows of one id are ordered by a hash of their text, so that a common id takes many
+    blocks. An empty table gives no row; a single row is its own next.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = (ids.lo or 0), (ids.hi or 0)
-    stride = max(1, (hi - lo + 1) * block // max(1, ids.n))
-    at = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(stride).cast("decimal(20,0)")).cast("long")
-    dealt = docs.withColumn("_block", F.coalesce(at, F.lit(-1).cast("long")))
+    h = F.shiftrightunsigned(F.xxhash64("text"), 4)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", h)
+    # Null ids are below the least long; 60 bits of the hash follow the id.
+    own = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.expr(f"cast('{-(1 << 63) - 1}' as decimal(20,0))"))
+    key = (own * F.expr(f"cast('{1 << 60}' as decimal(19,0))")).cast("decimal(38,0)") + F.col("_h").cast("decimal(20,0)")
+    keyed = docs.withColumn("_key", key.cast("decimal(38,0)"))
+    at, number = _blocks(keyed.select("_key"), block, ranges)
+    dealt = keyed.withColumn("_r", at).withColumn("_block", number).drop("_key", "_r")
 
     # Each block's predecessor: leads inside groups of 1024 blocks, then over the few groups.
     blocks = dealt.select("_block").distinct().withColumn("_group", F.floor(F.col("_block") / 1024))
@@ -95,7 +124,7 @@ def with_next(docs: DataFrame, block: int = 256) -> DataFrame:
     groups = groups.select("_group", F.coalesce(F.lag("_last").over(over), F.last("_last").over(over.rowsBetween(0, Window.unboundedFollowing))).alias("_before"))
     before = blocks.join(groups, "_group").select("_block", F.coalesce(F.lag("_block").over(Window.partitionBy("_group").orderBy("_block")), "_before").alias("_prev"))
 
-    order = Window.partitionBy("_block").orderBy("doc_id", "text")
+    order = Window.partitionBy("_block").orderBy("doc_id", "_h", "text")
     rows = dealt.select("*", F.lead("text").over(order).alias("_lead"), F.lead(F.lit(1)).over(order).isNull().alias("_end"))
     rows = rows.withColumn("vec", vector(F.col("text")))
     rows = rows.withColumn("_lead_vec", F.lead("vec").over(order))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +66,64 @@ def test_next_of_scattered_ids(spark, stretch):
     assert got == {a: f"t{b}." for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def test_blocks_of_uneven_ids_are_small(spark):
+    rows = [(i, f"t{i}.") for i in range(2000)] + [(2**62, "far."), (-(2**63), "least."), (2**63 - 1, "most.")]
+    rows += [(None, f"none {i}.") for i in range(1000)] + [(7, f"again {i}.") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprint.with_next(docs, block=16, ranges=64).collect()
+    after = {(r.doc_id, r.text): r.next_text for r in got}
+    assert len(after) == len(got) == len(rows) and set(after.values()) == {t for _, t in rows}
+    ids = {t: i for i, t in rows}
+    for (i, t), u in after.items():
+        j = ids[u]
+        if t == "most.":
+            assert j is None
+        elif i is not None:
+            assert j >= i and not (i < 2000 and i != 7 and j != i + 1 and i not in (1999, -(2**63)))
+    # About 80 rows a range; even one with a far id keeps far less than all rows in a block.
+    keyed = docs.select(((F.coalesce(F.col("doc_id"), F.lit(-1)).cast("decimal(20,0)") * F.lit(2**20).cast("decimal(18,0)")) + F.pmod(F.xxhash64("text"), F.lit(2**20))).cast("decimal(38,0)").alias("_key"))
+    at, number = fingerprint._blocks(keyed, 16, 64)
+    assert keyed.withColumn("_r", at).groupBy(number.alias("b")).count().agg(F.max("count")).first()[0] <= 400
+
+
+def plain_vector(text):
+    """The fingerprint by its definition, with xxhash's own library (Spark's seed is 42)."""
+    def h(data, seed=42):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    lanes = [0] * (fingerprint.LANES + 1)
+    for p in re.split(fingerprint.BREAKS, text or ""):
+        if p.strip(" "):
+            bits, salt = h(p.encode()), h(p.encode(), h(struct.pack("<i", 1)))
+            for i in range(fingerprint.LANES):
+                high = h(struct.pack("<i", i), h(struct.pack("<Q", salt))) & 0xFFFFFF
+                lanes[i] = (lanes[i] + (high << 24) + (bits >> i & 1)) % 2**48
+            lanes[-1] = (lanes[-1] + 1) % 2**48
+    return lanes
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    s = [np.array([2 * (x & 0xFFFFFF) - v[-1] for x in v[:-1]], float) for v in (a, b)]
+    norm = s[0] @ s[0] + s[1] @ s[1]
+    return 0.0 if norm == 0 else float(min(1, max(0, 2 * (s[0] @ s[1]) / norm)))
+
+
+def test_fingerprints_by_definition(spark, none):
+    texts = ["A b. C d!\nE f.", None, "E f.\n A b.", "", "é ü? 日本\n\nx", "A b.\n" * 50 + "end", "A b. C d! Q."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs).collect()}
+    for i, t in enumerate(texts):
+        t, u = t or "", texts[(i + 1) % len(texts)] or ""
+        half = len(t) // 2
+        a, b, c = (plain_vector(x) for x in (t, t[: len(t) - half] + u[:half], u))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:012x}" for x in v) for v in (a, b))
+        assert r.near_edited == pytest.approx(plain_likeness(a, b)) and r.near_next == pytest.approx(plain_likeness(a, c))
+    assert fingerprint.fingerprint_edits(none).count() == 0
+
+
 # Line dedup
 
 def plain_dedup(docs, min_lines=4, min_words=10):
