@@ -171,8 +171,9 @@ def cluster_update(state: DataFrame, row, slot: int) -> DataFrame:
 
 
 def cluster_leave_one_out(state: DataFrame, slot: int) -> DataFrame:
-    """``dist`` without one slot, from the two nearest."""
-    return state.withColumn("dist", F.when(F.col("near_slot") == slot, F.col("next_dist")).otherwise(F.col("dist")))
+    """``dist`` without one slot, from the two nearest; 1, as before the first, without the only one."""
+    left = F.when(F.col("next_slot") < 0, F.lit(1.0)).otherwise(F.col("next_dist"))
+    return state.withColumn("dist", F.when(F.col("near_slot") == slot, left).otherwise(F.col("dist")))
 
 
 def assign(pts: DataFrame, chosen: Prototypes, energy: str | Energy, weights: bool = False) -> DataFrame:
@@ -203,14 +204,24 @@ def independent(chosen: Prototypes, row: np.ndarray, tol: float = 1e-12) -> bool
 
 
 def reconstruct(pts: DataFrame, chosen: Prototypes, energy: str | Energy) -> DataFrame:
-    """recon: every row from the prototypes by its weights."""
+    """recon (and recon_im for complex rows): every row from the prototypes by its weights."""
     x, e = checked(chosen.x), of(energy)
+    if np.iscomplexobj(x):
+
+        def parts(m):
+            r = e.weights(x, m) @ x
+            return {"recon": np.ascontiguousarray(r.real), "recon_im": np.ascontiguousarray(r.imag)}
+
+        return add_columns(pts, parts, "recon array<double>, recon_im array<double>")
     return add_columns(pts, lambda m: {"recon": e.weights(x, m) @ x}, "recon array<double>")
 
 
 def reconstruction_error(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: float | None = 2) -> DataFrame:
     """``reconstruct`` and ``error``: the p-norm of what is missing over the number of coordinates."""
     rows = reconstruct(pts, chosen, energy)
+    if "recon_im" in rows.columns:
+        re, im = (F.zip_with(a, b, lambda x, y: x - y) for a, b in (("re", "recon"), ("im", "recon_im")))
+        return rows.withColumn("error", pnorm(F.zip_with(re, im, F.hypot), p) / F.size("re"))
     return rows.withColumn("error", pnorm(F.zip_with("features", "recon", lambda a, b: a - b), p) / F.size("features"))
 
 

@@ -156,6 +156,42 @@ def test_complex_points(spark):
     w = np.array([r.weights for r in rows]) + 1j * np.array([r.weights_im for r in rows])
     assert np.allclose(np.linalg.norm(z - w @ got.chosen.x, axis=1), [r.dist for r in rows])
     assert len(swap.swap_sampling(pts, got.chosen, "lowrank", 2).chosen) == 2
+    made = energies.reconstruct(pts, got.chosen, "lowrank").orderBy("id").collect()
+    assert np.allclose([np.array(r.recon) + 1j * np.array(r.recon_im) for r in made], w @ got.chosen.x)
+    error = [r.error for r in energies.reconstruction_error(pts, got.chosen, "lowrank").orderBy("id").collect()]
+    assert np.allclose(error, np.array([r.dist for r in rows]) / 3)
+
+
+def test_the_only_prototype_left_out(pts):
+    state = energies.cluster_assign2(pts, pairs.prototypes(pts, [3]))
+    by_state = {r.dist for r in energies.cluster_leave_one_out(state, 0).collect()}
+    assert by_state == {r.left_out[0] for r in energies.leave_one_out(pts, pairs.prototypes(pts, [3]), "cluster").collect()} == {1.0}
+
+
+def test_states_before_the_first_prototype(pts):
+    x = x_of(pts)
+    assert {r.dist for r in energies.initial_state(pts, "cluster").collect()} == {1.0}
+    got = [r.dist for r in energies.initial_state(pts, "lowrank").orderBy("id").collect()]
+    assert np.allclose(got, np.linalg.norm(x, axis=1))
+
+
+@pytest.mark.parametrize("p", [1, 2, 5, None])
+def test_no_prototypes_beat_the_optimal_curve(pts, p):
+    x = x_of(pts)
+    values = np.linalg.svd(x, compute_uv=False)
+    bound = {r.k: r.bound for r in energies.optimal_lowrank_curve(pts, 4, p).collect()}
+    for k in range(5):
+        rest = values[k:]
+        want = rest.max(initial=0) if p is None else (rest**p).sum() ** (1 / p) / len(x) ** (1 / p)
+        assert bound[k] == pytest.approx(want, abs=1e-6)
+    if p == 2:
+        got = [build.build_search(pts, k, "lowrank", 2).energy / len(x) ** 0.5 for k in (1, 2)]
+        assert got[0] >= bound[1] and got[1] >= bound[2]
+
+
+def test_rows_by_label(spark):
+    rows = spark.createDataFrame([(3, [1.0], 2), (1, [2.0], 2), (2, [3.0], None), (5, [4.0], 1)], "id long, features array<double>, label int")
+    assert [r.id for r in prep.sort_by_label(rows).collect()] == [2, 5, 1, 3]
 
 
 def test_user_energy(pts):
