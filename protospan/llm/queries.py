@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.llm import bpe, fingerprint, langid, lattice, linededup, neardup, ngramjoin, packing, quality, urlfilter
+from protospan.llm import bpe, fingerprint, hardneg, langid, lattice, linededup, merkle, neardup, ngramjoin, packing, quality, urlfilter, warc
 from protospan.llm.sample import remainder
 
 
@@ -68,6 +68,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    columns = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    # Every second document is tampered with: its line feeds go.
+    other = merkle.leaf_of((columns | {"text": F.replace("text", F.lit("\n"), F.lit(""))}).values())
+    tampered = F.when((remainder("doc_id", 2) == 0) & F.contains("text", F.lit("\n")), other)
+    rows = merkle.manifest(docs, merkle.leaf_of(columns.values()), "source", "doc_id", carry={"tampered": tampered})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = warc.read_archives(spark, warc.write_archives(pages, warc.new_folder(spark)))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -79,8 +101,20 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
 
+_CRC = """
+        crc AS (
+            -- Unsigned crc32 of the decimal id, bit by bit.
+            SELECT doc_id, xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+                lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+                4294967295::BIGINT), 4294967295) AS crc
+            FROM (SELECT DISTINCT doc_id FROM documents))
+"""
+
 #: Least node reachable by links e(a, b) in either direction.
 _REACH = """
         reach AS (
@@ -158,4 +192,78 @@ ORACLE_SQL = {
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN fits f USING (page_id)
     """,
+    "op11_hard_negatives": """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS s
+            FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER w AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 100 * n.s BETWEEN 30 * p.s AND 90 * p.s
+        WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)
+        QUALIFY row_number() OVER w <= 10
+    """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC},
+        kept AS (SELECT DISTINCT doc_id FROM crc WHERE crc % 2 = 1),
+        parts AS (
+            SELECT doc_id, source, text, replace(text, chr(10), '') AS other,
+                   concat({', '.join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))}) AS head
+            FROM documents),
+        leaves AS MATERIALIZED (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+                   sha256(head || coalesce(octet_length(encode(text))::VARCHAR || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(octet_length(encode(t))::VARCHAR || ':' || t, '-')) AS tampered
+            FROM (SELECT *, CASE WHEN doc_id IN (SELECT doc_id FROM kept) THEN text ELSE other END AS t FROM parts)),
+        tree AS (
+            SELECT source, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+            UNION ALL
+            SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+            FROM tree WHERE n > 1 GROUP BY source, level, pos // 3, n),
+        nodes AS MATERIALIZED (SELECT * FROM tree),
+        subroots AS MATERIALIZED (
+            SELECT source, h AS subroot, level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+        tops AS MATERIALIZED (SELECT * FROM top),
+        steps AS (
+            SELECT l.source, l.pos, t.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos < l.pos // (3**t.level)::BIGINT), '') AS before,
+                   coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos > l.pos // (3**t.level)::BIGINT), '') AS after
+            FROM leaves l JOIN nodes t ON t.source IS NOT DISTINCT FROM l.source AND t.n > 1 AND t.pos // 3 = l.pos // (3**(t.level + 1))::BIGINT
+            GROUP BY l.source, l.pos, t.level
+            UNION ALL
+            SELECT l.source, l.pos, r.level + t.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos < r.pos // (3**t.level)::BIGINT), ''),
+                   coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos > r.pos // (3**t.level)::BIGINT), '')
+            FROM leaves l JOIN subroots r ON r.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.n > 1 AND t.pos // 3 = r.pos // (3**(t.level + 1))::BIGINT
+            GROUP BY l.source, l.pos, r.level, t.level),
+        proofs AS (
+            SELECT source, pos, list(struct_pack(before := before, after := after) ORDER BY level) AS proof FROM steps GROUP BY source, pos),
+        folds AS (
+            SELECT l.*, coalesce(p.proof, []) AS proof FROM leaves l LEFT JOIN proofs p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos),
+        fold AS (
+            SELECT source, pos, proof, 0 AS step, tampered AS h FROM folds
+            UNION ALL
+            SELECT source, pos, proof, step + 1, sha256(proof[step + 1].before || h || proof[step + 1].after) FROM fold WHERE step < len(proof))
+        SELECT f.doc_id, f.leaf, r.subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+               sha256(array_to_string(list_transform(f.proof, lambda s: s.before || s.after), '')) AS proof_sha256,
+               e.h AS folded_root, e.h = (SELECT h FROM tops WHERE n = 1) AS verified
+        FROM folds f JOIN subroots r ON r.source IS NOT DISTINCT FROM f.source
+        JOIN fold e ON e.source IS NOT DISTINCT FROM f.source AND e.pos = f.pos AND e.step = len(f.proof)
+    """,
+    "op13_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        g AS (
+            SELECT *, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) END AS last FROM p)
+        SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest,
+               CASE WHEN last IS DISTINCT FROM page_id AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+        FROM g
+    """,
 }

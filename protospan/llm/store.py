@@ -41,6 +41,14 @@ def delete(path: str) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def remove_later(path: str) -> str:
+    """A folder that goes when the driver's Python ends."""
+    if not _written:
+        atexit.register(release)
+    _written.add(path)
+    return path
+
+
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` (of about so many ``rows``, if known) written once as a table in the shared folder and read again.
 
@@ -48,11 +56,8 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     many tasks wrote it, and cost nothing when executors are lost. The table goes with ``release``, or
     when the driver's Python ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = remove_later(f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
     (df if rows is None else by_tasks(df, rows)).write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.add(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
