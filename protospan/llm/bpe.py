@@ -16,6 +16,7 @@ the results (``ids``, ``bytes`` or those asked for) are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -23,7 +24,8 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from protospan.llm.store import python_ready
@@ -300,22 +302,28 @@ def packed_ids(column, encoder: TreeEncoder) -> pa.Array:
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array, drop: tuple[str, ...] = ()) -> pa.RecordBatch:
-    kept = [c for c in batch.schema.names if c != name and c not in drop]
+    kept = [c for c in batch.schema.names if c.lower() != name.lower() and c not in drop]
     return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [column], [*kept, name])
 
 
 def _schema(df: DataFrame, name: str, kind: T.DataType, drop: tuple[str, ...] = ()) -> T.StructType:
-    return T.StructType([f for f in df.schema if f.name != name and f.name not in drop] + [T.StructField(name, kind)])
+    return T.StructType([f for f in df.schema if f.name.lower() != name.lower() and f.name not in drop] + [T.StructField(name, kind)])
+
+
+def sent(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
+    """A vocabulary file for the tasks, and the digest of its bytes, by which workers know what they have made of it."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    return spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` in place of it. The rank file is read here and sent to the tasks (some 1 MB)."""
     python_ready(docs.sparkSession)
-    with open(ranks_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    raw, mark = sent(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = made("tree", (pattern, len(raw.value)), lambda: tree_encoder(pattern, raw.value))
+        encoder = made("tree", (pattern, mark), lambda: tree_encoder(pattern, raw.value))
         for batch in batches:
             for part in range(0, batch.num_rows, 256):  # ids of few texts at a time
                 b = batch.slice(part, 256)
@@ -327,14 +335,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``rows`` with the bytes that their ids stand for; null ids give no bytes."""
     python_ready(rows.sparkSession)
-    with open(ranks_path, "rb") as f:
-        raw = rows.sparkSession.sparkContext.broadcast(f.read())
+    raw, mark = sent(rows.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table():
             return {int(b): base64.b64decode(a) for a, b in map(bytes.split, raw.value.splitlines())}
 
-        of = made("bytes", len(raw.value), table)
+        of = made("bytes", mark, table)
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 b = batch.slice(part, 256)

@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     python_ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = ("lang_pred", "score", "rejected")
-    kept = [f for f in docs.schema if f.name not in added]
+    kept = [f for f in docs.schema if f.name.lower() not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

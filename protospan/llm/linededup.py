@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """The document's key, its text and, in ``_row``, its columns."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64("text").alias("_t"),
-        F.col("text").alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row"),
     )
 
 

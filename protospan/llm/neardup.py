@@ -58,7 +58,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in range(0, batch.num_rows, 256):
             b = batch.slice(part, 256)
-            rep, weight, packed = b.column("rep").to_numpy(), b.column("weight").to_numpy(), b.column("e").to_pylist()
+            rep, num, weight, packed = (*(b.column(c).to_numpy() for c in ("rep", "num", "weight")), b.column("e").to_pylist())
             lengths = np.array([len(v) for v in packed])
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
@@ -67,9 +67,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = buckets(unit(x / scale))
                 raw = [v.tobytes() for v in x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), pa.array(np.repeat(rep[at], TABLES)),
+                    [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), *(pa.array(np.repeat(v[at], TABLES)) for v in (rep, num)),
                      pa.array(np.repeat(weight[at], TABLES)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), TABLES)))],
-                    names=["bucket", "tab", "rep", "weight", "raw"],
+                    names=["bucket", "tab", "rep", "num", "weight", "raw"],
                 )
 
 
@@ -121,7 +121,7 @@ def _compared(threshold: float):
         def group(rows: pa.Table | pa.RecordBatch) -> None:
             if rows.num_rows < 2:
                 return
-            block, rep, weight = (rows.column(c).to_numpy() for c in ("block", "rep", "weight"))
+            block, rep, num, weight = (rows.column(c).to_numpy() for c in ("block", "rep", "num", "weight"))
             if len(block) < 2 or (rows.column("lo")[0] != rows.column("hi")[0] and block.min() == block.max()):
                 return
             i, j = _links(rows.column("tab")[0].as_py(), block, rows.column("raw").to_pylist(), threshold)
@@ -129,7 +129,7 @@ def _compared(threshold: float):
                 return
             n = np.bincount(i, weight[j], len(rep)) + np.bincount(j, weight[i], len(rep))
             for k in np.flatnonzero(n).tolist():
-                out[0].append(rep[k])
+                out[0].append(num[k])
                 out[1].append(None)
                 out[2].append(int(n[k]))
             for a, b in _forest(i, j, len(rep)):
@@ -178,21 +178,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.when(F.coalesce(_usable(e), F.lit(False)) & F.col("vec_id").isNotNull(), e).alias("e"))
     rows = rows.withColumns({"h1": F.when(F.col("e").isNotNull(), F.xxhash64("e")), "h2": F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(1), "e"))})
     alike = rows.filter("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("e").alias("e"))
-    alike = materialize(alike)
-    hashed = alike.select("rep", "weight", "e").mapInArrow(_hashed, "bucket long, tab int, rep long, weight long, raw binary")
+    alike = materialize(alike.withColumn("num", F.monotonically_increasing_id()))
+    hashed = alike.select("rep", "num", "weight", "e").mapInArrow(_hashed, "bucket long, tab int, rep long, num long, weight long, raw binary")
     sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (
         hashed.join(sizes, "bucket")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tab", "block", "rep", "weight", "raw")
+        .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tab", "block", "rep", "num", "weight", "raw")
     )
     keys = ("bucket", "lo", "hi")
     found = materialize(dealt.repartition(*keys).sortWithinPartitions(*keys, "block").mapInArrow(_compared(threshold), "a long, b long, n long"))
-    counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    counts = found.filter("b is null").groupBy(F.col("a").alias("num")).agg(F.sum("n").alias("links"))
     groups = components(found.filter("b is not null"))
-    by_rep = alike.select("h1", "h2", "rep", "weight").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    by_rep = alike.select("h1", "h2", "rep", "num", "weight").join(counts, "num", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("h1", "h2", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     # Rows without a usable vector stay out of the join, so that they do not meet in one task.
     linked = rows.filter("e is not null").select("vec_id", "h1", "h2").join(by_rep, ["h1", "h2"]).select(

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from protospan.llm.bpe import made
+from protospan.llm.bpe import made, sent
 from protospan.llm.store import materialize, python_ready
 
 CAPACITY = 1024
@@ -141,12 +141,11 @@ def text_encoder(raw: bytes, added: bool = False) -> AddedEncoder:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids (BINARY); chunk and place number a partition's pieces of a length."""
     python_ready(docs.sparkSession)
-    with open(tokenizer_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    raw, mark = sent(docs.sparkSession, tokenizer_path)
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = made("packing", (len(raw.value), added), lambda: text_encoder(raw.value, added))
+        encode = made("packing", (mark, added), lambda: text_encoder(raw.value, added))
         chunk, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for part in range(0, batch.num_rows, 256):

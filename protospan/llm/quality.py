@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     """``docs`` with score and predicted."""
     python_ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema if f.name not in ("score", "predicted")]
+    kept = [f for f in docs.schema if f.name.lower() not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

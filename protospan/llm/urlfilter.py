@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that pages of one URL are dealt to.
+DEALS = 32
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: The production rules (host, path, action).
@@ -62,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     # A page is its URL and a struct of its columns, whose names then clash with none of those made here. Pages
     # without a host stay out of the join, so that they do not meet in one task.
-    pages_ = pages.select(pages[url].alias("_url"), F.struct(*[pages[c] for c in pages.columns]).alias("_row"))
+    pages_ = pages.select(F.col(f"`{url}`").alias("_url"), F.struct(*[F.col(f"`{c}`").alias(c) for c in pages.columns]).alias("_row"))
     hosted = F.coalesce(F.col("_url").contains("://"), F.lit(False))
     urls = pages_.filter(hosted).select("_url")
     split = urls.select("_url", F.split(host_of("_url"), r"\.").alias("_labels"), F.split(path_of("_url"), "/").alias("_parts"))
@@ -91,10 +93,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
             F.when(F.col("_action") == "block", 0).otherwise(1).alias("c"), F.col("_action").alias("action"),
         )).alias("_best"))
     )
+    # A URL that many pages have is dealt to DEALS tasks by what else its pages hold.
+    hits = hits.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    told = [F.col(f"_row.`{c}`") for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = pages_.filter(hosted).withColumn("_deal", F.pmod(F.xxhash64(*told), F.lit(DEALS)).cast("int"))
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     none = pages_.filter(~hosted).withColumn("_best", F.lit(None).cast(hits.schema["_best"].dataType))
     return (
-        pages_.filter(hosted).join(hits, "_url", "left").select("_url", "_row", "_best").union(none.select("_url", "_row", "_best"))
+        dealt.join(hits, ["_url", "_deal"], "left").select("_url", "_row", "_best").union(none.select("_url", "_row", "_best"))
         .select(
             *[F.col(f"_row.`{c}`").alias(c) for c in keep],
             host_of("_url").alias("host"),
