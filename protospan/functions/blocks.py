@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,3 +82,62 @@ def partials(pts: DataFrame, start: Callable, kernel: Callable, schema: str, fin
             yield pa.RecordBatch.from_arrays([_arrow(np.asarray(got[n])) for n in names], names=names)
 
     return pts.mapInArrow(run, schema)
+
+
+def summed(pts: DataFrame, fold: Callable) -> list[np.ndarray] | None:
+    """Arrays that ``fold(held, matrix, batch)`` makes of blocks, added over all rows; None without rows.
+
+    A partition sends its arrays whole, a few tasks (the root of the number of cores) add them up as they come, and one
+    adds what these send: the driver gets one row, and no task holds more than two sets of arrays.
+    """
+    ship(pts.sparkSession)
+    tasks = max(2, math.isqrt(pts.sparkSession.sparkContext.defaultParallelism))
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["arrays"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                held = fold(held, matrix(b), b)
+        if held is not None:
+            yield packed(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for raw in batch.column(0):
+                new = pickle.loads(raw.as_py())
+                held = new if held is None else [a + b for a, b in zip(held, new, strict=True)]
+        if held is not None:
+            yield packed(held)
+
+    parts = pts.mapInArrow(each, "arrays binary")
+    rows = parts.repartition(tasks).mapInArrow(add, "arrays binary").repartition(1).mapInArrow(add, "arrays binary").collect()
+    return pickle.loads(rows[0].arrays) if rows else None
+
+
+def cuts(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of rows sorted by ``key``, one for each value."""
+    values = batch.column(key).to_numpy()
+    ends = [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
+    """The parts of each value of ``key``, of batches sorted by it."""
+    value, held = None, []
+    for batch in batches:
+        for part in cuts(batch, key):
+            now = part.column(key)[0].as_py()
+            if held and now != value:
+                yield value, held
+                held = []
+            value = now
+            held.append(part)
+    if held:
+        yield value, held

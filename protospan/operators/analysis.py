@@ -101,7 +101,3 @@ def energy_range(by_k: DataFrame) -> DataFrame:
     """Least and greatest mean energy over methods at the largest k of each."""
     last = by_k.groupBy("method").agg(F.max_by("energy", "k").alias("e"))
     return last.agg(F.min("e").alias("low"), F.max("e").alias("high"))
-
-
-def prototype_rows(pts: DataFrame, ids: list[int]) -> DataFrame:
-    return lookup_points(pts, prototypes(pts, ids))

@@ -39,10 +39,10 @@ def rounded(c, digits: int = 12):
     return F.when(F.abs(c) < 1e-12, F.lit(0.0)).when(c == float("inf"), c).otherwise(F.round(c * size) / size)
 
 
-def draw(rows: DataFrame, dist: str, p: float | None, seed: int, step, own: int | None = None):
+def draw(rows: DataFrame, dist: str, p: float | None, seed: int, step, own: int | None = None, above: float = 0.0):
     """One weighted draw, as an exponential race in log space: total weight, largest distance, own weight, winner, and winner other than ``own``.
 
-    Rows of distance 0 are never drawn. With p = None all rows at the largest distance are alike.
+    Rows of distance 0, or up to ``above``, are never drawn. With p = None all rows at the largest distance are alike.
     """
     d = F.col(dist)
     if p is None:
@@ -51,7 +51,7 @@ def draw(rows: DataFrame, dist: str, p: float | None, seed: int, step, own: int
     else:
         weight = F.pow(d, F.lit(float(p)))
     race = F.log(-F.log(uniform(seed, step, "id"))) - (F.lit(0.0) if p is None else p * F.log(d))
-    live = weight > 0 if p is None else d > 0
+    live = (weight > 0) & (d > above) if p is None else d > above
     row = F.struct("id", *vector_columns(rows))
     key = F.struct(F.when(live, race).alias("r"), F.when(live, F.col("id")).alias("i"))
     other = live if own is None else live & (F.col("id") != own)
@@ -72,6 +72,8 @@ def with_distance(pts: DataFrame, chosen: Prototypes, energy: Energy, out: str =
 def init_set(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: float | None) -> list[float]:
     """Energies of all prefixes of a given set, from one pass over the points."""
     e, s = of(energy), checked(chosen.x)
+    if not len(s):
+        return []
 
     def fold(held, m, _):
         d = np.stack([e.distance(s[: t + 1], m) for t in range(len(s))])
@@ -98,7 +100,8 @@ def _empty(pts: DataFrame) -> Prototypes:
 
 
 def build_sampling(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42) -> Build:
-    """Add rows with probability in proportion to distance^p. Ends early when all distances are 0.
+    """Add rows with probability in proportion to distance^p. Ends early when all distances are 0, or, for an energy
+    with a least ``gap``, when no row is left that does not (nearly) depend on the prototypes.
 
     A draw weighs all rows, and so finds the energy of the step before: a step is one pass, the last one two.
     """
@@ -111,7 +114,7 @@ def build_sampling(pts: DataFrame, k: int, energy: str | Energy = "cluster", p:
         began = now
 
     for step in range(k):
-        got = draw(with_distance(pts, out.chosen, e), "dist", p, seed, step)
+        got = draw(with_distance(pts, out.chosen, e), "dist", p, seed, step, above=e.gap)
         if step:
             close(got.top if p is None else got.total ** (1 / p))
         if got.winner is None:
@@ -122,16 +125,20 @@ def build_sampling(pts: DataFrame, k: int, energy: str | Energy = "cluster", p:
     return out
 
 
-def build_search(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42) -> Build:
-    """Add the row that lowers the energy most; ties go by hash. Ends when every row is chosen."""
+def build_search(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, cands: DataFrame | None = None) -> Build:
+    """Add the row (of ``cands``, if given) that lowers the energy most; ties go by hash. Ends when every row is
+    chosen, or when the best one depends on the prototypes, so that no row is of use."""
     e, out = of(energy), Build(_empty(pts))
+    cands = pts if cands is None else cands
     for step in range(k):
         began = time.perf_counter()
-        values = search_values(pts, out.chosen, e, p).filter(~F.col("id").isin([int(i) for i in out.chosen.ids]))
+        values = search_values(pts, out.chosen, e, p, cands).filter(~F.col("id").isin([int(i) for i in out.chosen.ids]))
         best = values.agg(F.min(F.struct(rounded(F.col("value")).alias("v"), uniform(seed, step, "id").alias("u"), "id", "value")).alias("b")).first().b
         if best is None:
             break
-        new = prototypes(pts, [best.id])
+        new = prototypes(cands, [best.id])
+        if len(out.chosen) and e.distance(out.chosen.x, new.x)[0] <= e.gap:
+            break
         out.chosen = out.chosen.added(best.id, new.x[0])
         out.log.append((step, best.id, time.perf_counter() - began, best.value))
     return out

@@ -11,16 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protospan.functions import kernels
-from protospan.functions.blocks import add_columns, checked, partials
+from protospan.functions.blocks import add_columns, checked, summed
 from protospan.functions.vectors import norm, norm2, pnorm
-from protospan.operators.pairs import Prototypes
+from protospan.operators.pairs import Prototypes, vector_columns
 from protospan.operators.prep import assert_nonneg, center
 
 
+#: Fixed value: a squared distance from the span up to which a row counts as dependent on the prototypes.
+DEPENDENT = 1e-8
+#: Rows times candidates that are compared at a time.
+PAIRS = 1 << 21
+
+
 class Energy:
     """Distances of rows ``x`` to what the prototypes ``s`` (a row each) span in some sense."""
 
     name = ""
+    #: A row this close to what the prototypes span is not drawn.
+    gap = 0.0
 
     def prepare(self, pts: DataFrame) -> DataFrame:
         return pts
@@ -47,6 +55,20 @@ class Energy:
         """Rows by candidates by slots."""
         return np.stack([self.after_add(np.delete(s, t, axis=0), x, c) for t in range(len(s))], axis=2)
 
+    def move_parts(self, s: np.ndarray, x: np.ndarray, c: np.ndarray, p: float | None, swap: bool) -> np.ndarray:
+        """Candidates by slots (one, if nothing is swapped): sum of distance^p, or its maximum, over the rows after the move."""
+        step = max(1, PAIRS // max(1, len(x)))
+        out = np.empty((len(c), len(s) if swap else 1))
+        for at in range(0, len(c), step):
+            for t in range(out.shape[1]):
+                d = self.after_add(np.delete(s, t, axis=0) if swap else s, x, c[at : at + step])
+                out[at : at + step, t] = d.max(axis=0) if p is None else (d**p).sum(axis=0)
+        return out
+
+    def optimality(self, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How far each row's weights are from the best ones; only where they are found by search."""
+        return np.zeros(len(x))
+
 
 class Cluster(Energy):
     """Distance to the nearest prototype; the first slot wins ties. All distances are 1 before the first."""
@@ -91,10 +113,66 @@ class Cluster(Energy):
         return np.minimum(d[:, :, None], self.without(s, x)[:, None, :])
 
 
+    def move_parts(self, s, x, c, p, swap):
+        """As for any energy, but a row is compared only with candidates that may come close enough to matter.
+
+        A candidate changes a row's part only if it is nearer than the nearest prototype, or, where that one's slot
+        is refilled, than the next one. By the triangle inequality it is not if it lies at least the row's distance
+        plus that reach from the row's nearest prototype. So rows are dealt by nearest prototype and sorted by what
+        they reach, candidates by their distance from it.
+        """
+        if not len(s) or type(self).nearest is not Cluster.nearest or type(self).after_add is not Cluster.after_add:
+            return super().move_parts(s, x, c, p, swap)
+        near, dist, _, after = self.nearest(s, x)
+        if swap and len(s) == 1:
+            after = np.full(len(x), np.inf)
+        reach = after if swap else dist
+        k = len(s) if swap else 1
+        power = (lambda d: d) if p is None else (lambda d: d**p)
+        fold = np.maximum if p is None else np.add
+        # What rows give if the candidate is far from all of them.
+        out = np.zeros((len(c), k))
+        gap = kernels.many_distances(c, s)
+        for t in range(len(s)):
+            rows = np.flatnonzero(near == t)
+            rows = rows[np.argsort(-(dist[rows] + reach[rows]), kind="stable")]
+            order = np.argsort(gap[:, t], kind="stable")
+            away = gap[order, t]
+            for at in range(0, len(rows), 256):
+                r = rows[at : at + 256]
+                # The farthest a candidate may lie, a little more for roundings.
+                most = (dist[r[0]] + reach[r[0]]) * (1 + 1e-9)
+                n = int(np.searchsorted(away, most, side="right"))
+                for lo in range(0, len(c), 1024):
+                    who = order[lo : min(lo + 1024, n)] if lo < n else order[:0]
+                    rest = order[max(lo, n) : lo + 1024] if lo + 1024 > n else order[:0]
+                    if len(who):
+                        d = kernels.many_distances(x[r], c[who])
+                        own = power(np.minimum(d, reach[r][:, None]))
+                        all_rows = power(np.minimum(d, dist[r][:, None]))
+                        got, other = (own.max(axis=0), all_rows.max(axis=0)) if p is None else (own.sum(axis=0), all_rows.sum(axis=0))
+                        self._fold(out, who, t, got, other, fold, swap)
+                    if len(rest):
+                        a, b = power(reach[r]), power(dist[r])
+                        got, other = (a.max(), b.max()) if p is None else (a.sum(), b.sum())
+                        self._fold(out, rest, t, got, other, fold, swap)
+        return out
+
+    @staticmethod
+    def _fold(out, who, t, own, other, fold, swap):
+        """Add the parts of rows whose nearest slot is ``t``: ``own`` if that slot is refilled, else ``other``."""
+        if not swap:
+            out[who, 0] = fold(out[who, 0], other)
+            return
+        for slot in range(out.shape[1]):
+            out[who, slot] = fold(out[who, slot], own if slot == t else other)
+
+
 class LowRank(Energy):
     """Distance to the span; real or complex rows."""
 
     name = "lowrank"
+    gap = DEPENDENT**0.5
 
     def weights(self, s, x):
         return x @ np.linalg.pinv(s)
@@ -111,7 +189,54 @@ class LowRank(Energy):
         return np.sqrt(np.maximum(0, d[:, None] - np.where(f > kernels.TINY, gain, 0)))
 
 
-class Conic(Energy):
+class _Combined(Energy):
+    """Distances to combinations with weights of no less than 0."""
+
+    total = False
+
+    def weights(self, s, x):
+        return kernels.convex(x, s) if self.total else kernels.nonnegative(x, s)
+
+    def optimality(self, s, x):
+        return kernels.optimality(x, s, self.weights(s, x), self.total)
+
+    def move_parts(self, s, x, c, p, swap):
+        """As for any energy, but a candidate meets only rows that it brings closer.
+
+        By the optimality conditions a further point changes nothing for a row where its product with what the row
+        lacks is not positive (for convex: not above that of the row's place). For the other rows the search
+        for weights starts from the present ones.
+        """
+        out = np.zeros((len(c), len(s) if swap else 1))
+        power = (lambda d: d) if p is None else (lambda d: d**p)
+        whole = (lambda d: d.max(initial=0)) if p is None else (lambda d: d.sum())
+        for t in range(out.shape[1]):
+            rest = np.delete(s, t, axis=0) if swap else s.reshape(-1, x.shape[1])
+            if self.total and not len(rest):
+                out[:, t] = [whole(power(d)) for d in kernels.many_distances(c, x)]
+                continue
+            h = self.weights(rest, x) if len(rest) else np.zeros((len(x), 0))
+            place = h @ rest
+            left = x - place
+            dist = kernels.norms(left)
+            held = power(dist)
+            step = max(1, PAIRS // max(1, len(x)))
+            for at in range(0, len(c), step):
+                reach = left @ c[at : at + step].T - ((left * place).sum(axis=1)[:, None] if self.total else 0)
+                near = reach > 1e-13 * dist[:, None] * kernels.norms(c[at : at + step])[None, :]
+                for i in range(near.shape[1]):
+                    r = near[:, i]
+                    now = held
+                    if r.any():
+                        points = np.vstack([rest, c[at + i]])
+                        w = kernels.constrained(x[r], points, self.total, np.pad(h[r], ((0, 0), (0, 1))))
+                        now = held.copy()
+                        now[r] = power(np.minimum(dist[r], kernels.norms(x[r] - w @ points)))
+                    out[at + i, t] = whole(now)
+        return out
+
+
+class Conic(_Combined):
     """Distance to the cone of non-negative combinations, of non-negative points."""
 
     name = "conic"
@@ -119,21 +244,16 @@ class Conic(Energy):
     def prepare(self, pts):
         return assert_nonneg(pts)
 
-    def weights(self, s, x):
-        return kernels.nonnegative(x, s)
-
 
-class Convex(Energy):
+class Convex(_Combined):
     """Distance to the convex hull, of centred points."""
 
     name = "convex"
+    total = True
 
     def prepare(self, pts):
         return center(pts)
 
-    def weights(self, s, x):
-        return kernels.convex(x, s)
-
 
 ENERGIES: dict[str, Energy] = {e.name: e for e in (Cluster(), LowRank(), Conic(), Convex())}
 
@@ -176,8 +296,11 @@ def cluster_leave_one_out(state: DataFrame, slot: int) -> DataFrame:
     return state.withColumn("dist", F.when(F.col("near_slot") == slot, left).otherwise(F.col("dist")))
 
 
-def assign(pts: DataFrame, chosen: Prototypes, energy: str | Energy, weights: bool = False) -> DataFrame:
-    """dist of every row and, if asked for, its weights in slot order (re and im parts for complex rows)."""
+def assign(pts: DataFrame, chosen: Prototypes, energy: str | Energy, weights: bool = False, optimality: bool = False) -> DataFrame:
+    """dist of every row and, if asked for, its weights in slot order (re and im parts for complex rows) and ``kkt``.
+
+    kkt says how far conic and convex weights are from optimal, as a share of the sizes of points: some 1e-15 at the optimum.
+    """
     x, e = checked(chosen.x), of(energy)
     split = np.iscomplexobj(x)
 
@@ -186,9 +309,9 @@ def assign(pts: DataFrame, chosen: Prototypes, energy: str | Energy, weights: bo
         if weights:
             w = e.weights(x, m)
             out |= {"weights": np.ascontiguousarray(w.real)} | ({"weights_im": np.ascontiguousarray(w.imag)} if split else {})
-        return out
+        return out | ({"kkt": e.optimality(x, m)} if optimality else {})
 
-    return add_columns(pts, kernel, "dist double" + (", weights array<double>" + ", weights_im array<double>" * split) * weights)
+    return add_columns(pts, kernel, "dist double" + (", weights array<double>" + ", weights_im array<double>" * split) * weights + ", kkt double" * optimality)
 
 
 def leave_one_out(pts: DataFrame, chosen: Prototypes, energy: str | Energy, out: str = "left_out") -> DataFrame:
@@ -197,12 +320,6 @@ def leave_one_out(pts: DataFrame, chosen: Prototypes, energy: str | Energy, out:
     return add_columns(pts, lambda m: {out: e.without(x, m)}, f"{out} array<double>")
 
 
-def independent(chosen: Prototypes, row: np.ndarray, tol: float = 1e-12) -> bool:
-    """Whether a row is not (nearly) in the span of the prototypes."""
-    r = kernels.residual(row[None], kernels.basis(chosen.x))[0] if len(chosen) else row
-    return bool((abs(r) ** 2).sum() > tol)
-
-
 def reconstruct(pts: DataFrame, chosen: Prototypes, energy: str | Energy) -> DataFrame:
     """recon (and recon_im for complex rows): every row from the prototypes by its weights."""
     x, e = checked(chosen.x), of(energy)
@@ -261,26 +378,21 @@ def cluster_sizes(state: DataFrame) -> DataFrame:
     return state.groupBy("near_slot").agg(F.count(F.lit(1)).alias("members"), F.sum("dist").alias("cost"))
 
 
-def scatter_matrices(pts: DataFrame, transforms: list, most: int = 2000) -> np.ndarray:
-    """Sums of x'x over rows after each transform of their blocks: one set of d x d sums a partition, merged by cell."""
-    def fold(held, m, _):
-        if m.shape[1] > most:
-            raise ValueError(f"{m.shape[1]} coordinates are too many for a matrix of pairs of them")
-        new = np.stack([(r := f(m)).T @ r for f in transforms])
-        return new if held is None else held + new
-
-    def finish(held):
-        return None if held is None else {"cell": np.arange(held.size), "value": held.ravel()}
-
-    cells = partials(pts.select("features"), lambda: None, fold, "cell long, value double", finish)
-    # d * d numbers for each transform
-    values = [r.value for r in cells.groupBy("cell").agg(F.sum("value").alias("value")).orderBy("cell").collect()]
-    d = int(round((len(values) / len(transforms)) ** 0.5))
-    return np.array(values).reshape(len(transforms), d, d)
+#: Coordinates of which sums over pairs are held, at most: 32 MB.
+MOST_COORDINATES = 2000
 
 
 def scatter_matrix(pts: DataFrame, transform=lambda m: m) -> np.ndarray:
-    return scatter_matrices(pts, [transform])[0]
+    """The sum of conj(x) x' over rows after a transform of their blocks; d x d."""
+    def fold(held, m, _):
+        if m.shape[1] > MOST_COORDINATES:
+            raise ValueError(f"{m.shape[1]} coordinates are too many for a matrix of pairs of them")
+        r = transform(m)
+        new = [r.conj().T @ r]
+        return new if held is None else [a + b for a, b in zip(held, new, strict=True)]
+
+    got = summed(pts.select(*vector_columns(pts)), fold)
+    return np.zeros((0, 0)) if got is None else got[0]
 
 
 def optimal_lowrank_curve(pts: DataFrame, kmax: int, p: float | None) -> DataFrame:

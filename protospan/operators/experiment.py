@@ -2,19 +2,26 @@
 
 A method is a build ("sampling") or a build and a swap ("search_search"). A method whose name ends in
 ``search`` is the same for every seed and runs for the first one alone.
+
+``run_grid`` keeps its results in a folder: a run is one row, in a partition of its own, that is written when the
+run is done. So a grid that was stopped goes on with the runs that are not there, and swaps read the builds back.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.operators.build import BUILDS, Build
+from protospan.operators.build import BUILDS, Build, init_set
 from protospan.operators.energies import Energy, of
 from protospan.operators.pairs import Prototypes, prototypes
 from protospan.operators.swap import SWAPS, Swap
+from protospan.sources.results import RUN, read_results, write_results
 
 #: The standard grid.
 METHODS = ["search", "sampling", "uniform", "search_search", "sampling_sampling"]
@@ -25,6 +32,10 @@ KEYS = "dataset string, energy string, p string, method string, seed int, k int"
 BUILD_STEPS = KEYS + ", step int, id long, seconds double, energy_value double"
 SWAP_STEPS = KEYS + ", swap_no int, seconds double, energy_value double, stagnation long"
 PROTOTYPES = KEYS + ", slot int, id long"
+RUNS = KEYS + (
+    ", done_ts timestamp, build array<struct<step:int,id:long,seconds:double,energy_value:double>>, "
+    "swaps array<struct<k:int,swap_no:int,seconds:double,energy_value:double,stagnation:long>>, sets array<struct<k:int,slot:int,id:long>>"
+)
 
 
 def power_name(p: float | None) -> str:
@@ -70,8 +81,7 @@ def deterministic_once(table: DataFrame) -> DataFrame:
 def pending_runs(table: DataFrame, done: DataFrame, overwrite: tuple[str, ...] = ()) -> DataFrame:
     """Planned runs that are not done; methods in ``overwrite`` count as not done."""
     kept = done.filter(~F.col("method").isin(list(overwrite))) if overwrite else done
-    keys = ["dataset", "energy", "p", "method", "seed"]
-    return table.join(kept.select(*keys).distinct(), keys, "left_anti")
+    return table.join(kept.select(*RUN).distinct(), RUN, "left_anti")
 
 
 def finished_methods(done: DataFrame, seeds: int) -> DataFrame:
@@ -81,37 +91,98 @@ def finished_methods(done: DataFrame, seeds: int) -> DataFrame:
     return got.filter(F.col("seeds") >= need).drop("seeds")
 
 
-def _rows(key: tuple, run: Run) -> tuple[list, list, list]:
-    build = [(*key, step, i, sec, e) for step, i, sec, e in run.build.log]
-    swap = [(*key, no, sec, e, st) for no, sec, e, st in run.swap.log] if run.swap else []
-    return build, swap, [(*key, slot, i) for slot, i in enumerate(run.chosen.ids)]
+def _swapped(pts: DataFrame, built: Prototypes, swap: str, energy: str | Energy, p: float | None, seed: int, ks: list[int]) -> Iterator[tuple[int, Swap]]:
+    """Swaps from prefixes of a build. The prototypes are fetched once, and one pass gives all prefixes' energies.
+
+    With one prototype there is no search swap, as the best single row is known from the build: its set stays.
+    """
+    energies = init_set(pts, built, energy, p) if swap == "search" and 1 in ks else []
+    for k in ks:
+        first = Prototypes(built.ids[:k], built.x[:k])
+        if k == 1 and swap == "search":
+            yield k, Swap(first, energies[0], [(1, 0.0, energies[0], 0)])
+        else:
+            yield k, SWAPS[swap](pts, first, energy, p, seed)
+
 
+def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str, ...] = (), prefixes: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Do the runs of a grid that ``path`` does not hold yet, builds first; the steps and sets of all runs it holds then.
 
-def run_grid(pts: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """build_steps, swap_steps and prototypes of all runs of a grid; a run is a chain of Spark jobs over the shared points."""
+    A swap starts from the stored build of its energy, power and seed (its first k rows, if it was oversampled), or
+    makes that build first, and swaps every prefix of it, or with ``prefixes=False`` the whole of it alone. Methods
+    in ``overwrite`` are done again. A run is a chain of Spark jobs over the shared points.
+    """
     spark = pts.sparkSession
+    done = stored_runs(spark, path)
+    todo = table if done is None else pending_runs(table, done, overwrite)
+    builds: dict[tuple, list[int]] = {}
+    if done is not None:
+        kept = done.filter(~F.col("method").contains("_") & ~F.col("method").isin(list(overwrite)))
+        # As many ids as all builds of the grid choose.
+        builds = {(r.dataset, r.energy, r.p, r.method, r.seed): r.ids for r in kept.select(*RUN, F.transform("build", lambda b: b["id"]).alias("ids")).collect()}
     ready: dict[str, DataFrame] = {}
-    out: tuple[list, list, list] = ([], [], [])
-    for r in table.orderBy("method", "p", "seed").collect():  # as many rows as runs
+    for r in todo.orderBy(F.col("method").contains("_"), "method", "p", "seed").collect():  # as many rows as runs
         if r.energy not in ready:
             ready[r.energy] = of(r.energy).prepare(pts).persist()
-        run = run_method(ready[r.energy], r.method, r.energy, None if r.p == "inf" else float(r.p), r.k, r.seed)
-        for all_rows, new in zip(out, _rows((r.dataset, r.energy, r.p, r.method, r.seed, r.k), run), strict=True):
-            all_rows += new
+        x, p = ready[r.energy], None if r.p == "inf" else float(r.p)
+        build, _, swap = r.method.partition("_")
+        key = (r.dataset, r.energy, r.p, build, r.seed)
+        steps, sets, moves = [], [], []
+        if not swap or len(builds.get(key, [])) < r.k:
+            made = BUILDS[build](x, r.k, r.energy, p, r.seed)
+            builds[key] = made.chosen.ids
+            steps = [tuple(b) for b in made.log]
+        ids = builds[key][: r.k]
+        if swap:
+            ks = list(range(1, len(ids) + 1)) if prefixes else [len(ids)] if ids else []
+            for k, got in _swapped(x, prototypes(x, ids), swap, r.energy, p, r.seed, ks):
+                moves += [(k, *row) for row in got.log]
+                sets += [(k, slot, i) for slot, i in enumerate(got.chosen.ids)]
+            steps = []
+        else:
+            sets = [(len(ids), slot, i) for slot, i in enumerate(ids)]
+        row = (r.dataset, r.energy, r.p, r.method, r.seed, r.k, datetime.datetime.now(datetime.timezone.utc), steps, moves, sets)
+        write_results(spark.createDataFrame([row], RUNS), path)
     for df in ready.values():
         df.unpersist()
-    return tuple(spark.createDataFrame(rows, schema) for rows, schema in zip(out, (BUILD_STEPS, SWAP_STEPS, PROTOTYPES), strict=True))
+    return run_tables(stored_runs(spark, path), spark)
+
+
+def stored_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The runs that ``path`` holds: their keys, k, done_ts and steps; None if there is none yet."""
+    try:
+        found = read_results(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return found
+
+
+def run_tables(runs: DataFrame | None, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """build_steps, swap_steps and prototypes of stored runs."""
+    if runs is None:
+        return tuple(spark.createDataFrame([], x) for x in (BUILD_STEPS, SWAP_STEPS, PROTOTYPES))
+    keys = [F.col(c) for c in RUN]
+
+    def spread(column: str, names: list[str], own_k: bool) -> DataFrame:
+        each = runs.select(*keys, "k", F.explode(column).alias("r"))
+        return each.select(*keys, *([] if own_k else [F.col("k")]), *[F.col(f"r.{n}").alias(m) for n, m in names])
+
+    moves = [("k", "k"), ("swap_no", "swap_no"), ("seconds", "seconds"), ("energy_value", "energy_value"), ("stagnation", "stagnation")]
+    return (
+        spread("build", [(n, n) for n in ("step", "id", "seconds", "energy_value")], False),
+        spread("swaps", moves, True),
+        spread("sets", [(n, n) for n in ("k", "slot", "id")], True),
+    )
 
 
 def swap_prefixes(pts: DataFrame, built: DataFrame, method: str, energy: str | Energy, p: float | None, seed: int = FIRST_SEED, kmax: int | None = None) -> DataFrame:
-    """swap_steps from every prefix of a stored build (slot, id); with one prototype there is no search swap."""
+    """swap_steps from every prefix of a stored build (slot, id); a single prototype stays as it is in a search swap."""
     spark = pts.sparkSession
     ids = [r.id for r in built.orderBy("slot").collect()]  # k rows
     swap, name = method.partition("_")[2], energy if isinstance(energy, str) else energy.name
-    rows = []
-    for k in range(1, min(kmax or len(ids), len(ids)) + 1):
-        if k == 1 and swap == "search":
-            continue
-        done = SWAPS[swap](pts, prototypes(pts, ids[:k]), energy, p, seed)
-        rows += [("", name, power_name(p), method, seed, k, no, sec, e, st) for no, sec, e, st in done.log]
+    ks = list(range(1, min(kmax or len(ids), len(ids)) + 1))
+    found = _swapped(pts, prototypes(pts, ids[: max(ks, default=0)]), swap, energy, p, seed, ks)
+    rows = [("", name, power_name(p), method, seed, k, no, sec, e, st) for k, done in found for no, sec, e, st in done.log]
     return spark.createDataFrame(rows, SWAP_STEPS)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from protospan.functions import kernels
+from protospan.functions.blocks import matrix
+from protospan.functions.ship import ship
 from protospan.functions.tables import kept
 from protospan.functions.vectors import norm, uniform
 
@@ -106,10 +113,63 @@ def with_position(pts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "_p").withColumn("position", place).drop("_m", "_p", "_before")
 
 
+def transpose_chunks(pts: DataFrame, cells: int = 1 << 21) -> DataFrame:
+    """Coordinates as points, in chunks: id (a coordinate), chunk (the position of its first old point) and features, a
+    component for each of the old points from there on.
+
+    A chunk holds at most ``cells`` numbers over all coordinates, so that no row grows with the number of points.
+    Labels go, as they belong to the old points.
+    """
+    ship(pts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, at = matrix(batch), batch.column("position").to_numpy()
+            order = np.argsort(at)
+            m, at = m[order], at[order]
+            step = max(1, cells // max(1, m.shape[1]))
+            # Neighbouring positions make a chunk.
+            starts = [k for a, b in zip([0, *(np.flatnonzero(np.diff(at) != 1) + 1)], [*(np.flatnonzero(np.diff(at) != 1) + 1), len(at)], strict=True) for k in range(a, b, step)]
+            for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+                part = np.ascontiguousarray(m[a:b].T)
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                columns = [pa.array(np.arange(len(part))), pa.array(np.full(len(part), at[a])), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "chunk", "features"])
+
+    return with_position(pts.select("id", "features")).select("position", "features").mapInArrow(run, "id long, chunk long, features array<double>")
+
+
 def transpose(pts: DataFrame) -> DataFrame:
-    """Coordinates as points (id = coordinate), with a component for each old point by id. Labels go, as they belong to the old points."""
-    cells = with_position(pts.select("id", "features")).select("position", F.posexplode("features").alias("pos", "v"))
-    return cells.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "v"))), lambda s: s["v"]).alias("features")).select(F.col("pos").cast("long").alias("id"), "features")
+    """Coordinates as points (id = coordinate), with a component for each old point by id; a row holds as many numbers as
+    there were points, so for many points use ``transpose_chunks``. Labels go, as they belong to the old points."""
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "features"))), lambda s: s["features"]))
+    return transpose_chunks(pts).groupBy("id").agg(whole.alias("features"))
+
+
+def _folded(chunks: DataFrame, ids: list[int], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[Column], Column], out: str) -> DataFrame:
+    """id and an array: for every point in chunks and each of ``ids`` the sum of what ``kernel`` makes of chunks."""
+    ship(chunks.sparkSession)
+
+    def run(t: pa.Table) -> pa.Table:
+        b = t.combine_chunks().to_batches()[0]
+        m, own = matrix(b), b.column("id").to_numpy()
+        place = {i: k for k, i in enumerate(own.tolist())}
+        parts = kernel(m, m[[place[i] for i in ids]])
+        ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * parts.shape[1])
+        return pa.table([pa.array(own), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(parts).ravel()))], names=["id", "parts"])
+
+    parts = chunks.groupBy("chunk").applyInArrow(run, "id long, parts array<double>")
+    return parts.groupBy("id").agg(F.array(*[finish(F.sum(F.element_at("parts", k + 1))) for k in range(len(ids))]).alias(out))
+
+
+def chunk_distances(chunks: DataFrame, ids: list[int], out: str = "distances") -> DataFrame:
+    """Euclidean distances of points in chunks to those of some ids, in their order."""
+    return _folded(chunks, ids, lambda m, c: kernels.distances(m, c) ** 2, F.sqrt, out)
+
+
+def chunk_products(chunks: DataFrame, ids: list[int], out: str = "products") -> DataFrame:
+    """Inner products of points in chunks with those of some ids, in their order."""
+    return _folded(chunks, ids, lambda m, c: m @ c.T, lambda s: s, out)
 
 
 def assert_nonneg(pts: DataFrame, tol: float = 1e-13) -> DataFrame:

@@ -1,58 +1,93 @@
 """What the energy would be after one move: a candidate added, or put in a slot.
 
-Candidates and points are dealt into blocks; a task compares a block of candidates with a block of points
-and returns one partial sum (or maximum) for each candidate and slot, so that neither side is held whole
-anywhere and n^2 rows never exist. The low-rank energy with p = 2 needs only sums of x'x.
+Candidates go out in chunks of a few thousand; every task compares a chunk with its points, which stay where they
+are, and returns one partial sum (or maximum) for each candidate and slot. So what is shuffled is a few numbers for
+each candidate and partition, and n^2 rows never exist. The cluster energy skips points that no candidate of a block
+can reach. The low-rank energy with p = 2 needs only sums over the points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protospan.functions import kernels
-from protospan.functions.blocks import add_columns, checked, matrix
+from protospan.functions.blocks import add_columns, checked, partials, summed
 from protospan.functions.ship import ship
-from protospan.operators.energies import Energy, LowRank, assign, cost, of, scatter_matrices, scatter_matrix
-from protospan.operators.pairs import Prototypes, vector_columns
+from protospan.functions.tables import kept
+from protospan.operators.energies import MOST_COORDINATES, Energy, LowRank, assign, cost, of, scatter_matrix
+from protospan.operators.pairs import Prototypes, row_vector, vector_columns
+
+#: Candidates that go to every task at a time, at most, and their bytes.
+CANDIDATES, CHUNK_BYTES = 4096, 1 << 24
+#: Rows a partition of a small table, at least, where there are more cores than partitions.
+LEAST_ROWS = 16
+
+
+def fitting(pts: DataFrame) -> int:
+    """Candidates that go to every task at a time."""
+    return max(1, min(CANDIDATES, CHUNK_BYTES // (8 * max(1, _width(pts)))))
+
+
+def chunks(cands: DataFrame, rows: int, fit: int) -> Iterator[DataFrame]:
+    """``cands`` (about so many ``rows``) in parts of about ``fit`` rows, dealt by id."""
+    n = max(1, -(-rows // fit))
+    for k in range(n):
+        yield cands.filter(F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.lit(n)) == k) if n > 1 else cands
+
 
-#: Points that a task compares at a time; candidates in a block.
-POINTS, CANDIDATES = 2048, 256
+def dealt(pts: DataFrame, rows: int) -> DataFrame:
+    """``pts`` in as many partitions as there are cores, if it is a table that few tasks would read."""
+    cores = pts.sparkSession.sparkContext.defaultParallelism
+    if rows > cores * 4096 * LEAST_ROWS:
+        return pts
+    return pts.select("id", *vector_columns(pts)).repartition(max(1, min(cores, rows // LEAST_ROWS)))
 
 
-def _moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool, point_blocks: int, cand_blocks: int) -> DataFrame:
+def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool) -> DataFrame:
+    """id, slot and value of every move of a chunk of candidates, which goes to every task; a partition of points
+    returns a number for each candidate and slot."""
     vec = vector_columns(pts)
+    found = cands.select("id", *vec).collect()  # a chunk
+    spark = pts.sparkSession
+    if not found:
+        return spark.createDataFrame([], "id long, slot int, value double")
+    ids, c = np.array([r.id for r in found], np.int64), checked(np.stack([row_vector(r) for r in found]))
+    k = len(s) if swap else 1
 
-    def dealt(df: DataFrame, is_point: bool) -> DataFrame:
-        own, others = (point_blocks, cand_blocks) if is_point else (cand_blocks, point_blocks)
-        mine, other = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        rows = df.select("id", *vec, mine.alias("mine"), other.alias("other"))
-        a, b = ("mine", "other") if is_point else ("other", "mine")
-        return rows.select("id", *vec, F.lit(is_point).alias("is_point"), F.col(a).alias("pb"), F.col(b).alias("cb"))
-
-    made = pa.schema([("id", pa.int64()), ("slot", pa.int32()), ("part", pa.float64())])
-
-    def score(t):
-        out, t = [], t.combine_chunks()
-        x = matrix(t.select(vec).to_batches()[0])
-        who = t.column("is_point").to_numpy(zero_copy_only=False).astype(bool)
-        ids, pts_x, c = t.column("id").to_numpy()[~who], x[who], x[~who]
-        for at in range(0, len(c) if len(pts_x) else 0, 64):
-            got = e.after_swap(s, pts_x, c[at : at + 64]) if swap else e.after_add(s, pts_x, c[at : at + 64])[:, :, None]
-            part = got.max(axis=0) if p is None else (got**p).sum(axis=0)
-            k = part.shape[1]
-            out.append(pa.table([np.repeat(ids[at : at + 64], k), np.tile(np.arange(k, dtype=np.int32), len(part)), part.ravel()], schema=made))
-        return pa.concat_tables(out) if out else made.empty_table()
-
-    found = dealt(pts, True).union(dealt(cands, False)).groupBy("pb", "cb").applyInArrow(score, "id long, slot int, part double")
+    def fold(held, m, _):
+        new = e.move_parts(s, m, c, p, swap)
+        return new if held is None else np.maximum(held, new) if p is None else held + new
+
+    def finish(held):
+        return None if held is None else {"id": np.repeat(ids, k), "slot": np.tile(np.arange(k, dtype=np.int32), len(ids)), "part": held.ravel()}
+
+    parts = partials(pts.select("id", *vec), lambda: None, fold, "id long, slot int, part double", finish)
     whole = F.max("part") if p is None else F.pow(F.sum("part"), F.lit(1.0 / p))
-    return found.groupBy("id", "slot").agg(whole.alias("value"))
+    return parts.groupBy("id", "slot").agg(whole.alias("value"))
+
+
+def _moves(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool) -> DataFrame:
+    """``moved`` for any number of candidates, chunk by chunk."""
+    fit, points, rows = fitting(pts), pts.count(), cands.count()
+    pts = dealt(pts, points)
+    parts = [moved(pts, part, s, e, p, swap) for part in chunks(cands, rows, fit)]
+    # Each chunk's result is written before the next one goes out, so that the tasks' candidates do not add up.
+    return reduce(DataFrame.union, [kept(x) for x in parts] if len(parts) > 1 else parts)
+
+
+def _width(pts: DataFrame) -> int:
+    first = pts.select(F.size(vector_columns(pts)[0]).alias("n")).first()
+    return first.n if first else 0
 
 
-def _blocks(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
+def by_sums(pts: DataFrame, e: Energy, p: float | None) -> bool:
+    """Whether d x d sums give all values: low-rank energy, squares, and not too many coordinates."""
+    return type(e) is LowRank and p == 2 and _width(pts) <= MOST_COORDINATES
 
 
 def search_values(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: float | None, cands: DataFrame | None = None) -> DataFrame:
@@ -62,51 +97,73 @@ def search_values(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: f
     cands = pts if cands is None else cands
     now = assign(pts, chosen, e).agg(cost("dist", p)).first()[0] if len(chosen) else None
     taken = F.col("id").isin([int(i) for i in chosen.ids]) if len(chosen) else F.lit(False)
-    if isinstance(e, LowRank) and p == 2 and "features" in pts.columns:
+    if by_sums(pts, e, p):
         q = kernels.basis(s) if len(chosen) else None
         project = (lambda m: m) if q is None else (lambda m: kernels.residual(m, q))
         scatter = scatter_matrix(pts, project)
-        total = np.trace(scatter)
+        total = np.trace(scatter).real
 
         def kernel(m):
             r = project(m)
-            f = (r * r).sum(axis=1)
-            gain = ((r @ scatter) * r).sum(axis=1) / np.where(f > kernels.TINY, f, 1)
+            f = (abs(r) ** 2).sum(axis=1)
+            gain = ((r @ scatter) * r.conj()).real.sum(axis=1) / np.where(f > kernels.TINY, f, 1)
             return {"value": np.sqrt(np.maximum(0, total - np.where(f > kernels.TINY, gain, 0)))}
 
-        values = add_columns(cands.select("id", "features"), kernel, "value double").select("id", "value")
+        values = add_columns(cands.select("id", *vector_columns(cands)), kernel, "value double").select("id", "value")
     else:
-        values = _moved(pts, cands.filter(~taken), s, e, p, False, _blocks(pts, POINTS), _blocks(cands, CANDIDATES)).select("id", "value")
+        values = _moves(pts, cands.filter(~taken), s, e, p, False).select("id", "value")
         values = values.union(cands.filter(taken).select("id", F.lit(now).cast("double")))
     return values.withColumn("value", F.when(taken, F.lit(now)).otherwise(F.col("value"))) if len(chosen) else values
 
 
+def swap_kernel(pts: DataFrame, s: np.ndarray):
+    """For the low-rank energy with p = 2: values of putting rows in each slot, from one pass over the points.
+
+    Without slot t the span loses one direction v_t, what prototype t has beside the others. A row's residual then
+    grows by its share y_t of v_t, so that the sums of r r' for the whole set (d x d), of y_t r (k x d) and of
+    |y_t|^2 (k numbers) give the energy of every move.
+    """
+    q = kernels.basis(s)
+    v = np.zeros_like(s)
+    for t in range(len(s)):
+        rest = kernels.basis(np.delete(s, t, axis=0))
+        r = kernels.residual(kernels.residual(s[t][None], rest), rest)[0] if len(rest) else s[t]
+        size = np.sqrt((abs(r) ** 2).sum())
+        # A prototype in the span of the others loses nothing with its slot.
+        v[t] = r / size if size > 1e-6 * max(1.0, np.sqrt((abs(s[t]) ** 2).sum())) else 0
+
+    def split(m):
+        return kernels.residual(m, q), m @ v.conj().T
+
+    def fold(held, m, _):
+        r, y = split(m)
+        new = [r.conj().T @ r, y.T @ r.conj(), (abs(y) ** 2).sum(axis=0)]
+        return new if held is None else [a + b for a, b in zip(held, new, strict=True)]
+
+    got = summed(pts.select(*vector_columns(pts)), fold)
+    scatter, cross, own = got if got else (np.zeros((s.shape[1], s.shape[1])), np.zeros_like(s), np.zeros(len(s)))
+    total = np.trace(scatter).real + own
+
+    def values(m):
+        r, y = split(m)
+        f = (abs(r) ** 2).sum(axis=1)[:, None] + abs(y) ** 2
+        # |<r_c, r_j> + conj(y_c) y_j|^2 summed over all rows j.
+        gain = ((r @ scatter) * r.conj()).real.sum(axis=1)[:, None] + 2 * ((r @ cross.T) * y.conj()).real + abs(y) ** 2 * own[None, :]
+        return np.where(f > kernels.TINY, np.sqrt(np.maximum(0, total[None, :] - gain / np.where(f > kernels.TINY, f, 1))), np.inf)
+
+    return values
+
+
 def swap_values(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: float | None, cands: DataFrame | None = None) -> DataFrame:
     """id, slot and value: the energy after putting each candidate that is not chosen in each slot."""
     e, s = of(energy), checked(chosen.x)
     ship(pts.sparkSession)
     cands = (pts if cands is None else cands).filter(~F.col("id").isin([int(i) for i in chosen.ids]))
-    if isinstance(e, LowRank) and p == 2 and "features" in pts.columns:
-        # One pass: the sums of r'r for the residuals without each slot, side by side.
-        qs = [kernels.basis(np.delete(s, t, axis=0)) for t in range(len(s))]
-
-        def project(m, q):
-            return kernels.residual(m, q) if len(q) else m
-
-        scatters = scatter_matrices(pts, [lambda m, q=q: project(m, q) for q in qs])
-
-        def kernel(m):
-            out = []
-            for q, scatter in zip(qs, scatters, strict=True):
-                r = project(m, q)
-                f = (r * r).sum(axis=1)
-                gain = ((r @ scatter) * r).sum(axis=1) / np.where(f > kernels.TINY, f, 1)
-                out.append(np.where(f > kernels.TINY, np.sqrt(np.maximum(0, np.trace(scatter) - gain)), np.inf))
-            return {"values": np.stack(out, axis=1)}
-
-        rows = add_columns(cands.select("id", "features"), kernel, "values array<double>")
+    if by_sums(pts, e, p):
+        values = swap_kernel(pts, s)
+        rows = add_columns(cands.select("id", *vector_columns(cands)), lambda m: {"values": values(m)}, "values array<double>")
         return rows.select("id", F.posexplode("values").alias("slot", "value"))
-    return _moved(pts, cands, s, e, p, True, _blocks(pts, POINTS), _blocks(cands, CANDIDATES))
+    return _moves(pts, cands, s, e, p, True)
 
 
 def swap_sampling_weights(pts: DataFrame, chosen: Prototypes, slot: int, energy: str | Energy, p: float | None) -> DataFrame:

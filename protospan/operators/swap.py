@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from protospan.functions.blocks import add_columns, checked
 from protospan.functions.vectors import uniform
+from protospan.operators import scores
 from protospan.operators.build import draw, rounded, with_distance
 from protospan.operators.energies import Energy, LowRank, cost, of
 from protospan.operators.pairs import Prototypes, prototypes, row_vector, vector_columns
 from protospan.operators.prep import with_position
-from protospan.operators.scores import swap_values
+from protospan.operators.scores import by_sums, dealt, moved, swap_kernel
 
 LOG = "swap_no int, seconds double, energy double, stagnation long"
 
@@ -39,41 +40,52 @@ def close(a: float, b: float) -> bool:
     return abs(a - b) <= 1e-8 + 1e-5 * abs(b)
 
 
-def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, max_swaps: int = -1, first_chunk: int = 256) -> Swap:
-    """Try rows in cyclic id order; the first that improves the energy in some slot goes there, and the scan moves on.
+def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, max_swaps: int = -1, first_chunk: int = 256, cands: DataFrame | None = None) -> Swap:
+    """Try rows (of ``cands``, if given) in cyclic id order; the first that improves the energy in some slot goes there, and the scan moves on.
 
     Between two swaps nothing changes, so rows are scored in chunks of the cyclic order and the first that
     improves is taken: the same swaps as one by one. Ends after a whole round in vain.
     """
     e = of(energy)
-    rows = with_position(pts).persist()
+    rows = with_position(pts if cands is None else cands).persist()
     n = rows.count()
+    pts = dealt(pts, pts.count()).persist()
     out = Swap(chosen, _energy(pts, chosen, e, p))
     cursor = stagnation = swaps = 0
-    chunk = n if isinstance(e, LowRank) and p == 2 else first_chunk
+    sums = by_sums(pts, e, p)
+    chunk = n if sums else min(first_chunk, scores.fitting(pts))
+    most = n if sums else scores.fitting(pts)
     began = time.perf_counter()
     while stagnation < n and (max_swaps < 0 or swaps < max_swaps):
         m = min(chunk, n - stagnation)
         turn = F.pmod(F.col("position") - cursor, F.lit(n))
-        part = rows.select("*", turn.alias("turn")).filter(F.col("turn") < m)
-        moves = swap_values(pts, out.chosen, e, p, part.select("id", *vector_columns(pts)))
-        best = moves.groupBy("id").agg(F.min(F.struct(rounded(F.col("value")).alias("v"), "slot", "value")).alias("b"))
+        part = rows.select("id", *vector_columns(pts), turn.alias("turn")).filter((F.col("turn") < m) & ~F.col("id").isin([int(i) for i in out.chosen.ids]))
+        if sums:
+            values = swap_kernel(pts, checked(out.chosen.x))
+            moves = add_columns(part, lambda x: {"values": values(x)}, "values array<double>")  # noqa: B023
+            least = F.array_min(F.transform("values", lambda v, t: F.struct(rounded(v).alias("v"), t.alias("slot"), v.alias("value"))))
+            best = moves.select("id", "turn", least.alias("b"))
+        else:
+            moves = moved(pts, part, checked(out.chosen.x), e, p, True)
+            best = moves.groupBy("id").agg(F.min(F.struct(rounded(F.col("value")).alias("v"), "slot", "value")).alias("b"))
+            best = best.join(F.broadcast(part.select("id", "turn")), "id")  # a chunk
         low = F.col("b.value") < F.lit(out.energy)
         far = F.abs(F.col("b.value") - F.lit(out.energy)) > 1e-8 + 1e-5 * abs(out.energy)
-        hit = best.filter(low & far).join(part.select("id", "turn"), "id").agg(F.min(F.struct("turn", "id", "b")).alias("h")).first().h
+        hit = best.filter(low & far).agg(F.min(F.struct("turn", "id", "b")).alias("h")).first().h
         if hit is None:
             stagnation += m
             cursor = (cursor + m) % n
-            chunk = min(n, chunk * 4)
+            chunk = min(n, most, chunk * 4)
             continue
         swaps += 1
-        new = prototypes(pts, [hit.id])
+        new = prototypes(rows, [hit.id])
         out.chosen = out.chosen.replaced(hit.b.slot, hit.id, new.x[0])
         out.energy = hit.b.value
         out.log.append((swaps, time.perf_counter() - began, out.energy, stagnation + hit.turn))
         cursor, stagnation, began = (cursor + hit.turn + 1) % n, 0, time.perf_counter()
     out.log.append((swaps + 1, time.perf_counter() - began, out.energy, stagnation))
     rows.unpersist()
+    pts.unpersist()
     return out
 
 
@@ -132,7 +144,8 @@ def swap_sampling(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cl
         stay, slots, slot, began = [], [], (slot + 1) % k, time.perf_counter()
         if now < out.energy:
             out.chosen, out.energy = present, now
-    out.log.append((swaps + 1, time.perf_counter() - began, out.energy, len(stay)))
+    # The last row has the present energy; the set returned is the best one.
+    out.log.append((swaps + 1, time.perf_counter() - began, now, len(stay)))
     return out
 
 
@@ -143,7 +156,8 @@ def swap_sampling_lowrank(pts: DataFrame, chosen: Prototypes, p: float | None =
     """
     e, power = of("lowrank"), 1.0 if p is None else float(p)
     k, present = len(chosen), chosen
-    out = Swap(chosen, _energy(pts, chosen, e, p))
+    now = _energy(pts, chosen, e, p)
+    out = Swap(chosen, now)
     slot = swaps = 0
     began = time.perf_counter()
     while swaps < 2 * k:
@@ -151,7 +165,7 @@ def swap_sampling_lowrank(pts: DataFrame, chosen: Prototypes, p: float | None =
         rows = add_columns(pts, lambda m: {"left": e.without(s, m)}, "left array<double>")  # noqa: B023
         each = rows.select("id", *vector_columns(pts), F.posexplode("left").alias("slot", "d"))
         own = F.element_at(F.array(*[F.lit(int(i)) for i in present.ids]), F.col("slot") + 1)
-        live = (F.col("d") > 0) & (F.col("id") != own)
+        live = (F.col("d") > e.gap) & (F.col("id") != own)
         race = F.struct((F.log(-F.log(uniform(seed, f"l{swaps}", "id"))) - power * F.log("d")).alias("r"), "id")
         got = {r.slot: r for r in each.groupBy("slot").agg(
             F.sum(F.pow("d", F.lit(power))).alias("total"),
@@ -174,7 +188,7 @@ def swap_sampling_lowrank(pts: DataFrame, chosen: Prototypes, p: float | None =
         slot, began = (slot + 1) % k, time.perf_counter()
         if now < out.energy:
             out.chosen, out.energy = present, now
-    out.log.append((swaps + 1, time.perf_counter() - began, out.energy, 0))
+    out.log.append((swaps + 1, time.perf_counter() - began, now, 0))
     return out
 
 

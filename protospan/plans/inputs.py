@@ -23,8 +23,12 @@ LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def lineitems(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as points of four scaled coordinates; the id is a hash of the columns that tell rows apart."""
-    df = table(spark, d, "lineitem")
+    """Line items as points of four scaled coordinates; the id is a hash of the columns that tell rows apart.
+
+    Dealt to all cores, as the file is one row group, which a single task would read.
+    """
+    df = table(spark, d, "lineitem").select(*LINE_KEY, "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    df = df.repartition(spark.sparkContext.defaultParallelism)
     cents = [F.round(F.col(c) * 100).cast("long").cast("string") for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")]
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in LINE_KEY], *cents)
     ident = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from protospan.functions.tables import new_folder
 from protospan.functions.vectors import isclose
 from protospan.operators import analysis, build, energies, experiment, pairs, prep, scores, spectral, swap
 from protospan.plans.inputs import EMB, LINE, STEPS, build_steps, embeddings, lineitems, swap_steps, table
@@ -380,6 +381,89 @@ def swap_sampling_weights(spark, d):
     return scores.swap_sampling_weights(pts, five(pts), 1, "cluster", 2).withColumn("weight", r6("weight"))
 
 
+_SHIFTED = """sh AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda v: v - m) AS e FROM embeddings, (SELECT least(0, min(list_min(embedding::DOUBLE[]))) AS m FROM embeddings))"""
+_CENTRED = """cm AS MATERIALIZED (SELECT list(a ORDER BY pos) AS m FROM (SELECT pos, avg(v) AS a FROM (SELECT unnest(embedding::DOUBLE[]) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos)),
+sh AS MATERIALIZED (SELECT vec_id AS id, list_transform(range(1, len(m) + 1), lambda i: embedding[i]::DOUBLE - m[i]) AS e FROM embeddings, cm)"""
+_DOTS = "x AS MATERIALIZED (SELECT i.id AS i, j.id AS j, list_dot_product(i.e, j.e) AS d FROM sh i, sh j)"
+#: Squared distances of all rows j from the cone, or the hull, of rows a and b of pairs (a, b).
+_TO_CONE = """g AS (SELECT w.*, j.j, jj.d AS xx, j.d AS xa, k.d AS xb, aa.d AS aa, ab.d AS ab, bb.d AS bb FROM w
+    JOIN x j ON j.i = w.a JOIN x k ON k.i = w.b AND k.j = j.j JOIN x jj ON jj.i = j.j AND jj.j = j.j
+    JOIN x aa ON aa.i = w.a AND aa.j = w.a JOIN x ab ON ab.i = w.a AND ab.j = w.b JOIN x bb ON bb.i = w.b AND bb.j = w.b),
+h AS (SELECT *, (xa * bb - xb * ab) / (aa * bb - ab * ab) AS u, (xb * aa - xa * ab) / (aa * bb - ab * ab) AS v, greatest(0, least(1, (xb - xa - ab + aa) / (aa - 2 * ab + bb))) AS t FROM g),"""
+_CONE = "least(xx, CASE WHEN xa > 0 THEN xx - xa * xa / aa ELSE xx END, CASE WHEN xb > 0 THEN xx - xb * xb / bb ELSE xx END, CASE WHEN u > 0 AND v > 0 THEN xx - u * xa - v * xb ELSE xx END)"
+_HULL = "xx - 2 * ((1 - t) * xa + t * xb) + (1 - t) * (1 - t) * aa + 2 * t * (1 - t) * ab + t * t * bb"
+
+
+def _moves_sql(rows: str, dist: str, pairs_: str, by: str) -> str:
+    return f"""WITH {rows}, {_DOTS}, w AS ({pairs_}), {_TO_CONE}
+SELECT {by}, round(sqrt(sum(greatest(0, {dist}))), 5) + 0.0 AS value FROM h GROUP BY {by}"""
+
+
+_ADDED = "SELECT 0 AS a, id AS b, id FROM sh WHERE id > 0"
+_REFILLED = "SELECT (1 - slot) AS a, id AS b, id, slot FROM sh, (SELECT unnest([0, 1]) AS slot) WHERE id > 1"
+
+
+def _search(spark, d, energy, ready):
+    pts = energies.of(energy).prepare(ready(embeddings(spark, d)))
+    values = scores.search_values(pts, pairs.prototypes(pts, [0]), energy, 2).filter("id > 0")
+    return values.select("id", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+def _swap(spark, d, energy, ready):
+    pts = energies.of(energy).prepare(ready(embeddings(spark, d)))
+    values = scores.swap_values(pts, two(pts), energy, 2)
+    return values.select("id", F.col("slot").cast("int").alias("slot"), (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@query(_moves_sql(_SHIFTED, _CONE, _ADDED, "id"))
+def conic_search_values(spark, d):
+    return _search(spark, d, "conic", prep.shift_nonneg)
+
+
+@query(_moves_sql(_CENTRED, _HULL, _ADDED, "id"))
+def convex_search_values(spark, d):
+    return _search(spark, d, "convex", lambda pts: pts)
+
+
+@query(_moves_sql(_SHIFTED, _CONE, _REFILLED, "id, slot"))
+def conic_swap_values(spark, d):
+    return _swap(spark, d, "conic", prep.shift_nonneg)
+
+
+@query(_moves_sql(_CENTRED, _HULL, _REFILLED, "id, slot"))
+def convex_swap_values(spark, d):
+    return _swap(spark, d, "convex", lambda pts: pts)
+
+
+# Complex rows: the first half of an embedding as real parts, the second as imaginary ones.
+_COMPLEX = """z AS MATERIALIZED (SELECT vec_id AS id, embedding[1 : len(embedding) // 2]::DOUBLE[] AS a, embedding[len(embedding) // 2 + 1 : len(embedding)]::DOUBLE[] AS b FROM embeddings),
+x AS MATERIALIZED (SELECT i.id AS i, j.id AS j, list_dot_product(i.a, j.a) + list_dot_product(i.b, j.b) AS re, list_dot_product(i.b, j.a) - list_dot_product(i.a, j.b) AS im FROM z i, z j),
+-- Products of what rows have beside prototype s.
+r AS MATERIALIZED (SELECT s.id AS s, x.i, x.j, x.re - (p.re * q.re + p.im * q.im) / n.re AS re, x.im - (p.im * q.re - p.re * q.im) / n.re AS im
+    FROM z s JOIN x n ON n.i = s.id AND n.j = s.id JOIN x ON true JOIN x p ON p.i = x.i AND p.j = s.id JOIN x q ON q.i = x.j AND q.j = s.id WHERE s.id < 2),
+v AS (SELECT r.s, r.i AS id, sqrt(sum(greatest(0, m.re - (r.re * r.re + r.im * r.im) / o.re))) AS value
+    FROM r JOIN r m ON m.s = r.s AND m.i = r.j AND m.j = r.j JOIN r o ON o.s = r.s AND o.i = r.i AND o.j = r.i WHERE r.i > 1 GROUP BY r.s, r.i)"""
+
+
+def complex_rows(spark, d):
+    pts = embeddings(spark, d)
+    half = F.expr("size(features) div 2")
+    return pts.select("id", F.slice("features", 1, half).alias("re"), F.slice("features", half + 1, half).alias("im"))
+
+
+@query(f"WITH {_COMPLEX} SELECT id, round(value, 6) + 0.0 AS value FROM v WHERE s = 0")
+def complex_search_values(spark, d):
+    pts = complex_rows(spark, d)
+    return scores.search_values(pts, pairs.prototypes(pts, [0]), "lowrank", 2).filter("id > 1").withColumn("value", r6("value"))
+
+
+@query(f"WITH {_COMPLEX} SELECT id, (1 - s)::INTEGER AS slot, round(value, 6) + 0.0 AS value FROM v")
+def complex_swap_values(spark, d):
+    pts = complex_rows(spark, d)
+    values = scores.swap_values(pts, two(pts), "lowrank", 2)
+    return values.select("id", F.col("slot").cast("int").alias("slot"), r6("value").alias("value"))
+
+
 # Builds
 
 def _steps(spark: SparkSession, got: build.Build) -> DataFrame:
@@ -431,7 +515,20 @@ def build_search(spark, d):
     return _steps(spark, build.build_search(embeddings(spark, d), 3, "cluster", 2, 42))
 
 
-@query()
+def _greedy_span(n: int) -> str:
+    """Greedy column subset selection: residuals of all rows after each pick."""
+    out = [EMB, "r0 AS MATERIALIZED (SELECT id, e AS r FROM emb)"]
+    for s in range(n):
+        out += [
+            f"t{s} AS (SELECT sum(list_dot_product(r, r)) AS t FROM r{s})",
+            f"""w{s} AS MATERIALIZED (SELECT {s} AS step, c.id, any_value(c.r) AS r, sqrt(greatest(0, any_value(t) - sum(pow(list_dot_product(c.r, j.r), 2)) / any_value(list_dot_product(c.r, c.r)))) AS energy
+                FROM r{s} c, r{s} j, t{s} WHERE list_dot_product(c.r, c.r) > 1e-8 GROUP BY c.id ORDER BY energy, c.id LIMIT 1)""",
+            f"r{s + 1} AS MATERIALIZED (SELECT j.id, list_transform(range(1, len(j.r) + 1), lambda i: j.r[i] - list_dot_product(j.r, w.r) / list_dot_product(w.r, w.r) * w.r[i]) AS r FROM r{s} j, w{s} w)",
+        ]
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT step, id, round(energy, 6) + 0.0 AS energy FROM w{s}" for s in range(n))
+
+
+@query(_greedy_span(5))
 def build_search_lowrank(spark, d):
     return _steps(spark, build.build_search(embeddings(spark, d), 5, "lowrank", 2, 42))
 
@@ -454,6 +551,18 @@ def _swapped(spark: SparkSession, got: swap.Swap) -> DataFrame:
     return got.table(spark).select("swap_no", r6("energy").alias("energy"), "stagnation")
 
 
+@query(f"""WITH {EMB}, {CROSS}, s(slot, pid) AS (VALUES (0, 0), (1, 1), (2, 2)),
+now AS (SELECT sqrt(sum(d * d)) AS e FROM (SELECT j, min(d) AS d FROM x JOIN s ON x.id = pid GROUP BY j)),
+rest AS (SELECT a.slot, j, min(d) AS d FROM s a JOIN s b ON b.slot <> a.slot JOIN x ON x.id = b.pid GROUP BY a.slot, j),
+v AS (SELECT x.id, slot, sqrt(sum(pow(least(x.d, rest.d), 2))) AS e FROM x JOIN rest USING (j) WHERE x.id > 2 GROUP BY x.id, slot),
+w AS (SELECT v.id, v.e FROM v, now WHERE v.e < now.e AND abs(v.e - now.e) > 1e-8 + 1e-5 * now.e ORDER BY v.id, v.e LIMIT 1)
+SELECT 1 AS swap_no, round(e, 6) + 0.0 AS energy, id::BIGINT AS stagnation FROM w UNION ALL SELECT 2, round(e, 6) + 0.0, 0 FROM w""")
+def swap_search_first(spark, d):
+    """One swap: ids start at 0, so that an id is the number of rows tried in vain before it."""
+    pts = embeddings(spark, d)
+    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", 2, max_swaps=1))
+
+
 @query()
 def swap_search(spark, d):
     pts = embeddings(spark, d)
@@ -478,11 +587,20 @@ def swap_sampling_lowrank(spark, d):
     return _swapped(spark, swap.swap_sampling(pts, pairs.prototypes(pts, [0, 1, 2]), "lowrank", 2))
 
 
+#: Prototypes of a run of the grid: every swap starts from each prefix.
+GRID_K = 4
+
+
 @query()
 def run_grid(spark, d):
+    """The whole grid, methods and powers, kept in a folder of the session; steps of builds and swaps together."""
     pts = embeddings(spark, d)
-    plan = experiment.grid(spark, "embeddings", "cluster", ["sampling", "uniform"], [2, None], 1, 3)
-    return experiment.run_grid(pts, plan)[0].drop("seconds").withColumn("energy_value", r6("energy_value"))
+    plan = experiment.grid(spark, "embeddings", "cluster", k=GRID_K)
+    built, swapped, _ = experiment.run_grid(pts, plan, new_folder(spark, "grid"))
+    keys = ["energy", "p", "method", "seed", "k"]
+    built = built.select(*keys, F.lit("build").alias("phase"), F.col("step").alias("at"), "energy_value", F.lit(0).cast("long").alias("stagnation"))
+    swapped = swapped.select(*keys, F.lit("swap").alias("phase"), F.col("swap_no").alias("at"), "energy_value", "stagnation")
+    return built.union(swapped).withColumn("energy_value", r6("energy_value"))
 
 
 @query()

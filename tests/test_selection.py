@@ -207,13 +207,22 @@ def test_user_energy(pts):
         after_add = energies.Energy.after_add
         after_swap = energies.Energy.after_swap
 
-    assert len(build.build_sampling(pts, 3, Manhattan(), 1).chosen) == 3
+    x, e = x_of(pts), Manhattan()
+    got = build.build_sampling(pts, 3, e, 1)
+    far = lambda s: np.abs(x[:, None] - s[None]).sum(axis=2).min(axis=1).sum()
+    assert len(got.chosen) == 3 and got.energy == pytest.approx(far(got.chosen.x))
+    searched = build.build_search(pts, 2, e, 1)
+    assert searched.chosen.ids[0] == min(range(len(x)), key=lambda i: far(x[[i]]))
+    better = swap.swap_search(pts, got.chosen, e, 1)
+    assert better.energy == pytest.approx(far(better.chosen.x)) and better.energy <= got.energy
+    least = min(far(np.vstack([np.delete(better.chosen.x, t, 0), x[i]])) for t in range(3) for i in range(len(x)))
+    assert better.energy <= least * (1 + 1e-5)
 
 
 def test_grid_resumes(spark, pts, tmp_path):
     plan = experiment.grid(spark, "t", "cluster", ["sampling", "search", "sampling_search"], [2], 2, 2, 3, ("search",))
     assert {(r.method, r.seed, r.k) for r in plan.collect()} == {("sampling", 42, 2), ("sampling", 43, 2), ("search", 42, 3), ("sampling_search", 42, 2)}
-    steps, swaps, protos = experiment.run_grid(pts, plan.filter("method != 'search'"))
+    steps, swaps, protos = experiment.run_grid(pts, plan.filter("method != 'search'"), str(tmp_path / "g"))
     results.write_results(protos, str(tmp_path / "p"))
     results.write_results(protos, str(tmp_path / "p"))
     stored = results.read_results(spark, str(tmp_path / "p"))
@@ -224,9 +233,15 @@ def test_grid_resumes(spark, pts, tmp_path):
     assert analysis.energy_by_k(steps, swaps, 60, 2).count() >= 3
     sets = analysis.reconstructions(protos, pts, "lowrank", [1, 2], "sampling_search")
     assert sets.count() == 4 and sets.select("id").distinct().count() == 1
-    assert analysis.prototype_labels(protos, pts, 2).count() == 4
+    whole = {m: [r.id for r in protos.filter(F.col("method") == m).filter("seed = 42 and k = 2").orderBy("slot").collect()] for m in ("sampling", "sampling_search")}
+    for r in sets.collect():
+        s = x_of(pts)[whole[r.method][: r.k]]
+        row = x_of(pts)[r.id]
+        assert np.allclose(r.recon, row @ np.linalg.pinv(s) @ s) and r.error == pytest.approx(np.linalg.norm(row - r.recon) / 4)
+    labels = {(r.method, r.slot): (r.id, r.label) for r in analysis.prototype_labels(protos.filter("k = 2"), pts, 2).collect()}
+    assert len(labels) == 4 and all(label == i // 20 for i, label in labels.values())
     built = stored.filter("method = 'sampling' and seed = 42").select("slot", "id")
-    assert {r.k for r in experiment.swap_prefixes(pts, built, "sampling_search", "cluster", 2).collect()} == {2}
+    assert {r.k for r in experiment.swap_prefixes(pts, built, "sampling_search", "cluster", 2).collect()} == {1, 2}
 
 
 def test_generators(spark):
