@@ -5,9 +5,10 @@ of pieces of an existing vocabulary through its bytes. The probability of a word
 paths, by forward recursion in log space; bytes without a piece take byte arcs, so that nothing has
 probability zero.
 
-Weights. The vocabulary's own scores order its pieces; a piece's own weight falls as 1 / (10 + place).
-OWN of every weight stays that; the rest is the piece's share of the expected counts over the words of the
-training rows, each as often as it occurs, from ROUNDS rounds of expectation-maximisation. How often a word
+Weights. The vocabulary's own scores order its pieces; a piece's own weight falls as 1 / (offset + place). A part
+of every weight stays that; the rest is the piece's share of the expected counts over the words of the training rows,
+each as often as it occurs, from ROUNDS rounds of expectation-maximisation. All rounds but the last leave one in
+HELD_BACK occurrences of a word out; the part and the offset are those that make these likeliest. How often a word
 goes on after a piece, and a text after a token, is what the training rows have on average.
 
 The base counts whole words and has no part in the model's score. Counts cover all training rows and are
@@ -25,7 +26,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ MARK = "▁"
 MOST_SENT = 1 << 20
 #: Bytes of words that a task holds before it counts them, about.
 MOST_BYTES = 1 << 24
-#: Share of a piece's weight that is the vocabulary's own.
-OWN = 0.5
+#: Share of a piece's weight that is the vocabulary's own, and the offset of places, before they are fitted; offsets tried.
+OWN, OFFSET, OFFSETS = 0.5, 10.0, (1.0, 10.0, 100.0, 1000.0, 10_000.0)
+#: One occurrence in so many is left out of the counts that the share is fitted to.
+HELD_BACK = 8
 #: Probability that a word ends after a piece, and that a token is the text's end, before anything is learned.
 STOP, END = 0.4, 0.01
 #: Longer words go together with words of about their length, WINDOW places at a time.
@@ -64,9 +67,12 @@ class Pieces:
     mark: int
     byte: np.ndarray
     size: int
-    own: np.ndarray  # weights by the vocabulary's scores, 1 together
+    place: np.ndarray  # in the order of the vocabulary's scores; infinite without one
     weight: np.ndarray  # natural logarithms of the present ones, less the chance to go on
+    share: np.ndarray  # of expected counts
     stop: float = STOP
+    part: float = OWN  # of weights that is the vocabulary's own
+    offset: float = OFFSET
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, [b"", *self.inner, *self.first]))
@@ -98,9 +104,29 @@ class Pieces:
         if total <= 0:
             return self
         stop = float(np.clip(words / total, 0.01, 0.99))
+        return self._weighted(expected / total, stop, self.part, self.offset)
+
+    def _weighted(self, share: np.ndarray, stop: float, part: float, offset: float) -> Pieces:
         with np.errstate(divide="ignore"):  # control pieces have no weight
-            weight = np.log(OWN * self.own + (1 - OWN) * expected / total) + math.log(1 - stop)
-        return Pieces(self.inner, self.first, self.mark, self.byte, self.size, self.own, weight, stop)
+            weight = np.log(part * falling(self.place, offset) + (1 - part) * share) + math.log(1 - stop)
+        return replace(self, weight=weight, share=share, stop=stop, part=part, offset=offset)
+
+    def fitted(self, held: np.ndarray) -> Pieces:
+        """The part and the offset that make expected counts ``held``, of occurrences that were left out, likeliest."""
+        seen = held > 0
+        best = (-np.inf, self.part, self.offset)
+        for offset in OFFSETS if seen.any() and self.share.any() else ():
+            own, share, n, part = falling(self.place, offset)[seen], self.share[seen], held[seen], 0.5
+            for _ in range(200):
+                part = float(np.clip((n * part * own / (part * own + (1 - part) * share)).sum() / n.sum(), 1e-4, 1 - 1e-4))
+            best = max(best, (float((n * np.log(part * own + (1 - part) * share)).sum()), part, offset))
+        return self._weighted(self.share, self.stop, *best[1:])
+
+
+def falling(place: np.ndarray, offset: float) -> np.ndarray:
+    """Weights by places, 1 together."""
+    own = 1 / (offset + place)
+    return own / own.sum()
 
 
 def read_pieces(model_path: str) -> Pieces:
@@ -112,13 +138,13 @@ def read_pieces(model_path: str) -> Pieces:
     plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     place = {i: k for k, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
     inner, first, mark, byte = {}, {}, -1, np.full(256, -1)
-    share = np.zeros(size)
+    at = np.full(size, np.inf)
     for i in range(size):
         if sp.is_byte(i):
             byte[int(sp.id_to_piece(i)[3:-1], 16)] = i
-            share[i] = 1 / (10 + len(place))
+            at[i] = len(place)
         elif i in place:
-            share[i] = 1 / (10 + place[i])
+            at[i] = place[i]
             s = sp.id_to_piece(i)
             if s == MARK:
                 mark = i
@@ -129,10 +155,9 @@ def read_pieces(model_path: str) -> Pieces:
                 inner[s.encode()] = i
     if mark < 0 or (byte < 0).any():
         raise ValueError("the vocabulary needs the blank mark alone and all bytes")
-    own = share / share.sum()
     with np.errstate(divide="ignore"):
-        weight = np.log(own) + math.log(1 - STOP)
-    return Pieces(inner, first, mark, byte, size, own, weight)
+        weight = np.log(falling(at, OFFSET)) + math.log(1 - STOP)
+    return Pieces(inner, first, mark, byte, size, at, weight, np.zeros(size))
 
 
 def _long_word(word: bytes, p: Pieces) -> float:
@@ -322,8 +347,14 @@ def _gather(b: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return b[np.repeat(start - at[:-1], length) + np.arange(at[-1])], at
 
 
-def _expected(words: DataFrame, pieces: Pieces) -> tuple[np.ndarray, int]:
-    """Expected counts of pieces over all words: a row for each piece and task, summed by piece; and how many words."""
+def _expected(words: DataFrame, pieces: Pieces, held: bool | None = None) -> tuple[np.ndarray, int]:
+    """Expected counts of pieces over all words: a row for each piece and task, summed by piece; and how many words.
+
+    Of each word's occurrences those that are left out of the fit (``held``), the others (False) or all (None) count.
+    """
+    out = F.call_function("div", F.col("c") + F.pmod("key", F.lit(HELD_BACK)), F.lit(HELD_BACK))
+    times = F.col("c") if held is None else out if held else F.col("c") - out
+    words = words.filter("length(word) > 0").select("word", times.cast("long").alias("c")).filter("c > 0")
     sent = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +378,7 @@ def _expected(words: DataFrame, pieces: Pieces) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(expected[seen], total))], names=["piece", "n"])
 
     out, total = np.zeros(pieces.size), 0
-    for r in words.filter("length(word) > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         if r.piece < 0:
             total = round(r.n)
         else:
@@ -392,8 +423,11 @@ def learn(docs: DataFrame, model_path: str) -> tuple[Model, DataFrame, int]:
     found = materialize(rows.mapInArrow(run, "key long, c long, word binary").groupBy("key").agg(F.sum("c").alias("c"), F.first("word").alias("word")))
     words = found.filter("word is not null").select("key", "c")
     pieces = read_pieces(model_path)
-    for _ in range(ROUNDS):
-        pieces = pieces.with_counts(*_expected(found, pieces))
+    for k in range(ROUNDS):
+        whole = k == ROUNDS - 1
+        pieces = pieces.with_counts(*_expected(found, pieces, None if whole else False))
+        if k == ROUNDS - 2:
+            pieces = pieces.fitted(_expected(found, pieces, True)[0])
     ends = int(found.filter("word is null").agg(F.sum("c")).first()[0] or 0)
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     # The least count that is sent: from a histogram of some hundred steps.

@@ -49,3 +49,21 @@ def test_learning_counts_words_without_blanks(spark):
     used = [p for p in (before.inner.get(c.encode()) for c in set(CHINESE)) if p is not None]
     assert used and np.mean(after.weight[used] - before.weight[used]) > 1
     assert lattice.ROUNDS == 3
+
+
+def test_the_share_of_own_weights_is_fitted():
+    p = lattice.read_pieces(PIECES)
+    rng = np.random.default_rng(2)
+    expected = np.where(rng.random(p.size) < 0.1, rng.gamma(0.3, 1000, p.size), 0) * np.isfinite(p.place)
+    before = p.with_counts(expected, expected.sum() / 3)
+    held = np.where(rng.random(p.size) < 0.05, 1.0, 0) * np.isfinite(p.place) + rng.poisson(expected / 50)
+    after = before.fitted(held)
+
+    def likely(part, offset):
+        return (held[held > 0] * np.log((part * lattice.falling(p.place, offset) + (1 - part) * before.share)[held > 0])).sum()
+
+    best = max(((likely(a, o), a, o) for o in lattice.OFFSETS for a in np.linspace(0.001, 0.999, 400)))
+    assert likely(after.part, after.offset) >= best[0] - 1e-3 * abs(best[0]) and after.offset == best[2]
+    assert np.allclose(np.exp(after.weight).sum(), 1 - after.stop) and 0 < after.part < lattice.OWN
+    # Nothing left out, nothing to fit.
+    assert before.fitted(np.zeros(p.size)).part == lattice.OWN
