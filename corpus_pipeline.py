@@ -21,14 +21,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and blank ones too), or whose language is too unsure, go.
 
-    Equal rows go or stay together. If no row has a language to learn from, only documents without a letter go.
+    Equal rows go or stay together. Texts of any length count whole. An empty table stays empty. If no row has a language to learn from, only documents without a letter go.
     """
     return langid.predict(docs.select(COLUMNS), langid.learn(docs)).filter("not rejected").select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likely to be labelled 0 go; equal rows together. Without labels of both kinds all scores are
-    the share of label 1 (0.5 without any), and below the threshold all go."""
+    the share of label 1 (0.5 without any), and below the threshold all go. Null and blank texts are scored like others,
+    texts of any length whole. An empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.predict(docs.select(COLUMNS), quality.learn(docs, labels)).filter("predicted = 1").select(COLUMNS)
 
@@ -36,7 +37,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; so do documents that have nothing else, as they are copies.
 
-    Null and blank texts stay. Equal rows are one document and stay alike; null ids come first.
+    Null and blank texts stay. Equal rows are one document and stay alike; null ids come first. Texts of any length
+    count whole. An empty table stays empty.
     """
     rows = linededup.dedup_lines(docs.select(COLUMNS))
     return (
@@ -64,7 +66,11 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens and their places in sequences of 1024 tokens; null text is one token, the end."""
+    """Pieces of the documents' tokens and their places in sequences of 1024 tokens.
+
+    Null and empty texts are one token, the end. Texts of any length count whole, in pieces. Rows that repeat an id, and
+    equal rows, are packed each; null ids stay null. An empty table gives no rows. Other columns are not used.
+    """
     return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
@@ -76,7 +82,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the classifiers and the tokenizer; tests compare the stages with plain code.
+#: SQL cannot express the classifiers and the tokenizer; tests compare every stage with plain code.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,8 @@ The upper half of a lane is a uniform 24-bit hash and makes different multisets
 counts the pieces whose hash has that lane's bit set; with the number of pieces (the last lane) this
 gives a sum of random signs per lane, whose dot products estimate how many pieces two documents share.
 
-Only Spark SQL functions are used. Null text counts as empty text; an empty multiset has a zero vector.
+Only Spark SQL functions are used. Null text counts as empty text; an empty multiset has a zero vector. Texts of any
+length count whole: a vector is as long for a long text as for a short one. An empty table gives no rows.
 """
 
 from __future__ import annotations

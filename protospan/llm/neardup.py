@@ -11,7 +11,8 @@ bucket the pair shares, and sends link counts and a spanning forest of the links
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with null
 ids, link with nothing. Vectors of different lengths do not link. Rows that repeat a vec_id count as
-vectors of their own, with one component.
+vectors of their own, with one component. An empty table gives no rows. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ the plan gives ranks within a length their sequences and offsets, and pieces tak
 joining on length and rank. Ranks come from counts a partition and length, so that no length's rows
 meet in one task. The plan has at most a few entries for each pair of lengths, whatever the data's size.
 
-Null text counts as empty: one token, the end. Ids stand in a piece as packed little-endian 32-bit
+Null text counts as empty: one token, the end. Texts of any length count whole; an empty table gives no rows. Ids stand in a piece as packed little-endian 32-bit
 numbers. Documents with one doc_id are packed each on its own. With ``added`` the string of an added token in
 a text is that token, as tokenizers has it unless encode_special_tokens is set; without, it is ordinary text.
 """
