@@ -38,9 +38,9 @@ def test_values_of_moves(pts, name, p):
         assert r.value == pytest.approx(whole(e.distance(s, x)), rel=1e-8)
 
 
-@pytest.mark.parametrize("p", [2, None])
-def test_search_swap_is_the_sequential_scan(pts, p):
-    x, e = x_of(pts), energies.of("cluster")
+@pytest.mark.parametrize("name,p", [("cluster", 2), ("cluster", None), ("lowrank", 2), ("lowrank", 1)])
+def test_search_swap_is_the_sequential_scan(pts, name, p):
+    x, e = x_of(pts), energies.of(name)
     whole = lambda s: (lambda d: d.max() if p is None else (d**p).sum() ** (1 / p))(e.distance(s, x))
     ids, n = [0, 1, 2], len(x)
     now, cursor, still, trace = whole(x[ids]), 0, 0, []
@@ -56,7 +56,7 @@ def test_search_swap_is_the_sequential_scan(pts, p):
                 still = 0
                 continue
         still += 1
-    got = swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", p, first_chunk=7)
+    got = swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), name, p, first_chunk=7)
     assert got.chosen.ids == ids
     assert [(pytest.approx(r[2]), r[3]) for r in got.log[:-1]] == trace
     assert got.log[-1][3] == n

@@ -40,3 +40,10 @@ def test_more_coordinates_than_rows(spark):
     got = np.array([r.features for r in spectral_embedding(pts, 2, 6).orderBy("id").collect()])
     assert got.shape == (3, 5) and not got[:, 2:].any()
     assert np.allclose(got[:, :2].T @ got[:, :2], np.eye(2))
+
+
+def test_residuals_and_rows_without_neighbours(spark):
+    x, pts = points(spark, 60, 5)
+    rows = spectral_embedding(pts, 4, 3, residuals=True).collect()
+    assert all(len(r.residuals) == 3 and max(r.residuals) <= 1e-9 for r in rows)
+    assert spectral_embedding(pts.filter("id = 7"), 4, 3).collect()[0].features == [0.0, 0.0]
