@@ -50,6 +50,18 @@ def _arrow(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values).ravel()))
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, dots included, which mapInArrow itself does not find."""
+    real, out = df.columns, [f"_{k}" for k in range(len(schema))]
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(real) for x in batches):
+            yield b.rename_columns(out)
+
+    kinds = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(out, schema, strict=True)])
+    return df.toDF(*[f"_{k}" for k in range(len(real))]).mapInArrow(plain, kinds).toDF(*schema.names)
+
+
 def add_columns(pts: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], added: str) -> DataFrame:
     """``pts`` with columns that ``kernel`` computes from the block's matrix; ``added`` is their schema."""
     ship(pts.sparkSession)
@@ -63,7 +75,7 @@ def add_columns(pts: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndar
                 got = kernel(matrix(b))
                 yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [_arrow(got[n]) for n in new.names], names=[f.name for f in kept] + new.names)
 
-    return pts.mapInArrow(run, T.StructType([*kept, *new.fields]))
+    return mapped(pts, run, T.StructType([*kept, *new.fields]))
 
 
 def partials(pts: DataFrame, start: Callable, kernel: Callable, schema: str, finish: Callable) -> DataFrame:

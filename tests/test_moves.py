@@ -250,3 +250,9 @@ def test_chunks_of_coordinates(spark, clustered):
     by_id = {r.id: r.products for r in prep.chunk_products(chunks, [1]).collect()}
     assert np.allclose([by_id[j] for j in range(3)], clustered.T @ clustered.T[[1]].T)
     assert prep.transpose(pts.limit(0)).count() == 0
+
+
+def test_extra_columns_of_any_name(spark):
+    pts = points(spark, RNG.normal(size=(10, 2))).withColumn("a.b", F.lit(1)).withColumn("_0", F.lit("x"))
+    rows = energies.assign(pts, pairs.prototypes(pts, [1]), "cluster").collect()
+    assert {(r["a.b"], r["_0"]) for r in rows} == {(1, "x")} and rows[0].asDict().keys() == {"id", "features", "a.b", "_0", "dist"}
