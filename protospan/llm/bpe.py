@@ -28,6 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from protospan.functions.blocks import mapped
 from protospan.llm.store import python_ready
 
 #: Pieces that a worker remembers, at most. A task that encodes and decodes has two workers, and each may come
@@ -329,7 +330,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                 b = batch.slice(part, 256)
                 yield _with(b, ids, packed_ids(b.column(text), encoder), (text,))
 
-    return docs.mapInArrow(run, _schema(docs, ids, T.ArrayType(T.IntegerType()), (text,)))
+    return mapped(docs, run, _schema(docs, ids, T.ArrayType(T.IntegerType()), (text,)))
 
 
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -350,5 +351,5 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes
                 found = [b"".join(map(of.__getitem__, flat[i:j].tolist())) for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield _with(b, out, pa.array(found, pa.binary()))
 
-    return rows.mapInArrow(run, _schema(rows, out, T.BinaryType()))
+    return mapped(rows, run, _schema(rows, out, T.BinaryType()))
 

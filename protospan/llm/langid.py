@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from protospan.functions.blocks import mapped
 from protospan.llm import textops
 from protospan.llm.sample import bounded, remainder
 from protospan.llm.store import python_ready
@@ -220,4 +221,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

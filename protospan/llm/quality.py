@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from protospan.functions.blocks import mapped
 from protospan.llm import textops
 from protospan.llm.sample import bounded, remainder
 from protospan.llm.store import python_ready
@@ -176,4 +177,4 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
                     names=[f.name for f in kept] + ["score", "predicted"],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return mapped(docs, run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
