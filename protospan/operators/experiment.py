@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from protospan.operators.build import BUILDS, Build, init_set
 from protospan.operators.energies import Energy, of
 from protospan.operators.pairs import Prototypes, prototypes
+from protospan.operators.prep import with_position
+from protospan.operators.scores import dealt
 from protospan.operators.swap import SWAPS, Swap
 from protospan.sources.results import RUN, read_results, write_results
 
@@ -91,18 +93,19 @@ def finished_methods(done: DataFrame, seeds: int) -> DataFrame:
     return got.filter(F.col("seeds") >= need).drop("seeds")
 
 
-def _swapped(pts: DataFrame, built: Prototypes, swap: str, energy: str | Energy, p: float | None, seed: int, ks: list[int]) -> Iterator[tuple[int, Swap]]:
-    """Swaps from prefixes of a build. The prototypes are fetched once, and one pass gives all prefixes' energies.
+def _swapped(pts: DataFrame, built: Prototypes, swap: str, energy: str | Energy, p: float | None, seed: int, ks: list[int], rows: DataFrame | None = None) -> Iterator[tuple[int, Swap]]:
+    """Swaps from prefixes of a build. The prototypes are fetched once, and so are the rows' positions.
 
     With one prototype there is no search swap, as the best single row is known from the build: its set stays.
     """
-    energies = init_set(pts, built, energy, p) if swap == "search" and 1 in ks else []
+    energies = init_set(pts, Prototypes(built.ids[:1], built.x[:1]), energy, p) if swap == "search" and 1 in ks else []
+    more = {} if rows is None or swap != "search" else {"rows": rows}
     for k in ks:
         first = Prototypes(built.ids[:k], built.x[:k])
         if k == 1 and swap == "search":
             yield k, Swap(first, energies[0], [(1, 0.0, energies[0], 0)])
         else:
-            yield k, SWAPS[swap](pts, first, energy, p, seed)
+            yield k, SWAPS[swap](pts, first, energy, p, seed, **more)
 
 
 def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str, ...] = (), prefixes: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,9 +124,11 @@ def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str,
         # As many ids as all builds of the grid choose.
         builds = {(r.dataset, r.energy, r.p, r.method, r.seed): r.ids for r in kept.select(*RUN, F.transform("build", lambda b: b["id"]).alias("ids")).collect()}
     ready: dict[str, DataFrame] = {}
+    placed: dict[str, DataFrame] = {}  # with positions, for search swaps
     for r in todo.orderBy(F.col("method").contains("_"), "method", "p", "seed").collect():  # as many rows as runs
         if r.energy not in ready:
-            ready[r.energy] = of(r.energy).prepare(pts).persist()
+            prepared = of(r.energy).prepare(pts)
+            ready[r.energy] = dealt(prepared, prepared.count()).persist()
         x, p = ready[r.energy], None if r.p == "inf" else float(r.p)
         build, _, swap = r.method.partition("_")
         key = (r.dataset, r.energy, r.p, build, r.seed)
@@ -135,7 +140,9 @@ def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str,
         ids = builds[key][: r.k]
         if swap:
             ks = list(range(1, len(ids) + 1)) if prefixes else [len(ids)] if ids else []
-            for k, got in _swapped(x, prototypes(x, ids), swap, r.energy, p, r.seed, ks):
+            if swap == "search" and r.energy not in placed:
+                placed[r.energy] = with_position(x).persist()
+            for k, got in _swapped(x, prototypes(x, ids), swap, r.energy, p, r.seed, ks, placed.get(r.energy)):
                 moves += [(k, *row) for row in got.log]
                 sets += [(k, slot, i) for slot, i in enumerate(got.chosen.ids)]
             steps = []
@@ -143,7 +150,7 @@ def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str,
             sets = [(len(ids), slot, i) for slot, i in enumerate(ids)]
         row = (r.dataset, r.energy, r.p, r.method, r.seed, r.k, datetime.datetime.now(datetime.timezone.utc), steps, moves, sets)
         write_results(spark.createDataFrame([row], RUNS), path)
-    for df in ready.values():
+    for df in [*ready.values(), *placed.values()]:
         df.unpersist()
     return run_tables(stored_runs(spark, path), spark)
 

@@ -40,16 +40,19 @@ def close(a: float, b: float) -> bool:
     return abs(a - b) <= 1e-8 + 1e-5 * abs(b)
 
 
-def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, max_swaps: int = -1, first_chunk: int = 256, cands: DataFrame | None = None) -> Swap:
+def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, max_swaps: int = -1, first_chunk: int = 256, cands: DataFrame | None = None, rows: DataFrame | None = None) -> Swap:
     """Try rows (of ``cands``, if given) in cyclic id order; the first that improves the energy in some slot goes there, and the scan moves on.
 
     Between two swaps nothing changes, so rows are scored in chunks of the cyclic order and the first that
-    improves is taken: the same swaps as one by one. Ends after a whole round in vain.
+    improves is taken: the same swaps as one by one. Ends after a whole round in vain. ``rows``, if at hand, are the
+    rows to try with their dense ``position``; ``pts`` and they should then be persisted.
     """
     e = of(energy)
-    rows = with_position(pts if cands is None else cands).persist()
+    own = rows is None
+    if own:
+        rows = with_position(pts if cands is None else cands).persist()
+        pts = dealt(pts, pts.count()).persist()
     n = rows.count()
-    pts = dealt(pts, pts.count()).persist()
     out = Swap(chosen, _energy(pts, chosen, e, p))
     cursor = stagnation = swaps = 0
     sums = by_sums(pts, e, p)
@@ -84,8 +87,9 @@ def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "clus
         out.log.append((swaps, time.perf_counter() - began, out.energy, stagnation + hit.turn))
         cursor, stagnation, began = (cursor + hit.turn + 1) % n, 0, time.perf_counter()
     out.log.append((swaps + 1, time.perf_counter() - began, out.energy, stagnation))
-    rows.unpersist()
-    pts.unpersist()
+    if own:
+        rows.unpersist()
+        pts.unpersist()
     return out
 
 
