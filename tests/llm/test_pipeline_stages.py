@@ -58,7 +58,7 @@ def test_language_id(spark, docs):
         p = softmax_scores(m, r.text)
         assert r.lang_pred == m.langs[int(np.argmax(p))] and r.score == pytest.approx(max(p), abs=1e-9) and r.rejected == (r.score < m.least)
     kept = corpus_pipeline.language_id(spark, docs, TABLES)
-    assert kept.columns == corpus_pipeline.COLUMNS and sorted(map(str, kept.collect())) == sorted(str(r[:5]) for r in rows if not r.rejected)
+    assert kept.columns == corpus_pipeline.COLUMNS and sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(tuple(r)[:5]) for r in rows if not r.rejected)
 
 
 def test_quality_classifier(spark, docs):
