@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from protospan.functions.blocks import add_columns, checked, partials
 from protospan.functions.vectors import uniform
-from protospan.operators.energies import Energy, cost, of
+from protospan.operators.energies import Energy, LowRank, cost, independent, of
 from protospan.operators.pairs import Prototypes, prototypes, row_vector, vector_columns
 from protospan.operators.prep import sample_exact
 from protospan.operators.scores import search_values
@@ -137,7 +137,7 @@ def build_search(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: fl
         if best is None:
             break
         new = prototypes(cands, [best.id])
-        if len(out.chosen) and e.distance(out.chosen.x, new.x)[0] <= e.gap:
+        if isinstance(e, LowRank) and len(out.chosen) and not independent(out.chosen, new.x[0]):
             break
         out.chosen = out.chosen.added(best.id, new.x[0])
         out.log.append((step, best.id, time.perf_counter() - began, best.value))

@@ -320,6 +320,11 @@ def leave_one_out(pts: DataFrame, chosen: Prototypes, energy: str | Energy, out:
     return add_columns(pts, lambda m: {out: e.without(x, m)}, f"{out} array<double>")
 
 
+def independent(chosen: Prototypes, row: np.ndarray) -> bool:
+    """Whether a row lies farther from the span of the prototypes than counts as nothing, so that it can join them."""
+    return bool(LowRank().distance(chosen.x, row[None])[0] > LowRank.gap)
+
+
 def reconstruct(pts: DataFrame, chosen: Prototypes, energy: str | Energy) -> DataFrame:
     """recon (and recon_im for complex rows): every row from the prototypes by its weights."""
     x, e = checked(chosen.x), of(energy)

@@ -569,6 +569,21 @@ def swap_search(spark, d):
     return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", 2))
 
 
+@query(f"""WITH {EMB}, s(slot, a, b) AS (VALUES (0, 1, 2), (1, 0, 2), (2, 0, 1)),
+q0 AS (SELECT slot, b, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS q0 FROM s JOIN emb ON emb.id = a),
+w1 AS (SELECT slot, q0, list_transform(range(1, len(e) + 1), lambda i: e[i] - list_dot_product(e, q0) * q0[i]) AS w FROM q0 JOIN emb ON emb.id = b),
+q AS (SELECT slot, q0, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS q1 FROM w1),
+r AS MATERIALIZED (SELECT slot, id, list_transform(range(1, len(e) + 1), lambda i: e[i] - list_dot_product(e, q0) * q0[i] - list_dot_product(e, q1) * q1[i]) AS r FROM emb, q),
+v AS MATERIALIZED (SELECT c.id, c.slot, sqrt(sum({_PAIRS})) AS e FROM r c JOIN r j USING (slot) WHERE list_dot_product(c.r, c.r) > 1e-12 GROUP BY c.id, c.slot),
+now AS (SELECT e FROM v WHERE id = 0 AND slot = 0),
+w AS (SELECT v.id, v.e FROM v, now WHERE v.id > 2 AND v.e < now.e AND abs(v.e - now.e) > 1e-8 + 1e-5 * now.e ORDER BY v.id, v.e LIMIT 1)
+SELECT 1 AS swap_no, round(e, 6) + 0.0 AS energy, id::BIGINT AS stagnation FROM w UNION ALL SELECT 2, round(e, 6) + 0.0, 0 FROM w""")
+def swap_search_lowrank_first(spark, d):
+    """One swap, as ``swap_search_first``."""
+    pts = embeddings(spark, d)
+    return _swapped(spark, swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "lowrank", 2, max_swaps=1))
+
+
 @query()
 def swap_search_lowrank(spark, d):
     pts = embeddings(spark, d)
