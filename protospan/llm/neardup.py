@@ -59,18 +59,16 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in range(0, batch.num_rows, 256):
             b = batch.slice(part, 256)
-            rep, num, weight, packed = (*(b.column(c).to_numpy() for c in ("rep", "num", "weight")), b.column("e").to_pylist())
+            packed = b.column("e").to_pylist()
             lengths = np.array([len(v) for v in packed])
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
                 x = np.array([packed[i] for i in at], float)
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                keys = buckets(unit(x / scale))
-                raw = [v.tobytes() for v in x]
+                keys = buckets(unit(x / np.abs(x).max(axis=1, keepdims=True))).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), *(pa.array(np.repeat(v[at], TABLES)) for v in (rep, num)),
-                     pa.array(np.repeat(weight[at], TABLES)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), TABLES)))],
-                    names=["bucket", "tab", "rep", "num", "weight", "raw"],
+                    [*(b.column(c).take(pa.array(at)) for c in ("h1", "h2", "rep", "weight")), pa.array([v.tobytes() for v in x], pa.binary()), lists],
+                    names=["h1", "h2", "rep", "weight", "raw", "buckets"],
                 )
 
 
@@ -179,11 +177,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.when(F.coalesce(_usable(e), F.lit(False)) & F.col("vec_id").isNotNull(), e).alias("e"))
     rows = rows.withColumns({"h1": F.when(F.col("e").isNotNull(), F.xxhash64("e")), "h2": F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(1), "e"))})
     alike = rows.filter("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("e").alias("e"))
-    alike = materialize(alike.withColumn("num", F.monotonically_increasing_id()))
-    hashed = alike.select("rep", "num", "weight", "e").mapInArrow(_hashed, "bucket long, tab int, rep long, num long, weight long, raw binary")
-    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hashed = alike.mapInArrow(_hashed, "h1 long, h2 long, rep long, weight long, raw binary, buckets array<long>")
+    alike = materialize(hashed.withColumn("num", F.monotonically_increasing_id()))
+    # Buckets hold numbers; only vectors that share one with another are fetched.
+    member = alike.select("num", F.posexplode("buckets").alias("tab", "bucket"))
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (
-        hashed.join(sizes, "bucket")
+        member.join(sizes, "bucket").join(alike.select("num", "rep", "weight", "raw"), "num")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
