@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from protospan.functions import kernels
 from protospan.functions.blocks import add_columns, checked, summed
 from protospan.functions.vectors import norm, norm2, pnorm
-from protospan.operators.pairs import Prototypes, vector_columns
+from protospan.operators.pairs import Prototypes, row_vector, vector_columns
 from protospan.operators.prep import assert_nonneg, center
 
 
@@ -400,11 +400,65 @@ def scatter_matrix(pts: DataFrame, transform=lambda m: m) -> np.ndarray:
     return np.zeros((0, 0)) if got is None else got[0]
 
 
+def leading_squares(pts: DataFrame, k: int, tol: float = 1e-10, seed: int = 42) -> np.ndarray:
+    """The ``k`` largest squared singular values of the table, to a share ``tol`` of the largest one.
+
+    Block Krylov iteration on the sum A of conj(x) x', which is never made: a pass over the points gives A times a
+    block of vectors. The driver holds a basis of a few blocks, as long as a point has coordinates.
+    """
+    vec = vector_columns(pts)
+    first = pts.select(*vec).first()
+    d = len(row_vector(first)) if first else 0
+    k = min(k, d)
+    if not k:
+        return np.zeros(0)
+
+    def times(q: np.ndarray) -> np.ndarray:
+        checked(q)
+        return summed(pts.select(*vec), lambda held, m, _: [(m.conj().T @ (m @ q)) + (0 if held is None else held[0])])[0]
+
+    width = min(d, k + 8)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    moved = times(basis)
+    while True:
+        small = basis.conj().T @ moved
+        values, vectors = np.linalg.eigh((small + small.conj().T) / 2)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        left = moved @ vectors[:, :width] - (basis @ vectors[:, :width]) * values[:width]
+        size = kernels.norms(left.T)
+        if size[:k].max() <= tol * max(values[0], kernels.TINY) or basis.shape[1] == d:
+            return np.maximum(0, values[:k])
+        if basis.shape[1] + width > 6 * width:  # keep the best two blocks
+            basis, moved = basis @ vectors[:, : 2 * width], moved @ vectors[:, : 2 * width]
+        new = left[:, size > 0] / size[size > 0]
+        for _ in range(2):
+            new = new - basis @ (basis.conj().T @ new)
+            u, strength, _ = np.linalg.svd(new, full_matrices=False)
+            new = u[:, strength > 1e-8]
+        new = new[:, : d - basis.shape[1]]
+        if not new.shape[1]:
+            return np.maximum(0, values[:k])
+        basis, moved = np.hstack([basis, new]), np.hstack([moved, times(new)])
+
+
 def optimal_lowrank_curve(pts: DataFrame, kmax: int, p: float | None) -> DataFrame:
-    """k and bound (k from 0): the least low-rank energy of any k directions, per row: a norm of the trailing singular values."""
-    spark = pts.sparkSession
+    """k and bound (k from 0): the least low-rank energy of any k directions, per row: a norm of the trailing singular values.
+
+    Where the sums over pairs of coordinates would be too large, the leading values are found by iteration; they and
+    the total give the bound for p = 2 and None. Any other p needs all values, and refuses such points.
+    """
+    spark, n = pts.sparkSession, pts.count()
+    first = pts.select(*vector_columns(pts)).first()
+    d = len(row_vector(first)) if first else 0
+    if d > MOST_COORDINATES:
+        if p not in (2, None):
+            raise ValueError(f"{d} coordinates are too many for all singular values")
+        squares = np.append(leading_squares(pts, kmax + 1), np.zeros(max(0, kmax + 1 - d)))
+        total = pts.agg(F.sum(sum((norm2(c) for c in vector_columns(pts)), F.lit(0.0)))).first()[0] or 0.0
+        rest = np.maximum(0, total - np.concatenate([[0], np.cumsum(squares)]))
+        bound = [float(squares[k] ** 0.5) if p is None else float((rest[k] / n) ** 0.5) for k in range(min(kmax, d) + 1)]
+        return spark.createDataFrame(list(enumerate(bound)), "k int, bound double")
     values = np.sqrt(np.maximum(0, np.linalg.eigvalsh(scatter_matrix(pts))[::-1]))
-    n = pts.count()
     rest = [values[k:] for k in range(min(kmax, len(values)) + 1)]
     bound = [float(v.max(initial=0)) if p is None else float((v**p).sum() ** (1 / p) / n ** (1 / p)) for v in rest]
     return spark.createDataFrame(list(enumerate(bound)), "k int, bound double")

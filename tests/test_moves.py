@@ -256,3 +256,17 @@ def test_extra_columns_of_any_name(spark):
     pts = points(spark, RNG.normal(size=(10, 2))).withColumn("a.b", F.lit(1)).withColumn("_0", F.lit("x"))
     rows = energies.assign(pts, pairs.prototypes(pts, [1]), "cluster").collect()
     assert {(r["a.b"], r["_0"]) for r in rows} == {(1, "x")} and rows[0].asDict().keys() == {"id", "features", "a.b", "_0", "dist"}
+
+
+@pytest.mark.parametrize("p", [2, None])
+def test_optimal_curve_of_many_coordinates(spark, monkeypatch, p):
+    x = RNG.normal(size=(60, 25)) * np.linspace(3, 0.1, 25)
+    want = [r.bound for r in energies.optimal_lowrank_curve(points(spark, x), 4, p).orderBy("k").collect()]
+    monkeypatch.setattr(energies, "MOST_COORDINATES", 20)
+    got = [r.bound for r in energies.optimal_lowrank_curve(points(spark, x), 4, p).orderBy("k").collect()]
+    assert got == pytest.approx(want, rel=1e-7) and len(got) == 5
+    with pytest.raises(ValueError, match="too many"):
+        energies.optimal_lowrank_curve(points(spark, x), 4, 1)
+    # As many values as there are coordinates, equal ones and zeros among them.
+    few = np.diag([2.0, 2.0, 1.0, 0.0])
+    assert energies.leading_squares(points(spark, few), 9) == pytest.approx([4, 4, 1, 0], abs=1e-9)
