@@ -15,9 +15,10 @@ documents link when ``parts`` * |A and B| >= ``least`` * |A or B|.
    Postings of the most reported n-grams stay where they are, others meet by n-gram.
 4. First, every group is tried against the least group of each n-gram it shares, and its members against
    its least member: a number of pairs that grows with the input. Verified pairs make components.
-5. Where many groups of an n-gram still lie in different components, as in a large group of near copies that
-   are not all alike, they are tried against a few more groups of it: the components grow, at a cost in
-   proportion to the postings.
+5. Where many groups of an n-gram still lie off the component that most of them lie in, as in a large group of
+   near copies that are not all alike, they are tried against a few more groups of it: the components grow, at a
+   cost in proportion to the postings. This goes on as long as such n-grams call for more candidates than there
+   are postings, and for half as many as before at most.
 6. Then all other candidates are tried: pairs of groups that do not lie in one component already,
    expanded to members of different components. What steps 4 and 5 have joined needs no further pair, so
    that a group of n copies costs some n pairs, not n^2; all other candidates are tried, so that no link
@@ -51,9 +52,9 @@ STRETCH = 1 << 20
 MOST_IDS = 1 << 18
 #: N-grams reported so often have postings that do not meet in one task; the MOST_HOT most reported of them.
 HOT, MOST_HOT = 5_000, 4_096
-#: Where candidates between components would be more than SPREAD times the postings, components first grow by up to
-#: ROUNDS rounds of trying PIVOTS groups of each n-gram.
-SPREAD, ROUNDS, PIVOTS = 8, 1, 24
+#: Where candidates between components of the n-grams with more than PIVOTS groups off the main one would be more than
+#: SPREAD times the postings, components first grow by up to ROUNDS rounds of trying PIVOTS groups of each of these.
+SPREAD, ROUNDS, PIVOTS = 1, 4, 24
 #: Pairs that a task verifies, at least where there are fewer partitions than that calls for.
 PAIRS_A_TASK = 1_000
 
@@ -239,7 +240,11 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     size = rows.count()
     # A class is known by its least document.
     members = materialize(full.groupBy(*sig).agg(F.min(F.struct(F.col("doc_id").alias("d"), "t")).alias("node"), *[F.first(c).alias(c) for c in ("p1", "p2", *PARITY)]).select(*sig, "node", gid, *PARITY), size)
-    lead = members.groupBy("gid").agg(F.min(F.struct("node", "n", *PARITY)).alias("m"), F.count(F.lit(1)).alias("of")).select("gid", F.col("m.node").alias("lead"), "m.*", "of").drop("node")
+
+    def lead_of(members: DataFrame) -> DataFrame:
+        return members.groupBy("gid").agg(F.min(F.struct("node", "n", *PARITY)).alias("m"), F.count(F.lit(1)).alias("of")).select("gid", F.col("m.node").alias("lead"), "m.*", "of").drop("node")
+
+    lead = lead_of(members)
     heads = full.groupBy(*by).agg(F.first("prefix").alias("prefix")).select(gid, "n", "prefix")
 
     # From the first shared n-gram on, both sets need as many n-grams as the least overlap that links them.
@@ -247,8 +252,8 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
         return F.least(F.col(n) - F.col(at), F.col(m) - F.col(other_at)) * (parts + least) >= (F.col(n) + F.col(m)) * least
 
     def pivoted(tokens: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("z")).filter("p.gid != z")
-        return tokens.join(send(shared.select("token", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))), "token")
+        shared = tokens.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("z"), F.count(F.lit(1)).alias("all")).filter("p.gid != z")
+        return tokens.join(send(shared.select("token", "all", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))), "token")
 
     tokens = heads.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     hot = frequent[reported >= HOT][-MOST_HOT:].view(np.int64).tolist()
@@ -266,11 +271,11 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
         differ = sum((F.bit_count(F.col(f"{x}{q}").bitwiseXOR(F.col(f"{y}{q}"))) for q in PARITY), F.lit(0))
         return (F.col(n) + F.col(m) - differ) * (parts + least) >= (F.col(n) + F.col(m)) * (2 * least)
 
-    def led(pairs: DataFrame) -> DataFrame:
+    def led(pairs: DataFrame, lead: DataFrame) -> DataFrame:
         of = [lead.select(F.col("gid").alias(g), F.col("lead").alias(c), F.col("n").alias(f"{c}n"), *[F.col(q).alias(c + q) for q in PARITY]) for g, c in (("pivot", "a"), ("gid", "b"))]
         return pairs.join(of[0], "pivot").join(of[1], "gid").filter(close("an", "bn", "a", "b")).select("a", "b")
 
-    stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct())
+    stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct(), lead)
     inside = members.select("node", "gid").join(lead.select("gid", "lead"), "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -281,25 +286,41 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     tried = materialize(ordered(stars.union(inside)), size)
     found = components(verified(tried), rows=size)
 
-    bare = posted.select("token", "gid", "n", "pos")
-    for turn in range(ROUNDS + 1):
+    def placed(members: DataFrame, of: DataFrame, bare: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members and their components; the component of a group, by its hash, if all members lie in one; postings with it."""
         at = materialize(members.select("node", "gid").join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("c")), size)
-        # The component of a group, by its hash, if all members lie in one.
         span = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).withColumn("c", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")))
-        known = lead.select("gid", *[F.when(F.col("of") == 1, F.col(q)).alias(q) for q in PARITY])  # of groups of one set
-        spread = materialize(bare.join(span.select("gid", "c").join(known, "gid"), "gid"), postings)
-        # The main component of an n-gram is the one that most of its groups lie in.
+        known = of.select("gid", *[F.when(F.col("of") == 1, F.col(q)).alias(q) for q in PARITY])  # of groups of one set
+        return at, span, materialize(bare.join(span.select("gid", "c").join(known, "gid"), "gid"), rows)
+
+    def mains(spread: DataFrame, rows: int) -> DataFrame:
+        """The main component of an n-gram is the one that most of its groups lie in; n-grams whose groups all lie in it are left out."""
         mixed = (
             spread.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("most"), F.max(F.col("c").isNull()).alias("split"))
             .filter("parts > 1 or split")
         )
-        mixed = materialize(mixed.select("token", "all", F.when(F.col("most.c").isNotNull(), F.col("most.k")).otherwise(0).alias("k"), F.col("most.c").alias("main")), postings)
-        many = mixed.agg(F.sum(F.expr("cast((all - k) * all as double)"))).first()[0] or 0
-        if turn == ROUNDS or many <= SPREAD * postings:
+        return materialize(mixed.select("token", "all", F.when(F.col("most.c").isNotNull(), F.col("most.k")).otherwise(0).alias("k"), F.col("most.c").alias("main")), rows)
+
+    # N-grams with few groups call for few candidates each, so that only the others' groups are looked at here.
+    bare = posted.select("token", "gid", "n", "pos")
+    crowded = materialize(posted.filter(F.col("all") > PIVOTS).select("token", "gid", "n", "pos"))
+    crowd, before = crowded.count(), float("inf")
+    groups = materialize(crowded.select("gid").distinct(), crowd)
+    theirs = members.join(F.broadcast(groups) if groups.count() <= MOST_IDS else groups, "gid", "left_semi")
+    theirs = materialize(theirs, size)
+    chief = materialize(lead_of(theirs), size)
+    for turn in range(ROUNDS if crowd else 0):
+        at, _, spread = placed(theirs, chief, crowded, crowd)
+        mixed = mains(spread, crowd)
+        dense = mixed.filter(F.col("all") - F.col("k") > PIVOTS)
+        many = dense.agg(F.sum(F.expr("cast((all - k) * all as double)"))).first()[0] or 0
+        if many <= SPREAD * postings or 2 * many > before:
+            release(at, spread, mixed)
             break
+        before = many
         some = F.array(*[F.min(F.struct(F.xxhash64("gid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("gid").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("c").alias("pc"), *[F.col(q).alias(f"p{q}") for q in PARITY])) for k in range(PIVOTS)])
-        pivots = spread.join(mixed.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some"))
+        pivots = spread.join(dense.select("token"), "token", "left_semi").groupBy("token").agg(some.alias("some"))
 
         def plausible(p):
             differ = sum((F.bit_count(F.col(q).bitwiseXOR(p[f"p{q}"])) for q in PARITY), F.lit(0))
@@ -308,10 +329,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
             return (F.col("gid") != p["pivot"]) & F.coalesce(F.col("c") != p["pc"], F.lit(True)) & room & F.coalesce(alike, F.lit(True))
 
         near = spread.join(pivots, "token").select("gid", F.explode(F.filter("some", plausible)).alias("p")).select("gid", "p.pivot")
-        extra = materialize(ordered(led(near.select("pivot", "gid").distinct())).join(tried, ["a", "b"], "left_anti"), size)
+        extra = materialize(ordered(led(near.select("pivot", "gid").distinct(), chief)).join(tried, ["a", "b"], "left_anti"), size)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(extra)), rows=size)
         release(at, spread, mixed)
         tried = tried.union(extra)
+    release(crowded, groups, theirs, chief)
+    at, span, spread = placed(members, lead, bare, postings)
+    mixed = mains(spread, postings)
     posted = spread.join(mixed.select("token", "main"), "token")
     # Every pair of groups but those that lie in the main component both: one side is always off it.
     in_main = F.coalesce(F.col("c") == F.col("main"), F.lit(False))

@@ -142,6 +142,35 @@ def test_ngram_classes_of_near_copies_and_repeated_ids(spark):
         assert (r.component_id, r.first) == (root[0], root == (r.doc_id, r.text))
 
 
+def test_ngram_classes_of_a_large_group_among_many_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 4000)}" for _ in range(240)]
+    docs = []
+    for _ in range(160):  # most pairs are not alike enough, but links join nearly all
+        copy = list(base)
+        for _ in range(rng.randint(2, 4)):
+            copy[rng.randrange(240)] = f"v{rng.randint(0, 4000)}"
+        docs.append((len(docs), " ".join(copy)))
+    for k in range(250):
+        one = " ".join(f"u{k}x{j}" for j in range(1600))
+        docs += [(len(docs), one), (len(docs) + 1, one.replace(f"u{k}x7 ", "z "))]
+    tried, that = [], ngramjoin._that
+
+    def counted(docs, pairs, words, made, holds):
+        tried.append(pairs.count())
+        return that(docs, pairs, words, made, holds)
+
+    monkeypatch.setattr(ngramjoin, "_that", counted)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_classes(table, 4, 85).collect()}
+    sets = sets_of(docs, 4)
+    near = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert 160 < len(near) < 160 * 159 / 4
+    assert got == closure(sets, [*near, *((k, k + 1) for k in range(160, 660, 2))])
+    # The last but one: pairs across components.
+    assert tried[-2] < 160 * 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 
