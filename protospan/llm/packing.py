@@ -17,11 +17,10 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,59 +55,14 @@ def added_ids(raw: bytes) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
-#: Words that a worker remembers, in two halves: the first ones it met, and recent ones.
-REMEMBERED = 300_000
-_ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n ")
-_LINES = re.compile("(\n+)")
-_BETWEEN = regex.compile(r"(?<=\S)(?= \S)")
-
-
-class Remembering(dict):
-    """Results of ``find``; frequent keys come early and stay, of the rest the recent ones are held."""
-
-    def __init__(self, find: Callable[[str], bytes], size: int = REMEMBERED):
-        super().__init__()
-        self.find, self.half, self.recent = find, size // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.recent.get(key)
-        if value is None:
-            value = self.find(key)
-            if len(key) > 64:
-                return value
-            if len(self) < self.half:
-                self[key] = value
-            else:
-                if len(self.recent) >= self.half:
-                    self.recent.clear()
-                self.recent[key] = value
-        return value
-
-
 class Encoder:
-    """Texts to packed little-endian 32-bit ids. ``plain``: ids of a string that is encoded on its own, by a pattern
-    whose matches never reach over a blank between two other characters (public_tokenizers.PATTERN is one)."""
+    """Texts to packed little-endian 32-bit ids, by a tiktoken encoding without special tokens."""
 
-    def __init__(self, plain: Callable[[str], list[int]], size: int = REMEMBERED):
-        pack = lambda s: np.array(plain(s), "<u4").tobytes()
-        self.first = Remembering(pack, size // 8)
-        self.after = Remembering(lambda s: pack(" " + s), size)
+    def __init__(self, encoding):
+        self.encode = encoding.encode_to_numpy
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.first.__getitem__, _BETWEEN.split(text)))
-        out: list[bytes] = []
-        after = self.after.__getitem__
-        runs = _LINES.split(text)
-        for k, run in enumerate(runs):
-            if k % 2:  # line feeds: the last one before a character stands alone
-                out += [self.first[run[:-1]], self.first["\n"]] if len(run) > 1 and runs[k + 1] else [self.first[run]]
-            elif run:
-                head, *rest = run.split(" ")
-                if head:
-                    out.append(self.first[head])
-                out += map(after, rest)
-        return b"".join(out)
+        return self.encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 class AddedEncoder:
@@ -126,7 +80,7 @@ class AddedEncoder:
 
 
 def text_encoder(raw: bytes, added: bool = False) -> AddedEncoder:
-    """The tokenizers library's ids; words are looked up with tiktoken, which merges by the same ranks."""
+    """The tokenizers library's ids; texts are encoded by tiktoken, which merges by the same ranks."""
     import public_tokenizers
     import tiktoken
 
@@ -135,7 +89,7 @@ def text_encoder(raw: bytes, added: bool = False) -> AddedEncoder:
     if order != list(range(len(order))):
         raise ValueError("ids of byte-level BPE should follow the order of merges")
     plain = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return AddedEncoder(Encoder(plain.encode_ordinary), added_ids(raw) if added else {})
+    return AddedEncoder(Encoder(plain), added_ids(raw) if added else {})
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
