@@ -77,14 +77,24 @@ def _blocks(text: bytes) -> Iterator[np.ndarray]:
         yield b[at : at + textops.LIMIT + 3]
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their shares of all of a text's grams."""
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and how many of a text's grams fall into each."""
     counts = np.zeros(1 << BITS, np.int64)
     for k, b in enumerate(_blocks(text)):
         g = grams(b)[: textops.LIMIT]
         counts += np.bincount(g.ravel(), minlength=1 << BITS)
     at = np.flatnonzero(counts)
-    return at, counts[at] / max(1, counts.sum())
+    return at, counts[at]
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    return counts / max(1, counts.sum())
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their shares of all of a text's grams."""
+    at, counts = counted(text)
+    return at, shares(counts)
 
 
 def text_sums(texts: list[bytes], table: np.ndarray) -> np.ndarray:
@@ -182,16 +192,17 @@ def learn(docs: DataFrame, most: int = MOST_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in textops.encoded(batch.column("text"))]
+            found = [counted(t) for t in textops.encoded(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())],
-                names=["doc_id", "lang", "at", "share"],
+                [batch.column("doc_id"), batch.column("lang"), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<u4").tobytes() for _, b in found], pa.binary())],
+                names=["doc_id", "lang", "at", "n"],
             )
 
     sample = bounded(rows.select(F.col("doc_id").cast("long"), "lang", "text"), "doc_id", most)
-    found = sample.mapInArrow(run, "doc_id long, lang string, at binary, share binary").collect()
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.at, r.share))
-    return train([(np.frombuffer(r.at, "<u4"), np.frombuffer(r.share), r.lang) for r in found])
+    # Six bytes for each bucket of a text: the driver holds them in its JVM and in Python.
+    found = sample.mapInArrow(run, "doc_id long, lang string, at binary, n binary").collect()
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.at, r.n))
+    return train([(np.frombuffer(r.at, "<u2"), shares(np.frombuffer(r.n, "<u4")), r.lang) for r in found])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

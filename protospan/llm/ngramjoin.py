@@ -193,9 +193,8 @@ def _links(x: bytes, y: bytes, least: int, parts: int) -> bool:
 NODE = "struct<d: long, t: long>"
 
 
-def _that(docs: DataFrame, pairs: DataFrame, words: int, made: Callable[[np.ndarray], bytes], holds: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Those of the (distinct) pairs a, b of documents for which ``holds`` is true of what is ``made`` of their sets."""
-    n = pairs.count()
+def _that(docs: DataFrame, pairs: DataFrame, n: int, words: int, made: Callable[[np.ndarray], bytes], holds: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Those of the n (distinct) pairs a, b of documents for which ``holds`` is true of what is ``made`` of their sets."""
     few = n <= MOST_IDS
 
     def sent(df: DataFrame) -> DataFrame:
@@ -278,13 +277,22 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     stars = led(posted.filter(fits("n", "pos", "pn", "ppos")).select("pivot", "gid").filter("pivot != gid").distinct(), lead)
     inside = members.select("node", "gid").join(lead.select("gid", "lead"), "gid").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs. Parities, 32 times shorter, settle most pairs that are none before whole sets meet."""
-        likely = materialize(_that(docs, pairs, words, _parity, lambda x, y: _may_link(x, y, least, parts)), pairs.count())
-        return _that(docs, likely, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts))
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        """Links among pairs; None if there can be none. Parities, 32 times shorter, settle most pairs that are none before whole sets meet."""
+        n = pairs.count()
+        if not n:
+            return None
+        likely = materialize(_that(docs, pairs, n, words, _parity, lambda x, y: _may_link(x, y, least, parts)), n)
+        n = likely.count()
+        return _that(docs, likely, n, words, np.ndarray.tobytes, lambda x, y: _links(x, y, least, parts)) if n else None
+
+    def joined(found: DataFrame, links: DataFrame | None) -> DataFrame:
+        """The components that ``found`` and the links make."""
+        return found if links is None else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), rows=size)
 
     tried = materialize(ordered(stars.union(inside)), size)
-    found = components(verified(tried), rows=size)
+    none = spark.createDataFrame([], f"node {NODE}, component {NODE}")
+    found = joined(none, verified(tried))
 
     def placed(members: DataFrame, of: DataFrame, bare: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Members and their components; the component of a group, by its hash, if all members lie in one; postings with it."""
@@ -306,10 +314,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     bare = posted.select("token", "gid", "n", "pos")
     crowded = materialize(posted.filter(F.col("all") > PIVOTS).select("token", "gid", "n", "pos"))
     crowd, before = crowded.count(), float("inf")
-    groups = materialize(crowded.select("gid").distinct(), crowd)
-    theirs = members.join(F.broadcast(groups) if groups.count() <= MOST_IDS else groups, "gid", "left_semi")
-    theirs = materialize(theirs, size)
-    chief = materialize(lead_of(theirs), size)
+    helpers = [crowded]
+    if crowd:
+        groups = materialize(crowded.select("gid").distinct(), crowd)
+        theirs = members.join(F.broadcast(groups) if groups.count() <= MOST_IDS else groups, "gid", "left_semi")
+        theirs = materialize(theirs, size)
+        chief = materialize(lead_of(theirs), size)
+        helpers += [groups, theirs, chief]
     for turn in range(ROUNDS if crowd else 0):
         at, _, spread = placed(theirs, chief, crowded, crowd)
         mixed = mains(spread, crowd)
@@ -330,10 +341,10 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
 
         near = spread.join(pivots, "token").select("gid", F.explode(F.filter("some", plausible)).alias("p")).select("gid", "p.pivot")
         extra = materialize(ordered(led(near.select("pivot", "gid").distinct(), chief)).join(tried, ["a", "b"], "left_anti"), size)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(extra)), rows=size)
+        found = joined(found, verified(extra))
         release(at, spread, mixed)
         tried = tried.union(extra)
-    release(crowded, groups, theirs, chief)
+    release(*helpers)
     at, span, spread = placed(members, lead, bare, postings)
     mixed = mains(spread, postings)
     posted = spread.join(mixed.select("token", "main"), "token")
@@ -352,7 +363,7 @@ def ngram_classes(docs: DataFrame, words: int = 5, least: int = 80, parts: int =
     between = group_pairs.join(left, "a").join(right, "b").filter("cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
     rest = materialize(ordered(between.union(within)).join(tried, ["a", "b"], "left_anti"), size)
     release(spread, mixed)
-    final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest)), rows=size)
+    final = joined(found, verified(rest))
 
     release(rest)
     reps = members.select(*sig, "node").join(final, "node", "left").select(*sig, "node", F.coalesce("component", "node").alias("c"))

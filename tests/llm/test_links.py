@@ -33,6 +33,22 @@ def test_components(spark, shape):
     assert got == closure(nodes, [(a, b) for a, b in links if a != b])
 
 
+def test_components_of_stars_take_one_look(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda *a, keep=components.materialize: written.append(1) or keep(*a))
+    stars = spark.createDataFrame([(i % 3, i) for i in range(3, 60)], "a long, b long")
+    assert {r.node: r.component for r in components.components(stars).collect()} == {i: i % 3 for i in range(60)}
+    assert len(written) == 1  # no round over what is settled already
+
+
+def test_no_pairs_no_passes(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(ngramjoin, "_that", lambda *a, keep=ngramjoin._that: passes.append(1) or keep(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(12)] + [(20, None), (None, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_classes(docs).collect()}
+    assert got == {i: i for i in [*range(12), 20, None]} and not passes
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = np.random.default_rng(5)
