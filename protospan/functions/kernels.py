@@ -47,6 +47,20 @@ def residual(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return x - (x @ q.conj().T) @ q
 
 
+def power(squares: np.ndarray, p: float | None) -> np.ndarray:
+    """Distances to the power p (themselves, with p = None) from their squares; in place where it can be."""
+    if p == 2:
+        return squares
+    d = np.sqrt(squares)
+    if p is None or p == 1:
+        return d
+    if p == 5:
+        squares *= squares
+        d *= squares
+        return d
+    return d**p
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((abs(x) ** 2).sum(axis=1))
 

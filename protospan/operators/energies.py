@@ -200,41 +200,100 @@ class _Combined(Energy):
     def optimality(self, s, x):
         return kernels.optimality(x, s, self.weights(s, x), self.total)
 
+    def beside_one(self, rest, x, c):
+        """For one point: what ``_meet`` needs to know of rows and candidates, and which of them it is right for; None if it is for none."""
+        return None
+
+    @staticmethod
+    def _meet(y, base, weight, unit, bend, shift, p, place):
+        """For every candidate the sum of distance^p, or its maximum, over rows that also have one point.
+
+        ``y`` is what rows lack with the point alone, ``base`` its square, ``unit`` the direction in which a candidate
+        takes rows from there. With v = max(0, unit . y) the square falls by v^2, and, where the candidate's end is
+        passed (or the point loses its weight), by max(0, bend v - shift weight)^2 less. ``place`` has what rows lack
+        by differences; it serves where these products cancel.
+        """
+        total = np.zeros(len(unit))
+        whole = base.sum()
+        for lo in range(0, len(unit), 512):
+            at = slice(lo, lo + 512)
+            for a in range(0, len(y), 512):
+                r = slice(a, a + 512)
+                v = unit[at] @ y[r].T
+                np.maximum(v, 0, out=v)
+                z = v * bend[at, None]
+                z -= shift[at, None] * weight[None, r]
+                np.maximum(z, 0, out=z)
+                if p == 2:
+                    total[at] += base[r].sum() - np.einsum("ij,ij->i", v, v) + np.einsum("ij,ij->i", z, z)
+                    continue
+                v *= v
+                z *= z
+                v -= z
+                np.subtract(base[None, r], v, out=v)
+                i, j = np.nonzero(v < 1e-6 * base[None, r])
+                for k in range(0, len(i), 1 << 14):
+                    b, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                    v[b, q] = place(b + lo, q + a)
+                d = kernels.power(np.maximum(v, 0, out=v), p)
+                total[at] = np.maximum(total[at], d.max(axis=1)) if p is None else total[at] + d.sum(axis=1)
+        if p == 2:
+            for i in np.flatnonzero(total < 1e-6 * whole):
+                total[i] = sum(place(np.full(len(b), i), b).sum() for b in np.split(np.arange(len(y)), range(1 << 14, len(y), 1 << 14)))
+        return total
+
     def move_parts(self, s, x, c, p, swap):
         """As for any energy, but a candidate meets only rows that it brings closer.
 
         By the optimality conditions a further point changes nothing for a row where its product with what the row
         lacks is not positive (for convex: not above that of the row's place). For the other rows the search
-        for weights starts from the present ones.
+        for weights starts from the present ones. With one other point the distances are known in closed form.
         """
         out = np.zeros((len(c), len(s) if swap else 1))
-        power = (lambda d: d) if p is None else (lambda d: d**p)
-        whole = (lambda d: d.max(initial=0)) if p is None else (lambda d: d.sum())
+        fold = np.maximum if p is None else np.add
         for t in range(out.shape[1]):
             rest = np.delete(s, t, axis=0) if swap else s.reshape(-1, x.shape[1])
-            if self.total and not len(rest):
-                out[:, t] = [whole(power(d)) for d in kernels.many_distances(c, x)]
+            found = self.beside_one(rest, x, c) if len(rest) == 1 and len(x) else None
+            if found is None:
+                out[:, t] = self._searched(rest, x, c, p)
                 continue
-            h = self.weights(rest, x) if len(rest) else np.zeros((len(x), 0))
-            place = h @ rest
-            left = x - place
-            dist = kernels.norms(left)
-            held = power(dist)
-            step = max(1, PAIRS // max(1, len(x)))
-            for at in range(0, len(c), step):
-                reach = left @ c[at : at + step].T - ((left * place).sum(axis=1)[:, None] if self.total else 0)
-                near = reach > 1e-13 * dist[:, None] * kernels.norms(c[at : at + step])[None, :]
-                for i in range(near.shape[1]):
-                    r = near[:, i]
-                    now = held
-                    if r.any():
-                        points = np.vstack([rest, c[at + i]])
-                        w = kernels.constrained(x[r], points, self.total, np.pad(h[r], ((0, 0), (0, 1))))
-                        now = held.copy()
-                        now[r] = power(np.minimum(dist[r], kernels.norms(x[r] - w @ points)))
-                    out[at + i, t] = whole(now)
+            given, rows, cands = found
+            out[cands, t] = self._meet(*given[:6], p, given[6])
+            if not rows.all():
+                out[cands, t] = fold(out[cands, t], self._searched(rest, x[~rows], c[cands], p))
+            if not cands.all():
+                out[~cands, t] = self._searched(rest, x, c[~cands], p)
         return out
 
+    def _searched(self, rest, x, c, p):
+        """Sums (or maxima) for candidates beside any points, from a search for weights."""
+        out = np.zeros((len(c), 1))
+        power = (lambda d: d) if p is None else (lambda d: d**p)
+        whole = (lambda d: d.max(initial=0)) if p is None else (lambda d: d.sum())
+        step = max(1, PAIRS // max(1, len(x)))
+        if self.total and not len(rest):
+            for at in range(0, len(c), step):
+                out[at : at + step, 0] = [whole(power(d)) for d in kernels.many_distances(c[at : at + step], x)]
+            return out[:, 0]
+        h = self.weights(rest, x) if len(rest) else np.zeros((len(x), 0))
+        place = h @ rest
+        left = x - place
+        dist = kernels.norms(left)
+        held = power(dist)
+        for at in range(0, len(c), step):
+            reach = left @ c[at : at + step].T - ((left * place).sum(axis=1)[:, None] if self.total else 0)
+            near = reach > 1e-13 * dist[:, None] * kernels.norms(c[at : at + step])[None, :]
+            for i in range(near.shape[1]):
+                r = near[:, i]
+                now = held
+                if r.any():
+                    points = np.vstack([rest, c[at + i]])
+                    w = kernels.constrained(x[r], points, self.total, np.pad(h[r], ((0, 0), (0, 1))))
+                    now = held.copy()
+                    now[r] = power(np.minimum(dist[r], kernels.norms(x[r] - w @ points)))
+                out[at + i, 0] = whole(now)
+        return out[:, 0]
+
 
 class Conic(_Combined):
     """Distance to the cone of non-negative combinations, of non-negative points."""
@@ -251,6 +310,18 @@ class Convex(_Combined):
     name = "convex"
     total = True
 
+    def beside_one(self, rest, x, c):
+        y, g = x - rest[0], c - rest[0]
+        size = kernels.norms(g)
+        unit = g / np.where(size > 0, size, 1)[:, None]
+
+        def place(i, j):
+            far = np.clip((y[j] * unit[i]).sum(axis=1), 0, size[i])
+            return ((y[j] - far[:, None] * unit[i]) ** 2).sum(axis=1)
+
+        given = y, (y * y).sum(axis=1), np.ones(len(y)), unit, np.ones(len(c)), size, place
+        return given, np.ones(len(x), bool), np.ones(len(c), bool)
+
     def prepare(self, pts):
         return center(pts)
 

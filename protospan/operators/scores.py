@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from protospan.functions import kernels
-from protospan.functions.blocks import add_columns, checked, partials, summed
+from protospan.functions.blocks import add_columns, checked, matrix, partials, summed
 from protospan.functions.ship import ship
 from protospan.functions.tables import kept
 from protospan.operators.energies import MOST_COORDINATES, Energy, LowRank, assign, cost, of, scatter_matrix
-from protospan.operators.pairs import Prototypes, row_vector, vector_columns
+from protospan.operators.pairs import Prototypes, vector_columns
 
 #: Candidates that go to every task at a time, at most, and their bytes.
-CANDIDATES, CHUNK_BYTES = 4096, 1 << 24
-#: Rows a partition of a small table, at least, where there are more cores than partitions.
-LEAST_ROWS = 16
+CANDIDATES, CHUNK_BYTES = 16384, 1 << 24
+#: Rows a partition, at least, where there are more cores than partitions, and at most.
+LEAST_ROWS, MOST_ROWS = 16, 1 << 17
 
 
 def fitting(pts: DataFrame) -> int:
@@ -41,22 +41,21 @@ def chunks(cands: DataFrame, rows: int, fit: int) -> Iterator[DataFrame]:
 
 
 def dealt(pts: DataFrame, rows: int) -> DataFrame:
-    """``pts`` in as many partitions as there are cores, if it is a table that few tasks would read."""
+    """``pts`` in equal partitions, as many as there are cores, or more if they would be large: a file, or one part of it, may hold most rows."""
     cores = pts.sparkSession.sparkContext.defaultParallelism
-    if rows > cores * 4096 * LEAST_ROWS:
-        return pts
-    return pts.select("id", *vector_columns(pts)).repartition(max(1, min(cores, rows // LEAST_ROWS)))
+    many = min(cores, rows // LEAST_ROWS) if rows <= cores * MOST_ROWS else cores * -(-rows // (cores * MOST_ROWS))
+    return pts.select("id", *vector_columns(pts)).repartition(max(1, many))
 
 
 def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool) -> DataFrame:
     """id, slot and value of every move of a chunk of candidates, which goes to every task; a partition of points
     returns a number for each candidate and slot."""
     vec = vector_columns(pts)
-    found = cands.select("id", *vec).collect()  # a chunk
+    found = cands.select("id", *vec).toArrow().combine_chunks()  # a chunk
     spark = pts.sparkSession
-    if not found:
+    if not found.num_rows:
         return spark.createDataFrame([], "id long, slot int, value double")
-    ids, c = np.array([r.id for r in found], np.int64), checked(np.stack([row_vector(r) for r in found]))
+    ids, c = found.column("id").to_numpy().astype(np.int64), checked(matrix(found.to_batches()[0]))
     k = len(s) if swap else 1
 
     def fold(held, m, _):
@@ -75,9 +74,14 @@ def _moves(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float
     """``moved`` for any number of candidates, chunk by chunk."""
     fit, points, rows = fitting(pts), pts.count(), cands.count()
     pts = dealt(pts, points)
-    parts = [moved(pts, part, s, e, p, swap) for part in chunks(cands, rows, fit)]
-    # Each chunk's result is written before the next one goes out, so that the tasks' candidates do not add up.
-    return reduce(DataFrame.union, [kept(x) for x in parts] if len(parts) > 1 else parts)
+    if rows <= fit:
+        return moved(pts, cands, s, e, p, swap)
+    # Prepared once for all chunks. Each chunk's result is written before the next one goes out, so that the tasks' candidates do not add up.
+    pts, cands = pts.persist(), cands.select("id", *vector_columns(cands)).persist()
+    parts = [kept(moved(pts, part, s, e, p, swap)) for part in chunks(cands, rows, fit)]
+    pts.unpersist()
+    cands.unpersist()
+    return reduce(DataFrame.union, parts)
 
 
 def _width(pts: DataFrame) -> int:

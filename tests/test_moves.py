@@ -270,3 +270,20 @@ def test_optimal_curve_of_many_coordinates(spark, monkeypatch, p):
     # As many values as there are coordinates, equal ones and zeros among them.
     few = np.diag([2.0, 2.0, 1.0, 0.0])
     assert energies.leading_squares(points(spark, few), 9) == pytest.approx([4, 4, 1, 0], abs=1e-9)
+
+
+@pytest.mark.parametrize("p", [1, 2, 5, None])
+@pytest.mark.parametrize("name", ["convex"])
+def test_beside_one_point_no_search(monkeypatch, name, p):
+    """Candidates beside one other point: closed forms, where rows lie on, past or behind what the two span."""
+    e, rng = energies.of(name), np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(60, 5))) if name == "conic" else rng.normal(size=(60, 5))
+    x[1], x[2], x[3], x[4] = x[0], 0, 3 * x[5], (x[0] + x[5]) / 2
+    want = {swap: [[whole(e.distance(np.vstack([r, one]), x), p) for r in rest] for one in x] for swap, rest in ((False, x[[0]]), (True, x[[7, 0]]))}
+    met, plain = [], kernels.constrained
+    monkeypatch.setattr(kernels, "constrained", lambda x, *a: met.append(len(x)) or plain(x, *a))
+    for swap, s in ((False, x[[0]]), (True, x[[0, 7]])):
+        got = e.move_parts(s, x, x, p, swap)
+        assert np.allclose(got if p is None else got ** (1 / p), want[swap], rtol=1e-9, atol=1e-9)
+    # Only candidates on the point's own ray (a few copies) need the search.
+    assert sum(met) <= 20 * len(x)
