@@ -287,3 +287,14 @@ def test_beside_one_point_no_search(monkeypatch, name, p):
         assert np.allclose(got if p is None else got ** (1 / p), want[swap], rtol=1e-9, atol=1e-9)
     # Only candidates on the point's own ray (a few copies) need the search.
     assert sum(met) <= 20 * len(x)
+
+
+def test_beside_one_point_where_all_is_near(monkeypatch):
+    """Sums that nearly vanish come from differences."""
+    rng = np.random.default_rng(5)
+    for name in ("convex",):
+        e, ends = energies.of(name), 100 + np.abs(rng.normal(size=(2, 4)))
+        share = rng.uniform(0.2, 0.8, size=(50, 1))
+        x = share * ends[0] + (1 - share) * ends[1] + 1e-9 * rng.normal(size=(50, 4))
+        got = e.move_parts(ends[[0]], x, ends[[1]], 2, False)[0, 0] ** 0.5
+        assert got == pytest.approx(whole(e.distance(ends, x), 2), abs=1e-11) and got < 1e-7
