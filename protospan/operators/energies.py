@@ -303,6 +303,31 @@ class Conic(_Combined):
     def prepare(self, pts):
         return assert_nonneg(pts)
 
+    def beside_one(self, rest, x, c):
+        size = kernels.norms(rest)[0]
+        if size <= kernels.TINY:
+            return None
+        own = rest[0] / size
+        rows = x @ own >= 0
+        x = x[rows]
+        weight, along = x @ own, c @ own
+        y, side = x - weight[:, None] * own, c - along[:, None] * own
+        side -= (side @ own)[:, None] * own
+        whole, off = kernels.norms(c), kernels.norms(side)
+        cands = off > 1e-6 * np.maximum(whole, kernels.TINY)
+        c, whole, off = c[cands], whole[cands], off[cands]
+        unit, ray = side[cands] / off[:, None], c / whole[:, None]
+        bend, shift = along[cands] / whole, off / whole
+
+        def place(i, j):
+            v = np.maximum(0, (y[j] * unit[i]).sum(axis=1))
+            alone = bend[i] * v > shift[i] * weight[j]
+            near = y[j] - v[:, None] * unit[i]
+            near[alone] = x[j[alone]] - (x[j[alone]] * ray[i[alone]]).sum(axis=1)[:, None] * ray[i[alone]]
+            return (near * near).sum(axis=1)
+
+        return (y, (y * y).sum(axis=1), weight, unit, bend, shift, place), rows, cands
+
 
 class Convex(_Combined):
     """Distance to the convex hull, of centred points."""

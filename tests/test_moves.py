@@ -273,7 +273,7 @@ def test_optimal_curve_of_many_coordinates(spark, monkeypatch, p):
 
 
 @pytest.mark.parametrize("p", [1, 2, 5, None])
-@pytest.mark.parametrize("name", ["convex"])
+@pytest.mark.parametrize("name", ["convex", "conic"])
 def test_beside_one_point_no_search(monkeypatch, name, p):
     """Candidates beside one other point: closed forms, where rows lie on, past or behind what the two span."""
     e, rng = energies.of(name), np.random.default_rng(4)
@@ -292,7 +292,7 @@ def test_beside_one_point_no_search(monkeypatch, name, p):
 def test_beside_one_point_where_all_is_near(monkeypatch):
     """Sums that nearly vanish come from differences."""
     rng = np.random.default_rng(5)
-    for name in ("convex",):
+    for name in ("convex", "conic"):
         e, ends = energies.of(name), 100 + np.abs(rng.normal(size=(2, 4)))
         share = rng.uniform(0.2, 0.8, size=(50, 1))
         x = share * ends[0] + (1 - share) * ends[1] + 1e-9 * rng.normal(size=(50, 4))
