@@ -14,7 +14,7 @@ from protospan.functions.vectors import uniform
 from protospan.operators.energies import Energy, LowRank, cost, independent, of
 from protospan.operators.pairs import Prototypes, prototypes, row_vector, vector_columns
 from protospan.operators.prep import sample_exact
-from protospan.operators.scores import search_values
+from protospan.operators.scores import best_values
 
 LOG = "step int, id long, seconds double, energy double"
 
@@ -132,7 +132,7 @@ def build_search(pts: DataFrame, k: int, energy: str | Energy = "cluster", p: fl
     cands = pts if cands is None else cands
     for step in range(k):
         began = time.perf_counter()
-        values = search_values(pts, out.chosen, e, p, cands).filter(~F.col("id").isin([int(i) for i in out.chosen.ids]))
+        values = best_values(pts, out.chosen, e, p, cands)
         best = values.agg(F.min(F.struct(rounded(F.col("value")).alias("v"), uniform(seed, step, "id").alias("u"), "id", "value")).alias("b")).first().b
         if best is None:
             break

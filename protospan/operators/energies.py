@@ -29,6 +29,8 @@ class Energy:
     name = ""
     #: A row this close to what the prototypes span is not drawn.
     gap = 0.0
+    #: Whether ``least_parts`` gives bounds for moves that cost less than their values.
+    bounded = False
 
     def prepare(self, pts: DataFrame) -> DataFrame:
         return pts
@@ -158,6 +160,78 @@ class Cluster(Energy):
                         self._fold(out, rest, t, got, other, fold, swap)
         return out
 
+    #: Moves may be scored from below first.
+    bounded = True
+
+    def least_parts(self, s, x, c, p, swap):
+        """As ``move_parts``, or a little less: from products in single precision, less what these may be wrong by.
+
+        A product of k terms is wrong by k + 2 roundings of the sum of its terms' sizes at most, so that squared
+        distances less that share of (|row| + |candidate|)^2 are not above the true ones. What a candidate saves is
+        then not less than it does.
+        """
+        k = len(s) if swap else 1
+        if k > 1 or (len(s) and not swap):
+            near, dist, _, after = self.nearest(s, x)
+        elif swap:
+            return self.move_parts(s, x, c, p, swap)
+        else:
+            near, dist, after = np.zeros(len(x), int), None, None
+        one = float(np.finfo(np.float32).eps) / 2  # a rounding, at most
+        mid = c.mean(axis=0)
+        x, c = x - mid, c - mid
+        xs, cs = kernels.norms(x), kernels.norms(c)
+        scale = max(xs.max(), cs.max()) or 1.0
+        x, c, xs, cs = x / scale, c / scale, xs / scale, cs / scale
+        slack = (x.shape[1] + 8) * one * (xs + cs.max()) ** 2 + 1e-30
+        left = np.column_stack([-2 * c, np.ones(len(c)), cs**2]).astype(np.float32)
+        power = scale ** (p or 1)
+        whole = np.zeros((len(c), k))
+        saved = np.zeros((2, k, len(c)))  # in all slots but the rows' own, and in that one
+        base = np.zeros((2, k))
+        side = 512
+        held = np.empty((2, side * side), np.float32)
+        for t in range(max(1, len(s))):
+            rows = np.flatnonzero(near == t)
+            for at in range(0, len(rows), side):
+                r = rows[at : at + side]
+                right = np.column_stack([x[r], xs[r] ** 2 - slack[r], np.ones(len(r))]).astype(np.float32).T
+                limits = [] if dist is None else [z[r] / scale for z in ((dist, after) if swap else (dist,))]
+                powers = [z if p is None else z**p for z in limits]
+                ups = [(z * (1 + 16 * one)).astype(np.float32) for z in powers]
+                if p is not None:
+                    for i, z in enumerate(powers):
+                        base[i, t if swap else 0] += z.sum()
+                for lo in range(0, len(c), side):
+                    who = slice(lo, min(lo + side, len(c)))
+                    d, spare = (h[: (who.stop - lo) * len(r)].reshape(-1, len(r)) for h in held)
+                    np.matmul(left[who], right, out=d)
+                    if not (p == 2 and limits):
+                        np.maximum(d, 0, out=d)
+                    d = kernels.power(d, p)
+                    if not limits:
+                        got = d.max(axis=1) if p is None else d.sum(axis=1)
+                        whole[who, 0] = np.maximum(whole[who, 0], got) if p is None else whole[who, 0] + got
+                        continue
+                    for i, up in enumerate(ups):
+                        if p is None:
+                            got = np.minimum(d, up[None, :], out=spare).max(axis=1)
+                            mine = saved[i, t if swap else 0]
+                            mine[who] = np.maximum(mine[who], got)
+                        else:
+                            z = np.subtract(up[None, :], d, out=d if i + 1 == len(ups) else spare)
+                            np.maximum(z, 0, out=z)
+                            saved[i, t if swap else 0, who] += z.sum(axis=1)
+        less = 1 - 600 * one
+        if dist is None:
+            return whole * less * power
+        if p is None:
+            out = np.stack([np.max([saved[int(swap and t == slot), t] for t in range(k)], axis=0) for slot in range(k)], axis=1)
+            return out * (1 - 32 * one) * power
+        kept = base[:, :, None] - saved * (1 + 600 * one)
+        out = np.stack([sum(kept[int(swap and t == slot), t] for t in range(k)) for slot in range(k)], axis=1)
+        return np.maximum(0, out * (1 - 1e-12)) * power
+
     @staticmethod
     def _fold(out, who, t, own, other, fold, swap):
         """Add the parts of rows whose nearest slot is ``t``: ``own`` if that slot is refilled, else ``other``."""
@@ -214,15 +288,17 @@ class _Combined(Energy):
         by differences; it serves where these products cancel.
         """
         total = np.zeros(len(unit))
-        whole = base.sum()
-        for lo in range(0, len(unit), 512):
-            at = slice(lo, lo + 512)
-            for a in range(0, len(y), 512):
-                r = slice(a, a + 512)
-                v = unit[at] @ y[r].T
+        whole, side, straight = base.sum(), 256, (bend == 1).all()
+        held = np.empty((2, side * side))
+        for lo in range(0, len(unit), side):
+            at = slice(lo, min(lo + side, len(unit)))
+            for a in range(0, len(y), side):
+                r = slice(a, min(a + side, len(y)))
+                v, z = (h[: (at.stop - lo) * (r.stop - a)].reshape(-1, r.stop - a) for h in held)
+                np.matmul(unit[at], y[r].T, out=v)
                 np.maximum(v, 0, out=v)
-                z = v * bend[at, None]
-                z -= shift[at, None] * weight[None, r]
+                np.multiply(shift[at, None], weight[None, r], out=z)
+                np.subtract(v if straight else v * bend[at, None], z, out=z)
                 np.maximum(z, 0, out=z)
                 if p == 2:
                     total[at] += base[r].sum() - np.einsum("ij,ij->i", v, v) + np.einsum("ij,ij->i", z, z)

@@ -4,6 +4,8 @@ Candidates go out in chunks of a few thousand; every task compares a chunk with
 are, and returns one partial sum (or maximum) for each candidate and slot. So what is shuffled is a few numbers for
 each candidate and partition, and n^2 rows never exist. The cluster energy skips points that no candidate of a block
 can reach. The low-rank energy with p = 2 needs only sums over the points.
+
+A search for the best move first scores all from below, in single precision, and then those alone that may be it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from protospan.functions import kernels
 from protospan.functions.blocks import add_columns, checked, matrix, partials, summed
 from protospan.functions.ship import ship
 from protospan.functions.tables import kept
-from protospan.operators.energies import MOST_COORDINATES, Energy, LowRank, assign, cost, of, scatter_matrix
+from protospan.operators.energies import MOST_COORDINATES, Cluster, Energy, LowRank, assign, cost, of, scatter_matrix
 from protospan.operators.pairs import Prototypes, vector_columns
 
 #: Candidates that go to every task at a time, at most, and their bytes.
@@ -47,9 +49,9 @@ def dealt(pts: DataFrame, rows: int) -> DataFrame:
     return pts.select("id", *vector_columns(pts)).repartition(max(1, many))
 
 
-def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool) -> DataFrame:
-    """id, slot and value of every move of a chunk of candidates, which goes to every task; a partition of points
-    returns a number for each candidate and slot."""
+def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool, least: bool = False) -> DataFrame:
+    """id, slot and value (with ``least`` a bound from below) of every move of a chunk of candidates, which goes to every
+    task; a partition of points returns a number for each candidate and slot."""
     vec = vector_columns(pts)
     found = cands.select("id", *vec).toArrow().combine_chunks()  # a chunk
     spark = pts.sparkSession
@@ -59,7 +61,7 @@ def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float |
     k = len(s) if swap else 1
 
     def fold(held, m, _):
-        new = e.move_parts(s, m, c, p, swap)
+        new = (e.least_parts if least else e.move_parts)(s, m, c, p, swap)
         return new if held is None else np.maximum(held, new) if p is None else held + new
 
     def finish(held):
@@ -70,15 +72,15 @@ def moved(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float |
     return parts.groupBy("id", "slot").agg(whole.alias("value"))
 
 
-def _moves(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool) -> DataFrame:
+def _moves(pts: DataFrame, cands: DataFrame, s: np.ndarray, e: Energy, p: float | None, swap: bool, least: bool = False) -> DataFrame:
     """``moved`` for any number of candidates, chunk by chunk."""
     fit, points, rows = fitting(pts), pts.count(), cands.count()
     pts = dealt(pts, points)
     if rows <= fit:
-        return moved(pts, cands, s, e, p, swap)
+        return moved(pts, cands, s, e, p, swap, least)
     # Prepared once for all chunks. Each chunk's result is written before the next one goes out, so that the tasks' candidates do not add up.
     pts, cands = pts.persist(), cands.select("id", *vector_columns(cands)).persist()
-    parts = [kept(moved(pts, part, s, e, p, swap)) for part in chunks(cands, rows, fit)]
+    parts = [kept(moved(pts, part, s, e, p, swap, least)) for part in chunks(cands, rows, fit)]
     pts.unpersist()
     cands.unpersist()
     return reduce(DataFrame.union, parts)
@@ -114,12 +116,52 @@ def search_values(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: f
             return {"value": np.sqrt(np.maximum(0, total - np.where(f > kernels.TINY, gain, 0)))}
 
         values = add_columns(cands.select("id", *vector_columns(cands)), kernel, "value double").select("id", "value")
+    elif by_mean(e, chosen, p):
+        values = _values_by_mean(pts, cands)
     else:
         values = _moves(pts, cands.filter(~taken), s, e, p, False).select("id", "value")
         values = values.union(cands.filter(taken).select("id", F.lit(now).cast("double")))
     return values.withColumn("value", F.when(taken, F.lit(now)).otherwise(F.col("value"))) if len(chosen) else values
 
 
+def by_mean(e: Energy, chosen: Prototypes, p: float | None) -> bool:
+    """Whether a row's value follows from its distance to the mean: the first prototype of a cluster energy of squares."""
+    return type(e) is Cluster and p == 2 and not len(chosen)
+
+
+def _values_by_mean(pts: DataFrame, cands: DataFrame) -> DataFrame:
+    vec = vector_columns(pts)
+    got = summed(pts.select(*vec), lambda held, m, _: [a + b for a, b in zip(held or (0, 0), (m.sum(axis=0), len(m)), strict=True)])
+    mean, n = (got[0] / got[1], got[1]) if got else (np.zeros(1), 0)
+    got = summed(pts.select(*vec), lambda held, m, _: [a + b for a, b in zip(held or (0, 0), ((m - mean).sum(axis=0), ((m - mean) ** 2).sum()), strict=True)])
+    off, total = got or (np.zeros(1), 0.0)
+    # The mean as rounded is off by a little, which ``off`` tells.
+    return add_columns(cands.select("id", *vec), lambda m: {"value": np.sqrt(np.maximum(0, total - 2 * (m - mean) @ off + n * ((m - mean) ** 2).sum(axis=1)))}, "value double").select("id", "value")
+
+
+#: Candidates that are scored at once, rather than from below first, and those that are then scored first.
+FEW, FIRST = 1024, 64
+
+
+def best_values(pts: DataFrame, chosen: Prototypes, energy: str | Energy, p: float | None, cands: DataFrame) -> DataFrame:
+    """id and value, as of ``search_values``, of candidates that are not chosen, all among them that may have the least value.
+
+    Where an energy has bounds, all candidates are scored from below; those whose bound is not above the least value of
+    the few with the least bounds are scored exactly.
+    """
+    e, s = of(energy), checked(chosen.x)
+    cands = cands.filter(~F.col("id").isin([int(i) for i in chosen.ids]))
+    if not e.bounded or by_mean(e, chosen, p) or cands.count() <= FEW:
+        return search_values(pts, chosen, e, p, cands)
+    ship(pts.sparkSession)
+    least = kept(_moves(pts, cands, s, e, p, False, True).select("id", F.col("value").alias("low")))
+    first = [r.id for r in least.orderBy("low", "id").limit(FIRST).collect()]
+    top = _moves(pts, cands.filter(F.col("id").isin(first)), s, e, p, False).agg(F.min("value")).first()[0]
+    # A little more, for values that tie when rounded.
+    may = least.filter(F.col("low") <= F.lit(top * (1 + 1e-9) + 1e-12)).select("id")
+    return _moves(pts, cands.join(may, "id", "left_semi"), s, e, p, False).select("id", "value")
+
+
 def swap_kernel(pts: DataFrame, s: np.ndarray):
     """For the low-rank energy with p = 2: values of putting rows in each slot, from one pass over the points.
 

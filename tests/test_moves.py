@@ -298,3 +298,49 @@ def test_beside_one_point_where_all_is_near(monkeypatch):
         x = share * ends[0] + (1 - share) * ends[1] + 1e-9 * rng.normal(size=(50, 4))
         got = e.move_parts(ends[[0]], x, ends[[1]], 2, False)[0, 0] ** 0.5
         assert got == pytest.approx(whole(e.distance(ends, x), 2), abs=1e-11) and got < 1e-7
+
+
+@pytest.mark.parametrize("p", [1, 2, 5.0, 3, None])
+@pytest.mark.parametrize("swapped", [False, True])
+def test_bounds_of_moves(p, swapped):
+    e, rng = energies.of("cluster"), np.random.default_rng(6)
+    for shift, size in ((0, 1), (100, 1), (0, 1e-9), (3, 1e9)):
+        x = (rng.normal(size=(600, 24)) + shift) * size
+        x[:20] = x[20:40]
+        for s in (x[[0, 30, 100]], x[:1], x[:0])[: 2 if swapped else 3]:
+            exact, least = (f(s, x, x, p, swapped) for f in (e.move_parts, e.least_parts))
+            assert (least <= exact * (1 + 1e-12)).all() and (least >= exact * (1 - 1e-3)).all()
+
+
+def scored(monkeypatch):
+    """Rows that go out to be scored exactly, and from below."""
+    met, plain = {False: 0, True: 0}, scores.moved
+
+    def moved(pts, cands, s, e, p, swapped, least=False):
+        met[least] += cands.count()
+        return plain(pts, cands, s, e, p, swapped, least)
+
+    monkeypatch.setattr(scores, "moved", moved)
+    monkeypatch.setattr(swap, "moved", moved)
+    return met
+
+
+@pytest.mark.parametrize("p", [2, 5.0])
+def test_a_search_build_scores_few_rows_exactly(spark, monkeypatch, p):
+    x = np.random.default_rng(7).normal(size=(400, 6))
+    x[350:] = x[:50]  # copies tie
+    monkeypatch.setattr(scores, "FEW", 50)
+    met, pts = scored(monkeypatch), points(spark, x)
+    got = build.build_search(pts, 3, "cluster", p)
+    d, near = kernels.distances(x, x), np.full(400, np.inf)
+    for (_, i, _, value), one in zip(got.log, got.chosen.x, strict=True):
+        each = (np.minimum(d, near[:, None]) ** p).sum(axis=0) ** (1 / p)
+        assert value == pytest.approx(each.min(), rel=1e-12) and value == pytest.approx(each[i], rel=1e-12) and (x[i] == one).all()
+        near = np.minimum(near, d[:, i])
+    assert met[False] <= 3 * 3 * scores.FIRST and met[True] >= (2 if p == 2 else 3) * 390
+
+
+def test_rows_of_one_part_are_dealt_out(spark):
+    one = spark.range(10).select("id", F.array(F.lit(1.0)).alias("features")).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert scores.dealt(one, 10**7).rdd.getNumPartitions() >= max(cores, 10**7 // scores.MOST_ROWS)
