@@ -40,6 +40,36 @@ def close(a: float, b: float) -> bool:
     return abs(a - b) <= 1e-8 + 1e-5 * abs(b)
 
 
+def _least_gain(energy: float) -> float:
+    """A value that improves an energy is lower by more than this."""
+    return 1e-8 + 1e-5 * abs(energy)
+
+
+def _first_hit(best: DataFrame, energy: float):
+    better = (F.col("b.value") < F.lit(energy)) & (F.abs(F.col("b.value") - F.lit(energy)) > _least_gain(energy))
+    return best.filter(better).agg(F.min(F.struct("turn", "id", "b")).alias("h")).first().h
+
+
+def _tried(pts: DataFrame, part: DataFrame, out: Swap, e: Energy, p: float | None) -> DataFrame:
+    """id, turn and the best move of every row of a chunk."""
+    moves = moved(pts, part, checked(out.chosen.x), e, p, True)
+    best = moves.groupBy("id").agg(F.min(F.struct(rounded(F.col("value")).alias("v"), "slot", "value")).alias("b"))
+    return best.join(F.broadcast(part.select("id", "turn")), "id")  # a chunk
+
+
+def _first_bounded(pts: DataFrame, part: DataFrame, out: Swap, e: Energy, p: float | None):
+    """``_first_hit`` of a chunk: its rows are scored from below, and those that may improve the energy exactly, in order."""
+    least = moved(pts, part, checked(out.chosen.x), e, p, True, True).groupBy("id").agg(F.min("value").alias("low"))
+    may = least.filter(F.col("low") < F.lit(out.energy - _least_gain(out.energy) * (1 - 1e-6))).join(F.broadcast(part.select("id", "turn")), "id")
+    ids, few = [r.id for r in may.select("id", "turn").orderBy("turn").collect()], 64  # of a chunk
+    while ids:
+        now, ids, few = ids[:few], ids[few:], few * 4
+        hit = _first_hit(_tried(pts, part.filter(F.col("id").isin(now)), out, e, p), out.energy)
+        if hit is not None:
+            return hit
+    return None
+
+
 def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "cluster", p: float | None = 2, seed: int = 42, max_swaps: int = -1, first_chunk: int = 256, cands: DataFrame | None = None, rows: DataFrame | None = None) -> Swap:
     """Try rows (of ``cands``, if given) in cyclic id order; the first that improves the energy in some slot goes there, and the scan moves on.
 
@@ -67,14 +97,11 @@ def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "clus
             values = swap_kernel(pts, checked(out.chosen.x))
             moves = add_columns(part, lambda x: {"values": values(x)}, "values array<double>")  # noqa: B023
             least = F.array_min(F.transform("values", lambda v, t: F.struct(rounded(v).alias("v"), t.alias("slot"), v.alias("value"))))
-            best = moves.select("id", "turn", least.alias("b"))
+            hit = _first_hit(moves.select("id", "turn", least.alias("b")), out.energy)
+        elif e.bounded and m > scores.FEW:
+            hit = _first_bounded(pts, part, out, e, p)
         else:
-            moves = moved(pts, part, checked(out.chosen.x), e, p, True)
-            best = moves.groupBy("id").agg(F.min(F.struct(rounded(F.col("value")).alias("v"), "slot", "value")).alias("b"))
-            best = best.join(F.broadcast(part.select("id", "turn")), "id")  # a chunk
-        low = F.col("b.value") < F.lit(out.energy)
-        far = F.abs(F.col("b.value") - F.lit(out.energy)) > 1e-8 + 1e-5 * abs(out.energy)
-        hit = best.filter(low & far).agg(F.min(F.struct("turn", "id", "b")).alias("h")).first().h
+            hit = _first_hit(_tried(pts, part, out, e, p), out.energy)
         if hit is None:
             stagnation += m
             cursor = (cursor + m) % n
@@ -85,6 +112,8 @@ def swap_search(pts: DataFrame, chosen: Prototypes, energy: str | Energy = "clus
         out.chosen = out.chosen.replaced(hit.b.slot, hit.id, new.x[0])
         out.energy = hit.b.value
         out.log.append((swaps, time.perf_counter() - began, out.energy, stagnation + hit.turn))
+        if not sums:  # the next one may well be as near
+            chunk = min(chunk, max(first_chunk, 2 * (stagnation + hit.turn)))
         cursor, stagnation, began = (cursor + hit.turn + 1) % n, 0, time.perf_counter()
     out.log.append((swaps + 1, time.perf_counter() - began, out.energy, stagnation))
     if own:

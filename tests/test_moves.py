@@ -340,6 +340,21 @@ def test_a_search_build_scores_few_rows_exactly(spark, monkeypatch, p):
     assert met[False] <= 3 * 3 * scores.FIRST and met[True] >= (2 if p == 2 else 3) * 390
 
 
+@pytest.mark.parametrize("p", [2, None])
+def test_a_search_swap_scores_few_rows_exactly(spark, monkeypatch, p):
+    x = np.random.default_rng(8).normal(size=(500, 6))
+    pts, runs = points(spark, x), []
+    for few in (10**9, 0):
+        monkeypatch.setattr(scores, "FEW", few)
+        with monkeypatch.context() as m:
+            met = scored(m)
+            got = swap.swap_search(pts, pairs.prototypes(pts, [0, 1, 2]), "cluster", p, first_chunk=64)
+        runs.append((got.chosen.ids, [(a, c) for a, _, _, c in got.log], [b for _, _, b, _ in got.log], met))
+    assert runs[0][:2] == runs[1][:2] and len(runs[0][1]) > 2
+    assert runs[0][2] == pytest.approx(runs[1][2], rel=1e-12)
+    assert runs[0][3][True] == 0 and runs[1][3][False] < runs[0][3][False] / 2
+
+
 def test_rows_of_one_part_are_dealt_out(spark):
     one = spark.range(10).select("id", F.array(F.lit(1.0)).alias("features")).coalesce(1)
     cores = spark.sparkContext.defaultParallelism
