@@ -27,3 +27,20 @@ def kept(df: DataFrame) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``kept``, for a table that ``dropped`` takes away when a loop has no more use for it."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a ``written`` table. The driver's garbage goes with it: only then do executors drop the shuffle files of past steps."""
+    sc = table.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    sc._jvm.System.gc()

@@ -185,6 +185,24 @@ def test_knn_by_pivots(spark, clustered, blocks, rows):
         assert np.allclose([d for _, _, d in sorted(got[i])], [d for d, _ in near])
 
 
+@pytest.mark.parametrize("k,blocks,rows", [(4, 6, 8), (40, 40, 8)])
+def test_knn_where_blocks_go_to_rows(spark, monkeypatch, clustered, k, blocks, rows):
+    """Rows alike far from all others are not copied to every block."""
+    monkeypatch.setattr(pairs, "COPIES", 0.01)
+    monkeypatch.setattr(pairs, "SENT_BYTES", 8 * 3 * 40)
+    monkeypatch.setattr(pairs, "MET", 16)
+    x = np.vstack([clustered, clustered[:7], clustered[[3] * 6], [[500.0, 0, 0]]])
+    shuffled, plain = [], pairs._by_parts
+    monkeypatch.setattr(pairs, "_by_parts", lambda *a: shuffled.append(1) or plain(*a))
+    want, got = near_by_force(x, k), {}
+    for r in pairs.knn_join(points(spark, x), k, blocks=blocks, rows_a_block=rows).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbor, r.distance))
+    assert shuffled
+    for i, near in want.items():
+        assert [(n, j) for n, j, _ in sorted(got[i])] == [(n, j) for n, (_, j) in enumerate(near, 1)]
+        assert np.allclose([d for _, _, d in sorted(got[i])], [d for d, _ in near])
+
+
 def test_knn_of_few_rows(spark):
     assert pairs.knn_join(points(spark, np.zeros((0, 2))), 3).count() == 0
     assert pairs.knn_join(points(spark, np.ones((1, 2))), 3).count() == 0
