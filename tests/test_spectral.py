@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from protospan.operators import spectral
 from protospan.operators.spectral import spectral_embedding
 
 
@@ -47,3 +48,21 @@ def test_residuals_and_rows_without_neighbours(spark):
     rows = spectral_embedding(pts, 4, 3, residuals=True).collect()
     assert all(len(r.residuals) == 3 and max(r.residuals) <= 1e-9 for r in rows)
     assert spectral_embedding(pts.filter("id = 7"), 4, 3).collect()[0].features == [0.0, 0.0]
+
+
+def test_tables_of_past_rounds_go(spark, monkeypatch):
+    """Disk does not grow with rounds: all tables but the last are deleted, also those between steps."""
+    x, pts = points(spark, 80, 6)
+    made, gone = [], []
+    plain, away = spectral.written, spectral.dropped
+    monkeypatch.setattr(spectral, "MANY_ROWS", 80)
+    monkeypatch.setattr(spectral, "written", lambda df: made.append(plain(df)) or made[-1])
+    monkeypatch.setattr(spectral, "dropped", lambda t: gone.append((len(made), t)) or away(t))
+    got = np.array([r.features for r in spectral_embedding(pts, 5, 3).orderBy("id").collect()])
+    values, vectors = dense(x, 5)
+    want = vectors[:, 1:3] * np.sign(vectors[:, 1:3][np.abs(vectors[:, 1:3]).argmax(axis=0), range(2)])
+    assert got == pytest.approx(want, abs=1e-5)
+    left = [t for t in made if all(t is not g for _, g in gone)]
+    assert len(left) == 1 and left[0] is made[-1] and len(made) > spectral.STEPS
+    # Two tables of steps, two of the basis and the neighbours at a time, at most.
+    assert max(n - i for i, (n, _) in enumerate(gone)) <= 5
