@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protospan.functions.ship import ship
+from protospan.functions.tables import shared_folder
 from protospan.operators.build import BUILDS, Build, init_set
 from protospan.operators.energies import Energy, of
 from protospan.operators.pairs import Prototypes, prototypes
@@ -108,12 +111,13 @@ def _swapped(pts: DataFrame, built: Prototypes, swap: str, energy: str | Energy,
             yield k, SWAPS[swap](pts, first, energy, p, seed, **more)
 
 
-def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str, ...] = (), prefixes: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str, ...] = (), prefixes: bool = True, together: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Do the runs of a grid that ``path`` does not hold yet, builds first; the steps and sets of all runs it holds then.
 
     A swap starts from the stored build of its energy, power and seed (its first k rows, if it was oversampled), or
     makes that build first, and swaps every prefix of it, or with ``prefixes=False`` the whole of it alone. Methods
-    in ``overwrite`` are done again. A run is a chain of Spark jobs over the shared points.
+    in ``overwrite`` are done again. A run is a chain of Spark jobs over the shared points; as these are many and short, so many runs go on
+    ``together`` (1, where the seconds of their steps should not hold what they wait for each other). They are stored in order.
     """
     spark = pts.sparkSession
     done = stored_runs(spark, path)
@@ -125,31 +129,49 @@ def run_grid(pts: DataFrame, table: DataFrame, path: str, overwrite: tuple[str,
         builds = {(r.dataset, r.energy, r.p, r.method, r.seed): r.ids for r in kept.select(*RUN, F.transform("build", lambda b: b["id"]).alias("ids")).collect()}
     ready: dict[str, DataFrame] = {}
     placed: dict[str, DataFrame] = {}  # with positions, for search swaps
-    for r in todo.orderBy(F.col("method").contains("_"), "method", "p", "seed").collect():  # as many rows as runs
+    runs = todo.orderBy(F.col("method").contains("_"), "method", "p", "seed").collect()  # as many rows as runs
+    for r in runs:
         if r.energy not in ready:
             prepared = of(r.energy).prepare(pts)
             ready[r.energy] = dealt(prepared, prepared.count()).persist()
-        x, p = ready[r.energy], None if r.p == "inf" else float(r.p)
-        build, _, swap = r.method.partition("_")
-        key = (r.dataset, r.energy, r.p, build, r.seed)
+        if r.method.endswith("_search") and r.energy not in placed:
+            placed[r.energy] = with_position(ready[r.energy]).persist()
+    made: dict[tuple, Future] = {}
+
+    def key(r) -> tuple:
+        return r.dataset, r.energy, r.p, r.method.partition("_")[0], r.seed
+
+    def power(r) -> float | None:
+        return None if r.p == "inf" else float(r.p)
+
+    def done_run(r) -> tuple:
+        x, swap = ready[r.energy], r.method.partition("_")[2]
+        got = made[key(r)].result() if key(r) in made else None
+        ids = (got.chosen.ids if got else builds[key(r)])[: r.k]
         steps, sets, moves = [], [], []
-        if not swap or len(builds.get(key, [])) < r.k:
-            made = BUILDS[build](x, r.k, r.energy, p, r.seed)
-            builds[key] = made.chosen.ids
-            steps = [tuple(b) for b in made.log]
-        ids = builds[key][: r.k]
         if swap:
             ks = list(range(1, len(ids) + 1)) if prefixes else [len(ids)] if ids else []
-            if swap == "search" and r.energy not in placed:
-                placed[r.energy] = with_position(x).persist()
-            for k, got in _swapped(x, prototypes(x, ids), swap, r.energy, p, r.seed, ks, placed.get(r.energy)):
-                moves += [(k, *row) for row in got.log]
-                sets += [(k, slot, i) for slot, i in enumerate(got.chosen.ids)]
-            steps = []
+            for k, better in _swapped(x, prototypes(x, ids), swap, r.energy, power(r), r.seed, ks, placed.get(r.energy)):
+                moves += [(k, *row) for row in better.log]
+                sets += [(k, slot, i) for slot, i in enumerate(better.chosen.ids)]
         else:
+            steps = [tuple(b) for b in got.log[: r.k]]
             sets = [(len(ids), slot, i) for slot, i in enumerate(ids)]
-        row = (r.dataset, r.energy, r.p, r.method, r.seed, r.k, datetime.datetime.now(datetime.timezone.utc), steps, moves, sets)
-        write_results(spark.createDataFrame([row], RUNS), path)
+        return r.dataset, r.energy, r.p, r.method, r.seed, r.k, datetime.datetime.now(datetime.timezone.utc), steps, moves, sets
+
+    ship(spark)
+    shared_folder(spark)
+    pool = ThreadPoolExecutor(together)
+    try:
+        # Builds that runs are or start from, each once and as long as any of them needs, before all swaps.
+        need = {key(r): max(o.k for o in runs if key(o) == key(r)) for r in runs}
+        for r in runs:
+            if key(r) not in made and ("_" not in r.method or len(builds.get(key(r), [])) < need[key(r)]):
+                made[key(r)] = pool.submit(BUILDS[key(r)[3]], ready[r.energy], need[key(r)], r.energy, power(r), r.seed)
+        for row in pool.map(done_run, runs):
+            write_results(spark.createDataFrame([row], RUNS), path)
+    finally:
+        pool.shutdown(cancel_futures=True)
     for df in [*ready.values(), *placed.values()]:
         df.unpersist()
     return run_tables(stored_runs(spark, path), spark)

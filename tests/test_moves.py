@@ -1,5 +1,6 @@
 """Scores of moves in chunks, from sums and for complex rows; dependent rows; the nearest-neighbour join; stored grids."""
 
+import threading
 from itertools import combinations
 
 import numpy as np
@@ -248,6 +249,20 @@ def test_a_stopped_grid_goes_on(spark, clustered, tmp_path, monkeypatch):
     assert done[2:] == ["uniform"]
 
 
+def test_runs_of_a_grid_go_on_together(spark, clustered, tmp_path, monkeypatch):
+    both, stored, plain = threading.Barrier(2, timeout=60), [], experiment.write_results
+
+    def waits(*a):
+        both.wait()  # until another build is under way
+        return build.build_uniform(*a)
+
+    monkeypatch.setattr(experiment, "BUILDS", {"sampling": waits, "uniform": waits})
+    monkeypatch.setattr(experiment, "write_results", lambda df, to: stored.append(df.first().method) or plain(df, to))
+    plan = experiment.grid(spark, "t", "cluster", ["uniform", "sampling"], [2], 1, 2)
+    experiment.run_grid(points(spark, clustered[:20]), plan, str(tmp_path / "g"))
+    assert stored == ["sampling", "uniform"]
+
+
 def test_oversampled_builds_in_a_grid(spark, clustered, tmp_path):
     pts = points(spark, clustered[:30])
     plan = experiment.grid(spark, "t", "lowrank", ["sampling", "sampling_sampling"], [2, None], 2, 2, 3, ("sampling",))
